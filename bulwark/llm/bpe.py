@@ -13,10 +13,10 @@ each with its merge number) plus the track and moment it was copied from.  An ar
 cut hits the arc's token or a left ancestor of it no later than the next one was born (the same moment
 where a token merges with itself).
 
-Encoding reads a pre-split word symbol by symbol.  The last token of every prefix is unique, so the
-run is deterministic: for each position the longest vocabulary entry ending there whose arc leaves the
-state reached at its start.  Arcs are looked up in a table that is filled on first use.  Decoding emits
-the arc labels, joined by one space as the vocabulary has no decoder of its own.
+Encoding follows arcs over a pre-split word, the longest first.  A prefix of a word has one run at most, so a position
+from which no arc leads on is given up for good, and a word takes time in proportion to its length.  Arcs
+are looked up in a table that is filled on first use.  Decoding emits the arc labels, joined by one space as the
+vocabulary has no decoder of its own.
 
 Null and empty texts give zero tokens, an empty decoding and the hashes of empty input.
 """
@@ -26,15 +26,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from bulwark.llm.common import map_batches, text_bytes, tokenizer_path
 
 #: Chunks remembered by one Python worker in each of two generations.
-CACHE = 150_000
+CACHE = 500_000
 END = "</w>"
 #: Added to the code point of a word's last symbol.
 LAST = 0xE000
@@ -94,20 +95,33 @@ class MergeAutomaton:
 
     def encode(self, word: str) -> list[int]:
         """Tokens of one pre-split word, given as symbols."""
-        n, ids, longest = len(word), self.ids, self.longest
-        last = [-1] * (n + 1)
-        start = [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                token = ids.get(word[i:j])
-                if token is not None and (i == 0 or last[i] >= 0 and self.arc(last[i], token)):
-                    last[j], start[j] = token, i
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+        n, get, arcs, longest = len(word), self.ids.get, self.arcs, self.longest
+        path: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        at, end, before = 0, min(n, longest), -1
+        while at < n:
+            while end > at:
+                token = get(word[at:end])
+                if token is not None and end not in dead:
+                    if before < 0:
+                        break
+                    if (open_ := arcs.get(before << 20 | token)) is None:
+                        open_ = self.arc(before, token)
+                    if open_:
+                        break
+                end -= 1
+            if end > at:
+                path.append(token)
+                starts.append(at)
+                at, before = end, token
+                end = min(n, at + longest)
+            else:  # no run goes on from here
+                dead.add(at)
+                path.pop()
+                end, at = at - 1, starts.pop()
+                before = path[-1] if path else -1
+        return path
 
 
 class WordBpe:
@@ -123,8 +137,8 @@ class WordBpe:
         self.automaton = MergeAutomaton(spec["model"]["vocab"], merges)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.label = self.automaton.label | {i: t for t, i in self.special.items()}
-        self.young: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _words(self, piece: str) -> list[str]:
         if piece.isascii():
@@ -145,22 +159,32 @@ class WordBpe:
                 out += self.automaton.encode(word[:-1] + chr(ord(word[-1]) + LAST))
         return out
 
-    def _miss(self, chunk: bytes) -> tuple[bytes, str]:
+    def _miss(self, chunk: bytes) -> bytes:
         if (got := self.old.get(chunk)) is None:
-            ids = self.chunk_ids(chunk.decode("utf-8", "surrogatepass"))
-            got = (np.array(ids, "<u4").tobytes(), " ".join(self.label[i] for i in ids))
+            got = array("I", self.chunk_ids(chunk.decode("utf-8", "surrogatepass"))).tobytes()
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
         if len(chunk) <= 64:
             self.young[chunk] = got
         return got
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        parts = []
-        for c in text_bytes(text).split():
-            parts.append(self.young.get(c) or self._miss(c))
-        return b"".join(p[0] for p in parts), " ".join(p[1] for p in parts if p[1])
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        get, miss = self.young.get, self._miss
+        chunks = text_bytes(text).split()
+        if len(self.young) + len(chunks) > CACHE:  # `get` holds on to the dictionary
+            return b"".join([self.young.get(c) or miss(c) for c in chunks])
+        return b"".join([get(c) or miss(c) for c in chunks])
+
+    def decode(self, ids: bytes) -> str:
+        """The labels of the arcs."""
+        return " ".join(map(self.label.__getitem__, memoryview(ids).cast("I")))
+
+
+@lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """One automaton, and one memory of chunks, for all tasks that a Python worker runs."""
+    return WordBpe(path)
 
 
 #: Control characters and space as the byte-level alphabet writes them: the 68 bytes outside its printable ranges count up from U+0100.
@@ -172,13 +196,11 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
 
     def make():
-        bpe = WordBpe(path)
+        bpe = word_bpe(path)
 
         def each(batch: pd.DataFrame) -> pd.DataFrame:
-            got = [bpe.encode(t) for t in batch["text"]]
-            return pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [len(g[0]) // 4 for g in got], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]}
-            )
+            ids = [bpe.encode(t) for t in batch["text"]]
+            return pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [*map(bpe.decode, ids)]})
 
         return each
 
@@ -190,12 +212,12 @@ def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
 
     def make():
-        bpe = WordBpe(path)
+        bpe = word_bpe(path)
 
         def each(batch: pd.DataFrame) -> pd.DataFrame:
             rows = []
             for text in batch["text"]:
-                ids, decoded = bpe.encode(text)
+                decoded = bpe.decode(ids := bpe.encode(text))
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)

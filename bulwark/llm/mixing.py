@@ -6,8 +6,8 @@ size; the expected copies are prefix-summed within the source, one random offset
 once for each integer boundary that its interval crosses, so it is never emitted more than ``ceil`` of them times.
 
 No source is summed in one task.  Documents are dealt to buckets by a hash of their id; inside a bucket they stand in
-order of size, so that every run of the systematic sample holds long and short documents alike and the words taken stay
-near the target.  Ranks come from three prefix sums: within a bucket, of bucket counts within a group of buckets,
+order of size, so that every run of the systematic sample holds long and short documents alike.  The offset is the one, of
+``OFFSETS`` random ones, whose words come nearest to the target: in a small source one long document matters.  Ranks come from three prefix sums: within a bucket, of bucket counts within a group of buckets,
 of group counts within a source.
 
 All arithmetic that decides a boundary is on integers (a source's expected copies are a fraction in millionths, rounded
@@ -29,6 +29,7 @@ SEED = 7
 #: Documents that a bucket is meant to hold, and the logarithm of the buckets in a group.
 BUCKET = 512
 GROUP_BITS = 9
+OFFSETS = 16
 SCALE = 1_000_000
 
 
@@ -64,9 +65,8 @@ def copies(docs: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> D
     rows = sized(docs).withColumn("__source", F.col("source"))
     sources = checkpointed(targets(rows.groupBy("__source").agg(F.sum("__size").alias("__size"), F.count("*").alias("__docs")), max_repeat))
     per = F.coalesce(F.floor(F.least(F.col("__target") / F.when(F.col("__size") > 0, F.col("__size")), F.lit(float(max_repeat))) * SCALE), F.lit(0)).cast("long")
-    offset = spread_hash(seed, F.coalesce(F.col("__source"), F.lit("<null>"))) % SCALE
     sources = sources.select(
-        F.col("__source").alias("__s"), F.col("__size").alias("__source_size"), "__target", per.alias("__per"), offset.alias("__offset"),
+        F.col("__source").alias("__s"), F.col("__size").alias("__source_size"), "__target", per.alias("__per"),
         F.ceil(F.col("__docs") / BUCKET).cast("long").alias("__buckets"),
     )
     same = F.col("__source").eqNullSafe(F.col("__s"))
@@ -82,8 +82,23 @@ def copies(docs: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> D
 
     rows = rows.withColumn("__at", F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__size", F.col("doc_id").asc_nulls_last())))
     rows = rows.join(bucket, same & (F.col("__bucket") == F.col("__b"))).withColumn("__rank", F.col("__before") + F.col("__at"))
-    crossed = F.expr(f"(__rank * __per + __offset) div {SCALE} - ((__rank - 1) * __per + __offset) div {SCALE}")
-    return rows.select(*docs.columns, "__size", "__source_size", "__target", crossed.alias("__copies"))
+    sums = [F.sum(F.expr(crossings(offset(seed, k))) * F.col("__size")).alias(f"t{k}") for k in range(OFFSETS)]
+    totals = rows.groupBy("__source").agg(F.max("__target").alias("t"), *sums)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("t")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
+    chosen = F.element_at(F.array(*[F.expr(offset(seed, k)) for k in range(OFFSETS)]), nearest + 1)
+    chosen = totals.select(F.col("__source").alias("__s"), "t", *[f"t{k}" for k in range(OFFSETS)]).withColumn("__source", F.col("__s")).select("__s", chosen.alias("__offset"))
+    rows = rows.join(chosen, same)
+    return rows.select(*docs.columns, "__size", "__source_size", "__target", F.expr(crossings("__offset")).alias("__copies"))
+
+
+def offset(seed: int, k: int) -> str:
+    """SQL of a source's ``k``-th random offset, in millionths."""
+    return f"cast(conv(substring(md5(concat('{seed}:{k}:', coalesce(__source, '<null>'))), 1, 8), 16, 10) as bigint) % {SCALE}"
+
+
+def crossings(offset: str) -> str:
+    """SQL of the integer boundaries that a document's interval of the prefix sum crosses."""
+    return f"(__rank * __per + {offset}) div {SCALE} - ((__rank - 1) * __per + {offset}) div {SCALE}"
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -108,10 +123,15 @@ s2 AS (SELECT *, sum(cap) OVER u + level * (sum(w) OVER () - sum(w) OVER u) <= s
 s3 AS (SELECT source, s, docs, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
     CAST(CAST(total - coalesce(sum(cap) FILTER (capped) OVER (), 0) AS BIGINT) * w AS DOUBLE) / CAST(sum(w) FILTER (NOT capped) OVER () AS DOUBLE) END AS target FROM s2),
 s4 AS (SELECT *, coalesce(CAST(floor(least(target / nullif(s, 0), {float(MAX_REPEAT)}) * {SCALE}) AS BIGINT), 0) AS per,
-    CAST('0x' || substr(md5('{SEED}:' || coalesce(source, '<null>')), 1, 8) AS BIGINT) % {SCALE} AS off, CAST(ceil(docs / {BUCKET}) AS BIGINT) AS buckets FROM s3),
-r AS (SELECT d.*, s4.s, s4.target, s4.per, s4.off,
+    CAST(ceil(docs / {BUCKET}) AS BIGINT) AS buckets FROM s3),
+r AS (SELECT d.*, s4.s, s4.target, s4.per,
     (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) * buckets) >> 32 AS bucket
   FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id NULLS LAST) AS rank FROM r)
-SELECT doc_id, size, s AS source_size, target, size * ((rank * per + off) // {SCALE} - ((rank - 1) * per + off) // {SCALE}) AS taken FROM k
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id NULLS LAST) AS rank FROM r),
+o AS (SELECT i, source, CAST('0x' || substr(md5('{SEED}:' || i || ':' || coalesce(source, '<null>')), 1, 8) AS BIGINT) % {SCALE} AS off FROM s4, range({OFFSETS}) n(i)),
+c AS (SELECT o.i, o.off, k.source, sum(size * ((rank * per + off) // {SCALE} - ((rank - 1) * per + off) // {SCALE})) AS words, max(target) AS goal
+  FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source GROUP BY ALL),
+b AS (SELECT source, off FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - goal), i) AS p FROM c) WHERE p = 1)
+SELECT doc_id, size, s AS source_size, target, size * ((rank * per + off) // {SCALE} - ((rank - 1) * per + off) // {SCALE}) AS taken
+FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """

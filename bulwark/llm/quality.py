@@ -17,6 +17,7 @@ import math
 import re
 from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -122,6 +123,12 @@ class Fertility:
         return len(ids), int(self.is_byte[ids].sum()), float(-(share * np.log2(share)).sum())
 
 
+@lru_cache(maxsize=2)
+def fertility_of(path: str) -> Fertility:
+    """One model, and one memory of words, for all tasks that a Python worker runs."""
+    return Fertility(path)
+
+
 COLUMNS = {
     "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean",
     "script": "string", "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double",
@@ -162,7 +169,7 @@ def quality_rules(docs: DataFrame, bands: dict[str, Band] | None = None, vocabul
     bands = BANDS | (bands or {})
 
     def make():
-        fertility = Fertility(path)
+        fertility = fertility_of(path)
 
         def each(batch: pd.DataFrame) -> pd.DataFrame:
             out = pd.DataFrame(_measured(batch, fertility, bands), columns=[*COLUMNS])
@@ -181,7 +188,7 @@ def keep_good(docs: DataFrame, bands: dict[str, Band] | None = None, vocabulary:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        fertility = Fertility(path)
+        fertility = fertility_of(path)
         for batch in batches:
             texts = pd.DataFrame({c: batch.column(c).to_pylist() for c in ("text", "lang")})
             yield batch.filter(pa.array([x[6] for x in _measured(texts, fertility, bands)], pa.bool_()))
