@@ -81,13 +81,13 @@ def copies(docs: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> D
     bucket = bucket.select(F.col("__s"), F.col("__bucket").alias("__b"), (F.col("lead") + F.col("in_group")).alias("__before"))
 
     rows = rows.withColumn("__at", F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__size", F.col("doc_id").asc_nulls_last())))
-    rows = rows.join(bucket, same & (F.col("__bucket") == F.col("__b"))).withColumn("__rank", F.col("__before") + F.col("__at"))
+    rows = rows.join(bucket, same & (F.col("__bucket") == F.col("__b"))).drop("__s").withColumn("__rank", F.col("__before") + F.col("__at"))
     sums = [F.sum(F.expr(crossings(offset(seed, k))) * F.col("__size")).alias(f"t{k}") for k in range(OFFSETS)]
     totals = rows.groupBy("__source").agg(F.max("__target").alias("t"), *sums)
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("t")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
     chosen = F.element_at(F.array(*[F.expr(offset(seed, k)) for k in range(OFFSETS)]), nearest + 1)
-    chosen = totals.select(F.col("__source").alias("__s"), "t", *[f"t{k}" for k in range(OFFSETS)]).withColumn("__source", F.col("__s")).select("__s", chosen.alias("__offset"))
-    rows = rows.join(chosen, same)
+    chosen = totals.select(F.col("__source").alias("__o"), chosen.alias("__offset"))
+    rows = rows.join(chosen, F.col("__source").eqNullSafe(F.col("__o")))
     return rows.select(*docs.columns, "__size", "__source_size", "__target", F.expr(crossings("__offset")).alias("__copies"))
 
 
