@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, exact_dedup, line_dedup, mixing, quality
+from bulwark.llm import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality
 from bulwark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op3_bpe_automaton, op8_quality_rules, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_source_mix, op3_bpe_automaton, op4_license_scan, op6_language_id, op8_quality_rules, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
