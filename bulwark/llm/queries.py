@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, exact_dedup, langid, licenses, line_dedup, mixing, quality
+from bulwark.llm import bpe, exact_dedup, html_text, langid, licenses, line_dedup, mixing, pii, quality
 from bulwark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mix, op3_bpe_automaton, op4_license_scan, op6_language_id, op8_quality_rules, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_personal_data, op2_source_mix, op3_bpe_automaton, op4_license_scan, op6_language_id, op7_page_text, op8_quality_rules, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
