@@ -44,12 +44,12 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     often = lines.groupBy("h", "n").agg(F.count("*").alias("seen"), F.min("site").alias("lo"), F.max("site").alias("hi"))
     often = often.filter((F.col("seen") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1))).select("h", "n")
     often = checkpointed(often)
-    at = lines.select("h", "n", "site").join(often, ["h", "n"], "left_semi")
+    at = lines.select("h", "n", "site").distinct().join(often, ["h", "n"], "left_semi")
     sketched = at.groupBy("h", "n").agg(F.hll_sketch_agg("site", LOG_REGISTERS).alias("sketch"))
     sketched = checkpointed(sketched.select("h", "n", F.hll_sketch_estimate("sketch").alias("sites")))
     reach = max(2.0, NEAR * min_sites)
     near = (F.col("sites") >= min_sites - reach) & (F.col("sites") <= min_sites + reach)
-    exact = at.join(sketched.filter(near).select("h", "n"), ["h", "n"], "left_semi").distinct().groupBy("h", "n").agg(F.count("*").alias("sites"))
+    exact = at.join(sketched.filter(near).select("h", "n"), ["h", "n"], "left_semi").groupBy("h", "n").agg(F.count("*").alias("sites"))
     return sketched.filter(~near).unionByName(exact).filter(F.col("sites") >= min_sites)
 
 
@@ -69,7 +69,7 @@ def without(lines: Column, gone: Column) -> Column:
 
 def flagged(docs: DataFrame, min_sites: int, max_share: float) -> DataFrame:
     """``__doc_id, __of, __gone``: sorted positions of the lines that a document loses."""
-    lines = line_rows(docs)
+    lines = checkpointed(line_rows(docs))
     marked = lines.join(spread_lines(lines, min_sites).select("h", "n", F.lit(True).alias("out")), ["h", "n"], "left")
     per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("gone"), F.sum(F.when(F.col("out"), F.col("n"))).alias("lost"), F.sum("n").alias("all"))
     return per.filter((F.size("gone") > 0) & (F.col("lost") <= max_share * F.col("all"))).select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__of"), F.col("gone").alias("__gone"))
