@@ -1 +1 @@
-
+"""Reading and writing samples, reports and tables."""
