@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bulwark.functions.regex import SPACE, Rx, literal
 from bulwark.functions.text import trim
@@ -65,7 +66,7 @@ def resolve(options: bool | dict | Normalization | None) -> Normalization:
     return replace(Normalization(), **options) if isinstance(options, dict) else Normalization()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; ASCII texts pass through."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

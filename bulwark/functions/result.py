@@ -51,7 +51,7 @@ def risk(severity: Column) -> Column:
 
 def highest(severities: Column) -> Column:
     """The highest of an array of severities; null if empty."""
-    return severity_of(F.array_max(F.transform(severities, rank)))
+    return F.when(F.size(severities) > 0, severity_of(F.array_max(F.transform(severities, rank))))
 
 
 def failed_closed(name: str, message: str | Column) -> Column:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bulwark.functions import text as tx
 from bulwark.functions.regex import Rx
@@ -153,7 +154,7 @@ def blocked_content(words: list[str]) -> Check:
     return Check("blocked-content", build)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_error(texts: pd.Series) -> pd.Series:
     """Why a text isn't strict JSON; null if it is."""
 

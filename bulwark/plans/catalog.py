@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from bulwark.plans import checks  # noqa: F401  (registers its queries)
+from bulwark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
