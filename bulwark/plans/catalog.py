@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bulwark.plans import checks  # noqa: F401  (registers its queries)
+from bulwark.plans import checks, tools  # noqa: F401  (they register their queries)
 from bulwark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
