@@ -298,7 +298,7 @@ def island_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """``id, th, n, component`` of every row of ``docs`` (``doc_id, text``)."""
+    """``id, th, n, root, component`` of every row of ``docs`` (``doc_id, text``); groups share a root, ids may repeat."""
     spark = docs.sparkSession
     rows = checkpointed(set_rows(docs))
     reps = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"))
@@ -321,9 +321,9 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     roots = components(rest if links is None else links.union(rest))
     joined = reps.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    names = joined.join(least, "root").select("sig", "component")
+    names = joined.join(least, "root").select("sig", "root", "component")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return rows.join(names, "sig", "left").select("id", "th", "n", component.alias("component"))
+    return rows.join(names, "sig", "left").select("id", "th", "n", "root", component.alias("component"))
 
 
 def similar_groups(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
@@ -338,10 +338,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents without words are in no group and all stay.  Texts are not shuffled while the documents to drop fit the bound.
     """
-    rows = checkpointed(grouped_rows(docs.select("doc_id", "text")).filter("n > 0").groupBy("id", "th", "component").agg(F.count("*").alias("copies")))
-    # a group is known by its component's id and, where ids repeat, by the row that gave it
-    best = rows.groupBy("component").agg(F.min(F.struct("id", "th")).alias("best"))
-    marked = rows.join(best, "component").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("th") == F.col("best.th")))
+    rows = checkpointed(grouped_rows(docs.select("doc_id", "text")).filter("n > 0").groupBy("id", "th", "root").agg(F.count("*").alias("copies")))
+    best = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best"))
+    marked = rows.join(best, "root").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("th") == F.col("best.th")))
     marked = checkpointed(marked.select(F.col("id").alias("__id"), F.col("th").alias("__of"), "stays", "copies"))
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
     same = (F.col("__key") == F.col("__id")) & (F.col("__th") == F.col("__of"))
