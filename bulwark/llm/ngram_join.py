@@ -30,14 +30,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import checkpointed, shuffle_parts, small_batches, text_bytes
+from bulwark.llm.common import checkpointed, small_batches, text_bytes
 from bulwark.llm.components import components
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles in a fragment of the first step, texts in one batch of it, sets in one block of the last step.
+#: Shingles in a fragment of the first step (and how many fragments there are at least), texts in one batch of it, sets in one block of the last step.
 FRAGMENT = 1_500_000
+LEAST_FRAGMENTS = 64
 BATCH = 1024
 BLOCK = 512
 HUB_ROUNDS = 2
@@ -303,7 +304,7 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     rows = checkpointed(set_rows(docs))
     reps = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    fragments = max(shuffle_parts(spark), -(-total // FRAGMENT))
+    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT))
     chosen = checkpointed(reps.join(shared_counts(docs, fragments), "sig").filter(F.col("shared") >= at_least(F.col("n"))).select("sig", "n", "rep"))
     release(spark)
     sets = checkpointed(kept_sets(docs, chosen))
