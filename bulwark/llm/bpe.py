@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from bulwark.llm.common import map_batches, text_bytes, tokenizer_path
 
 #: Chunks remembered by one Python worker in each of two generations.
-CACHE = 500_000
+CACHE = 200_000
 END = "</w>"
 #: Added to the code point of a word's last symbol.
 LAST = 0xE000

@@ -30,6 +30,8 @@ SEED = 7
 BUCKET = 512
 GROUP_BITS = 9
 OFFSETS = 16
+#: Taken rows (32 bytes each) up to this many are broadcast to pick the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 SCALE = 1_000_000
 
 
@@ -108,9 +110,22 @@ def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    taken = copies(docs, seed).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
+
+    The copies are worked out without the texts; the taken rows, known by two hashes of all their columns, are then
+    picked, with no shuffle of the texts while their number is within the bound.
+    """
+    key = ["__row", "__row2"]
+    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns)).withColumn("__row2", F.hash(*docs.columns))
+    taken = copies(keyed.select("doc_id", "text", "source", *key), seed).groupBy(*key).agg(F.sum("__copies").alias("__take"), F.count("*").alias("__rows"))
+    taken = checkpointed(taken.filter("__take > 0"))
+    small = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    single = taken.filter("__rows = 1")
+    out = keyed.join(F.broadcast(single) if small else single, key)
+    repeated = taken.filter("__rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, key).dropDuplicates(key).select(*out.columns))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__take").cast("int")))).select(*docs.columns)
 
 
 #: DuckDB's SQL for ``mix_report`` over the table ``documents``: the same hashes, ranks and boundaries.

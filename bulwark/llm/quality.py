@@ -32,7 +32,7 @@ MAX_REPEAT = 50
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 LETTER = re.compile(rb"[A-Za-z]")
-CACHE = 250_000
+CACHE = 120_000
 
 
 @dataclass(frozen=True)
