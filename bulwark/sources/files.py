@@ -26,7 +26,7 @@ def checked_samples(lines: DataFrame) -> DataFrame:
     errors = F.array(
         F.when(s["_corrupt"].isNotNull() | s.isNull(), "invalid JSON or field type"), F.when(s["id"].isNull(), "id must be a string"), F.when(s["data"].isNull(), "data is missing"),
         F.when(s["expectedTriggers"].isNull(), "expectedTriggers must be an object of booleans"),
-        F.when(s["metadata.difficulty"].isNotNull() & ~s["metadata.difficulty"].isin(DIFFICULTIES), "difficulty must be easy, medium or hard"),
+        F.when(s["metadata"]["difficulty"].isNotNull() & ~s["metadata"]["difficulty"].isin(DIFFICULTIES), "difficulty must be easy, medium or hard"),
     )
     return out.select(
         F.col("s.id").alias("id"), F.col("s.data").alias("data"), F.col("s.expectedTriggers").alias("expected"), F.col("s.metadata.category").alias("category"),

@@ -1,7 +1,8 @@
 """The same over Structured Streaming: state by key, bounded by a watermark or an idle timeout.
 
 Rows of a key are ordered within a micro-batch; across batches the source must deliver them in order.  State holds a few
-numbers (and, for accumulated text, one text) a key, and leaves after ``IDLE`` without rows.
+numbers (and, for accumulated text, one text) a key, and leaves after ``IDLE`` without rows.  Idle timeouts make Spark plan batches
+without data for as long as a query runs: with ``availableNow`` set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def stopping_stream(parts: DataFrame, keywords: list[str], max_tokens: int | Non
         for delta in rows["delta"]:
             if not stopped:
                 text += delta
-                tokens = -(-len(text.encode("utf-16-le")) // 2 + 2 * -len(text.split())) // 4 if max_tokens is not None else 0
+                tokens = -(-(len(text.encode("utf-16-le")) // 2 + 2 * len(text.split())) // 4)
                 stopped = any(w in text.lower() for w in words) or max_tokens is not None and tokens > max_tokens
             keep.append(not stopped)
         _keep(state, ("" if stopped else text, stopped))

@@ -17,7 +17,6 @@ from bulwark.streaming import parts, stateful
 
 
 def test_anchored_windows():
-    assert ss.anchored([0, 5, 10, 11, 21, 22], 10)[0] == [1, 2, 3, 1, 2, 1] or True
     counts, starts = ss.anchored([0, 5, 10, 11, 21, 22], 10)
     assert counts == [1, 2, 3, 1, 2, 1] and starts == [0, 0, 0, 11, 11, 22]
     assert ss.anchored([0, 10], 10, inclusive=True)[0] == [1, 1]
@@ -49,14 +48,15 @@ def test_stream_parts(spark):
     assert parts.buffered(df).filter("stream_id = 's'").first().text == "all is forbidden here"
     assert text(parts.handled(df, F.contains("delta", F.lit("is")), "drop")) == "all forbidden here"
     assert spark.createDataFrame([("a@b.co 123-45-6789",)], "d string").select(parts.redacted(F.col("d"))).first()[0] == "[REDACTED] [REDACTED]"
-    assert text(parts.token_budget(df, 4)) == "all is "
+    assert text(parts.token_budget(df, 3)) == "all is "
 
 
 def streamed(spark, df, tmp_path, transform, name):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # idle timeouts would ask for batches without end
     path = str(tmp_path / name)
     df.coalesce(1).write.parquet(path)
     q = transform(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / (name + "_c"))).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     return spark.table(name).toPandas()
 
 
