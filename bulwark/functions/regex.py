@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -31,11 +32,27 @@ class Rx:
         """The same language for DuckDB, for patterns without look-around, over ASCII white space."""
         return prefix(self.flags, "ism") + self.source
 
-    def test(self, text: Column) -> Column:
-        return text.rlike(self.java)
-
-    def count(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(self.java))
+    @property
+    def required(self) -> str:
+        """The longest literal that every match holds, in lower case if case does not count; empty if none is found."""
+        best = longest_literal(self.source)
+        return best.lower() if "i" in self.flags else best
+
+    def gate(self, text: Column, lower: Column | None) -> Column | None:
+        """A cheap test that every matching text passes: a literal search is many times faster than a pattern."""
+        if len(self.required) < 3 or lower is None and "i" in self.flags:
+            return None
+        return F.contains(lower if "i" in self.flags else text, F.lit(self.required))
+
+    def test(self, text: Column, lower: Column | None = None) -> Column:
+        """Whether the text matches; with ``lower``, the text in lower case, a literal search goes first."""
+        gate = self.gate(text, lower)
+        return text.rlike(self.java) if gate is None else gate & text.rlike(self.java)
+
+    def count(self, text: Column, lower: Column | None = None) -> Column:
+        gate = self.gate(text, lower)
+        found = F.regexp_count(text, F.lit(self.java))
+        return found if gate is None else F.when(gate, found).otherwise(0)
 
     def all(self, text: Column, group: int = 0) -> Column:
         return F.regexp_extract_all(text, F.lit(self.java), group)
@@ -64,6 +81,52 @@ def prefix(flags: str, known: str) -> str:
     return f"(?{used})" if used else ""
 
 
+def longest_literal(source: str) -> str:
+    """The longest run of plain characters outside groups, classes and optional parts; none where alternatives stand on top."""
+    best, run, depth, i = "", "", 0, 0
+    while i < len(source):
+        c = source[i]
+        step, plain = 1, None
+        if c == "\\":
+            step = 2
+            plain = source[i + 1] if not source[i + 1].isalnum() else None
+        elif c == "[":
+            end = i + 1
+            while source[end] != "]":
+                end += 2 if source[end] == "\\" else 1
+            step = end + 1 - i
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and not depth:
+            return ""
+        elif c == "{" and not depth:
+            step = source.index("}", i) + 1 - i
+        elif c not in ".^$*+?|{}":
+            plain = c
+        after = source[i + step : i + step + 1]
+        if depth or plain is None or c == ")":
+            best, run = max(best, run, key=len), ""
+        elif after and after in "?*{":
+            best, run = max(best, run, key=len), ""
+        elif after == "+":
+            best, run = max(best, run + plain, key=len), ""
+        else:
+            run += plain
+        i += step
+    return max(best, run, key=len)
+
+
+def boundary(before: str, after: str) -> str:
+    """A word boundary; half a test where one side is known to be a word character."""
+    if re.match(r"(?:[0-9A-Za-z_]|\\[dw]|\[0-9\])(?![?*])", after) or (m := re.match(r"\((?:\?:)?([^()\[\]\\?*|]\w*(?:\|[^()\[\]\\?*|][^()\[\]\\?*|]*)*)", after)) and all(a[:1].isalnum() and a[:1].isascii() for a in m[1].split("|")) and re.match(r"\)(?![?*{])", after[m.end() :]):
+        return "(?<![0-9A-Za-z_])"
+    if re.search(r"(?:[0-9A-Za-z_]|\\d\{\d+(?:,\d+)?\})$", before) and not re.search(r"\\[a-zA-Z]$", before):
+        return "(?![0-9A-Za-z_])"
+    return BOUNDARY
+
+
 def translate(source: str, dot_all: bool = False, multiline: bool = False) -> str:
     """Java syntax of an ECMAScript pattern."""
     out, i, inside = [], 0, False
@@ -77,7 +140,7 @@ def translate(source: str, dot_all: bool = False, multiline: bool = False) -> st
             elif pair == r"\S" and not inside:
                 out.append(rf"[^{SPACE}]")
             elif pair == r"\b" and not inside:
-                out.append(BOUNDARY)
+                out.append(boundary(source[: i - 2], source[i:]))
             elif pair == r"\/":
                 out.append("/")
             elif pair == r"\0":

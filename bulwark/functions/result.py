@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ RESULT = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once a row and hand it to ``use``; a costly expression used many times would be inlined many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def text_of(value) -> Column:
     return value.cast("string") if isinstance(value, Column) else F.lit(None if value is None else str(value)).cast("string")
 

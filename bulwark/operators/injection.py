@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bulwark.functions import text as tx
 from bulwark.functions.normalize import Normalization, normalize
 from bulwark.functions.regex import Rx
-from bulwark.functions.result import result
+from bulwark.functions.result import let, result
 from bulwark.operators.check import Check, Scope
 
 #: Patterns of the score, with weights.
@@ -41,9 +41,9 @@ INTENTS = {"help_request": "help|assist|support", "information_request": "explai
 
 def raw_pattern_score(text: Column) -> Column:
     """Mean weight of the patterns found, at most 1."""
-    total, count = F.lit(0.0), F.lit(0)
+    total, count, lower = F.lit(0.0), F.lit(0), F.lower(text)
     for rx, weight in PATTERNS:
-        hit = rx.test(text)
+        hit = rx.test(text, lower)
         total, count = total + F.when(hit, weight).otherwise(0.0), count + hit.cast("int")
     return F.when(count > 0, F.least(total / count, F.lit(1.0))).otherwise(0.0)
 
@@ -51,7 +51,7 @@ def raw_pattern_score(text: Column) -> Column:
 def pattern_score(text: Column, normalization: bool | dict | Normalization = True) -> Column:
     """The higher score of the raw and the normalized text."""
     score = raw_pattern_score(text)
-    return score if normalization is False else F.greatest(score, raw_pattern_score(normalize(text, normalization)))
+    return score if normalization is False else F.greatest(score, let(normalize(text, normalization), raw_pattern_score))
 
 
 def coherence(text: Column) -> Column:
@@ -143,21 +143,25 @@ def enhanced_detector(
 ) -> Check:
     """Triggers on the weighted score, on the mean of the history, or on a suspicious tool call."""
 
-    def build(s: Scope) -> Column:
-        score = enhanced_score(s.text, s.text if context_json is None else context_json, normalization, weights)
-        history = score if contents is None else F.coalesce(history_score(contents, memory, normalization), score)
-        calls = tool_calls(s.text)
+    def judged(m: Column) -> Column:
+        score, history, calls = m["score"], m["history"], m["calls"]
         hit = score > threshold
         if incremental:
-            hit = hit | (history > cumulative)
+            hit = hit | (F.coalesce(history, score) > cumulative)
         if tool_focus:
-            hit = hit | (F.size(calls) > 0)
-        extra = {"intent": intent(s.text)["primary"]} if intents else {}
+            hit = hit | (calls > 0)
+        extra = {"intent": m["intent"]} if intents else {}
         return result(
             "enhanced-prompt-injection", hit, F.when(score > 0.8, "critical").otherwise("high"), F.format_string("Enhanced prompt injection detected (confidence: %.1f%%)", score * 100),
-            "Please rephrase your request", score, history=history, calls=F.size(calls), **extra,
+            "Please rephrase your request", score, history=F.coalesce(history, score), calls=calls, **extra,
         )
 
+    def build(s: Scope) -> Column:
+        score = enhanced_score(s.text, s.text if context_json is None else context_json, normalization, weights)
+        history = F.lit(None).cast("double") if contents is None else history_score(contents, memory, normalization)
+        parts = F.struct(score.alias("score"), history.alias("history"), F.size(tool_calls(s.text)).alias("calls"), intent(s.text)["primary"].alias("intent"))
+        return let(parts, judged)
+
     return Check("enhanced-prompt-injection", build, "critical")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bulwark.functions import text as tx
 from bulwark.functions.normalize import Normalization, normalize
 from bulwark.functions.regex import Rx, literal
-from bulwark.functions.result import result
+from bulwark.functions.result import let, result
 from bulwark.operators.check import Check, Scope
 
 #: Personal data in prompts.
@@ -150,21 +150,31 @@ def custom_validation(name: str, valid, message: str = "Validation failed", seve
 def injection_detector(threshold: float = 0.5, normalization: bool | dict | Normalization = True) -> Check:
     """Mean weight of the injection patterns that the raw or the normalized text matches."""
 
-    def build(s: Scope) -> Column:
-        clean = None if normalization is False else normalize(s.text, normalization)
+    def scored(raw: Column, lower: Column, clean: Column | None) -> Column:
         count, total, sources = F.lit(0), F.lit(0.0), []
         for rx, weight in INJECTIONS:
-            hit = rx.test(s.text) if clean is None else rx.test(clean) | rx.test(s.text)
+            hit = rx.test(raw, lower) if clean is None else rx.test(clean, clean) | rx.test(raw, lower)
             count, total = count + hit.cast("int"), total + F.when(hit, weight).otherwise(0.0)
             sources.append(F.when(hit, F.lit(rx.source)))
-        confidence = F.when(count > 0, F.least(total / count, F.lit(1.0))).otherwise(0.0)
+        return F.struct(count.alias("n"), total.alias("w"), F.concat_ws("\n", *sources).alias("sources"))
+
+    def judged(found: Column) -> Column:
+        count = found["n"]
+        confidence = F.when(count > 0, F.least(found["w"] / count, F.lit(1.0))).otherwise(0.0)
         return result(
             "prompt-injection-detector", confidence > threshold, F.when(confidence > 0.8, "critical").otherwise("high"),
             F.format_string("Potential prompt injection detected (confidence: %.1f%%): %d suspicious patterns found", confidence * 100, count),
             "Please rephrase your request without system instructions or role-playing elements", confidence,
-            patterns=count, threshold=threshold, sources=F.concat_ws("\n", *sources),
+            patterns=count, threshold=threshold, sources=found["sources"],
         )
 
+    def build(s: Scope) -> Column:
+        if normalization is False:
+            both = F.struct(s.text.alias("raw"), s.lower.alias("lower"))
+            return let(let(both, lambda t: scored(t["raw"], t["lower"], None)), judged)
+        both = F.struct(s.text.alias("raw"), s.lower.alias("lower"), normalize(s.text, normalization).alias("clean"))
+        return let(let(both, lambda t: scored(t["raw"], t["lower"], t["clean"])), judged)
+
     return Check("prompt-injection-detector", build, "critical")
 
 

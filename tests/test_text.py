@@ -66,3 +66,21 @@ def test_small_functions(spark):
     assert one(spark, tx.entropy(F.col("t")), t="") == 0.0
     assert one(spark, tx.code_point_label(F.col("t")), t="​") == "U+200B"
     assert one(spark, tx.overlap(F.col("a"), F.col("b")), a="a b c", b="B x") == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize(
+    ("rx", "texts"),
+    [
+        (Rx(r"\bhat(e|ed)\b", "i"), ["I HATE it", "xhate", "hated.", "éhate", "hatee"]), (Rx(r"ignore\s+previous", "i"), ["Ignore  PREVIOUS", "ignore", "previous ignore"]),
+        (Rx(r"says?\s*:"), ["say:", "says :", "sa:"]), (Rx(r"a+bc?d"), ["aabd", "abcd", "acd"]), (Rx("x{0,2}yes"), ["yes", "xyes", "no"]), (Rx(r"\bs?foo\b"), ["sfoo", "foo", " foo", "xfoo"]),
+        (Rx(r"\b\d{3}-\d{2}\b"), ["123-45", "1123-45", "123-456", "a123-45"]), (Rx("abc|xyz"), ["xyz", "abc", "ab"]),
+    ],
+)
+def test_gates_and_boundaries_change_nothing(spark, rx, texts):
+    import re
+
+    flags = re.A | (re.I if "i" in rx.flags else 0)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(rx.test(F.col("t"), F.lower("t")).alias("x"), rx.count(F.col("t"), F.lower("t")).alias("n")).collect()
+    assert [r.x for r in got] == [bool(re.search(rx.source, t, flags)) for t in texts]
+    assert [r.n > 0 for r in got] == [r.x for r in got]
