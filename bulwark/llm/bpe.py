@@ -36,6 +36,8 @@ from bulwark.llm.common import map_batches, text_bytes, tokenizer_path
 
 #: Chunks remembered by one Python worker in each of two generations.
 CACHE = 200_000
+#: Arcs kept in the table before it is filled anew.
+ARCS = 300_000
 END = "</w>"
 #: Added to the code point of a word's last symbol.
 LAST = 0xE000
@@ -76,6 +78,8 @@ class MergeAutomaton:
         """Whether the state that ``before`` leads to has an arc for ``token``."""
         key = before << 20 | token
         if (known := self.arcs.get(key)) is None:
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
             known = self.arcs[key] = self._arc(before, token)
         return known
 
