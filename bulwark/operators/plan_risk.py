@@ -27,7 +27,7 @@ def split_name(name: Column) -> Column:
 def classify(tools: Column) -> Column:
     """``verdict, score, category, reason`` of an array of tool names; the first rule that fits decides."""
     names = F.transform(tools, split_name)
-    some = lambda rx: F.exists(names, rx.test)
+    some = lambda rx: F.exists(names, lambda n: rx.test(n))
     packages, fetch, read = some(PACKAGES), some(FETCH), some(UNTRUSTED)
     verdict = lambda v, s, c, r: F.struct(F.lit(v).alias("verdict"), F.lit(s).alias("score"), F.lit(c).cast("string").alias("category"), F.lit(r).cast("string").alias("reason"))
     return (
