@@ -105,14 +105,15 @@ def grade(score: Column) -> Column:
     return out
 
 
-def evaluate(prompt: Column, vectors: list[str] | None = None) -> Column:
-    """``hash, score, grade, defended, total, findings`` of a system prompt; too long a prompt is an error."""
+def evaluate(prompt: Column, vectors: list[str] | None = None, strict: bool = True) -> Column:
+    """``hash, score, grade, defended, total, findings`` of a system prompt; too long a prompt is an error, or has no score unless ``strict``."""
     chosen = [v for v in VECTORS if vectors is None or v.id in vectors]
     findings = F.array(*[finding(prompt, v) for v in chosen])
     defended = sum((F.when(finding(prompt, v)["defended"], 1).otherwise(0) for v in chosen), F.lit(0))
     score = F.round(F.lit(100.0) * defended / F.lit(max(len(chosen), 1))).cast("int")
-    guarded = F.when(tx.length16(prompt) > MAX_PROMPT, F.raise_error(F.lit("prompt is too long")).cast("int")).otherwise(score)
-    return F.struct(tx.fnv1a(prompt).alias("hash"), guarded.alias("score"), grade(score).alias("grade"), defended.alias("defended"), F.lit(len(chosen)).alias("total"), findings.alias("findings"))
+    too_long = F.raise_error(F.lit("prompt is too long")) if strict else F.lit(None)
+    score = F.when(tx.length16(prompt) > MAX_PROMPT, too_long.cast("int")).otherwise(score)
+    return F.struct(tx.fnv1a(prompt).alias("hash"), score.alias("score"), F.when(score.isNotNull(), grade(score)).alias("grade"), defended.alias("defended"), F.lit(len(chosen)).alias("total"), findings.alias("findings"))
 
 
 def is_blocking(grade: Column, least: str = "C") -> Column:
