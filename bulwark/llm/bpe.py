@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from bulwark.llm.common import map_batches, text_bytes, tokenizer_path
 
 #: Chunks remembered by one Python worker in each of two generations.
-CACHE = 200_000
+CACHE = 320_000
 #: Arcs kept in the table before it is filled anew.
 ARCS = 300_000
 END = "</w>"
