@@ -169,3 +169,21 @@ def test_composition(spark):
 
 def test_custom_patterns(spark):
     assert run(spark, input_checks.custom_validation("v", lambda s: Rx("ok").test(s.text)), "no").triggered
+
+
+def test_high_entropy_reads_whole_texts(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from bulwark.plans import catalog
+
+    blob = "".join(chr(33 + k * 7 % 94) for k in range(3000))
+    texts = ["a quiet evening " * 40, "a quiet evening " * 40 + blob, "é😀\n" * 300, "short", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.QUERIES["high_entropy"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        n = len(t.encode("utf-16-le")) // 2
+        bits = -sum(c / n * math.log2(c / n) for c in Counter(t).values()) if n >= 40 else None
+        assert got[k].triggered == (bits is not None and bits >= 4.2)
+        assert got[k].entropy == (None if bits is None else round(bits, 6))
+    assert got[1].triggered and not got[0].triggered
