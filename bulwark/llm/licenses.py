@@ -73,16 +73,16 @@ FAMILIES = [
     ("mpl", "mozilla", "mozilla_public_licen[sc]e", "mozilla_mpl", "mpl", "mozilla\\.org/mpl"),
     ("epl-1.0", "eclipse", "eclipse_public_licen[sc]e(?:_-)?_(?:version_|v_?)?1\\.0", "epl_?v?1\\.0", "epl-1\\.0", "eclipse\\.org/legal/epl-v10"),
     ("epl-2.0", "eclipse", "eclipse_public_licen[sc]e(?:_-)?_(?:version_|v_?)?2\\.0", "epl_?v?2\\.0", "epl-2\\.0", "eclipse\\.org/legal/epl-(?:v20|2\\.0)"),
-    ("cddl-1.0", "cddl", "common_development_and_distribution_licen[sc]e", "cddl_?v?1\\.[01]", "cddl-1\\.[01]", "opensource\\.org/licenses?/cddl"),
-    ("cc0-1.0", "cc0", "creative_commons_zero", "cc0_?1\\.0", "cc0-1\\.0", "creativecommons\\.org/publicdomain/zero"),
-    ("cc-by-nc-nd", "cc", "creative_commons_attribution-noncommercial-noderiv(?:ative)?s", "cc_by-nc-nd(?:_[1-4]\\.[05])?", "cc-by-nc-nd-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nc-nd"),
-    ("cc-by-nc-sa", "cc", "creative_commons_attribution-noncommercial-sharealike", "cc_by-nc-sa(?:_[1-4]\\.[05])?", "cc-by-nc-sa-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nc-sa"),
-    ("cc-by-nc", "cc", "creative_commons_attribution-noncommercial", "cc_by-nc(?:_[1-4]\\.[05])?", "cc-by-nc-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nc\\b"),
-    ("cc-by-nd", "cc", "creative_commons_attribution-noderiv(?:ative)?s", "cc_by-nd(?:_[1-4]\\.[05])?", "cc-by-nd-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nd"),
-    ("cc-by-sa", "cc", "creative_commons_attribution-sharealike", "cc_by-sa(?:_[1-4]\\.[05])?", "cc-by-sa-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-sa"),
-    ("cc-by", "cc", "creative_commons_attribution", "cc_by(?:_[1-4]\\.[05])?", "cc-by-[1-4]\\.[05]", "creativecommons\\.org/licenses/by\\b"),
+    ("cddl-1.0", "distribution", "common_development_and_distribution_licen[sc]e", "cddl_?v?1\\.[01]", "cddl-1\\.[01]", "opensource\\.org/licenses?/cddl"),
+    ("cc0-1.0", "creative", "creative_commons_zero", "cc0_?1\\.0", "cc0-1\\.0", "creativecommons\\.org/publicdomain/zero"),
+    ("cc-by-nc-nd", "creative", "creative_commons_attribution-noncommercial-noderiv(?:ative)?s", "cc_by-nc-nd(?:_[1-4]\\.[05])?", "cc-by-nc-nd-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nc-nd"),
+    ("cc-by-nc-sa", "creative", "creative_commons_attribution-noncommercial-sharealike", "cc_by-nc-sa(?:_[1-4]\\.[05])?", "cc-by-nc-sa-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nc-sa"),
+    ("cc-by-nc", "creative", "creative_commons_attribution-noncommercial", "cc_by-nc(?:_[1-4]\\.[05])?", "cc-by-nc-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nc\\b"),
+    ("cc-by-nd", "creative", "creative_commons_attribution-noderiv(?:ative)?s", "cc_by-nd(?:_[1-4]\\.[05])?", "cc-by-nd-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-nd"),
+    ("cc-by-sa", "creative", "creative_commons_attribution-sharealike", "cc_by-sa(?:_[1-4]\\.[05])?", "cc-by-sa-[1-4]\\.[05]", "creativecommons\\.org/licenses/by-sa"),
+    ("cc-by", "creative", "creative_commons_attribution", "cc_by(?:_[1-4]\\.[05])?", "cc-by-[1-4]\\.[05]", "creativecommons\\.org/licenses/by\\b"),
     ("unlicense", "unlicense", "the_unlicense", "unlicensed_software", "unlicense", "unlicense\\.org"),
-    ("wtfpl", "wtf", "do_what_the_f[a-z*]{3}_you_want_to_public_licen[sc]e", "wtfpl_?v?2", "wtfpl", "wtfpl\\.net"),
+    ("wtfpl", "public", "do_what_the_f[a-z*]{3}_you_want_to_public_licen[sc]e", "wtfpl_?v?2", "wtfpl", "wtfpl\\.net"),
     ("zlib", "zlib", "zlib(?:/libpng)?_licen[sc]e", "zlib_licen[sc]ed", "zlib", "opensource\\.org/licenses?/zlib"),
     ("bsl-1.0", "boost", "boost_software_licen[sc]e", "boost_licen[sc]ed", "bsl-1\\.0", "boost\\.org/license_1_0"),
     ("busl-1.1", "business", "business_source_licen[sc]e", "busl_?1\\.1", "busl-1\\.1", "mariadb\\.com/bsl"),

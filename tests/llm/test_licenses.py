@@ -49,3 +49,44 @@ def test_documents(docs, edge_rows):
     assert len(got) == len(edge_rows)
     assert {r.n_words for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert licenses.scan_documents(docs([])).count() == 0
+
+
+def sample(pattern, rng):
+    """A random text that the parsed pattern allows, lookarounds aside."""
+    out = ""
+    for op, av in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(av)
+        elif name == "NOT_LITERAL":
+            out += "~" if av != ord("~") else "!"
+        elif name == "IN":
+            sets = [(str(o), v) for o, v in av]
+            if sets[0][0] == "NEGATE":
+                out += rng.choice(" -/")
+            else:
+                kind, v = rng.choice(sets)
+                out += chr(v) if kind == "LITERAL" else chr(rng.randint(*v))
+        elif name == "BRANCH":
+            out += sample(rng.choice(av[1]), rng)
+        elif name == "SUBPATTERN":
+            out += sample(av[3], rng)
+        elif name == "MAX_REPEAT":
+            for _ in range(rng.randint(av[0], min(av[1], av[0] + 2))):
+                out += sample(av[2], rng)
+    return out
+
+
+def test_gates_drop_no_match():
+    import random
+
+    rng = random.Random(4)
+    for rule in licenses.rules():
+        parsed = re._parser.parse(rule.pattern.pattern)
+        hits = [t for t in (sample(parsed, rng) for _ in range(60)) if rule.pattern.search(t)]
+        assert hits, rule
+        for t in hits:
+            assert rule.keyword in t, (rule, t)
+            found = {k for _, ks in licenses.scanner().words.iter(t) for k in ks}
+            assert licenses.rules().index(rule) in found
+    assert licenses.scan("Available under the Creative Commons Attribution-ShareAlike 4.0 International License")[5] == "cc-by-sa"
