@@ -3,7 +3,8 @@
 A page is parsed into blocks, each in a zone: *content* (inside the publisher's ``article`` or ``main``), *chrome* (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments) or *open* (anything else).  For every host the token
 streams of what lies outside the content zone are concatenated and their suffixes sorted; substrings of at least
-``MIN_TOKENS`` tokens that stand on ``MIN_PAGES`` distinct pages are boilerplate.  A page with a content zone yields that zone
+``MIN_TOKENS`` tokens that stand on ``MIN_PAGES`` distinct pages are boilerplate, and so are whole blocks of at least
+``MIN_BLOCK`` tokens that do.  Shorter repeats are phrases of the language and stay.  A page with a content zone yields that zone
 whole: a paragraph that an article shares with others is still part of it.  A page without one yields its open blocks less
 the covered boilerplate, so that unique runs stay.
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from bulwark.llm.common import map_batches
 
-MIN_TOKENS = 4
+MIN_TOKENS = 30
+#: Tokens from which a whole block counts as a repeat.
+MIN_BLOCK = 4
 MIN_PAGES = 3
 GROUP_PAGES = 256
 #: Hosts above the group size, up to this many, are broadcast (host and count); more are joined by a shuffle.
@@ -161,6 +164,16 @@ def covered(streams: list[list[str]], pages: list[int], min_tokens: int = MIN_TO
     return [cover[s : s + k] for s, k in zip(starts, sizes, strict=True)]
 
 
+def repeated_blocks(streams: list[list[str]], pages: list[int], min_block: int = MIN_BLOCK, min_pages: int = MIN_PAGES) -> list[bool]:
+    """For every stream, whether it stands as a whole on ``min_pages`` distinct pages."""
+    on: dict[tuple[str, ...], set[int]] = {}
+    whole = [tuple(s) for s in streams]
+    for s, page in zip(whole, pages, strict=True):
+        if len(s) >= min_block:
+            on.setdefault(s, set()).add(page)
+    return [len(on.get(s, ())) >= min_pages for s in whole]
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")), F.lit("")))
 
@@ -196,7 +209,8 @@ def host_texts(group: pd.DataFrame) -> pd.DataFrame:
                 streams.append(block.split())
                 pages.append(ids[row])
                 where.append((row, k))
-    masks = dict(zip(where, covered(streams, pages), strict=True))
+    whole = repeated_blocks(streams, pages)
+    masks = {at: cover | gone for at, cover, gone in zip(where, covered(streams, pages), whole, strict=True)}
     texts = []
     for row, (zones, blocks) in enumerate(zip(group["zones"], group["blocks"], strict=True)):
         keep = [b for z, b in zip(zones, blocks, strict=True) if z == CONTENT]

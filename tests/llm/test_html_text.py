@@ -70,3 +70,12 @@ def test_boilerplate_of_pages_without_article(spark, monkeypatch):
         assert r.n_chars == len(r.text)
     assert {r.text for r in out if r.page_id in (100, 101, None)} == {"", "lone", "é 😀"}
     assert h.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_common_phrases_stay_in_open_prose(spark):
+    notice = "Subscribers of this site may read every story in full " * 4
+    story = "<p>Visitor w{0} came at the end of the day and as a result of it w{0} left on the other hand w{0} stayed</p>"
+    rows = [(k, f"https://one.example/{k}", f"<body>{story.format(k)}<p>start w{k} {notice} w{k} stop</p><p>All rights belong to somebody else</p>") for k in range(12)]
+    for r in h.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        k = r.page_id
+        assert r.text == story.format(k)[3:-4] + f"\nstart w{k} w{k} stop"
