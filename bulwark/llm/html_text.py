@@ -8,8 +8,9 @@ streams of what lies outside the content zone are concatenated and their suffixe
 whole: a paragraph that an article shares with others is still part of it.  A page without one yields its open blocks less
 the covered boilerplate, so that unique runs stay.
 
-A host with many pages is split by a hash of the page into groups of about ``GROUP_PAGES``, each with its own suffix array, so no
-task holds a host of any size.  Defined cases: null html gives an empty text; a null or odd url is host ``''``; repeated
+A host with many pages is split by a hash of the page into groups of about ``GROUP_PAGES``, so no task holds a host of any
+size.  There the windows and whole blocks are hashed, the distinct pages of each are counted over the whole host, and every
+group is handed those of its own that repeat: the same substrings go as one suffix array over the host would find.  Defined cases: null html gives an empty text; a null or odd url is host ``''``; repeated
 pages are extracted alike (they count as one page for the boilerplate test only if their ids agree); other columns are not read; an empty table
 gives an empty result.
 """
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import map_batches
+from bulwark.llm.common import checkpointed, map_batches
 
 MIN_TOKENS = 30
 #: Tokens from which a whole block counts as a repeat.
@@ -178,29 +179,90 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")), F.lit("")))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, part, zones, blocks``; ``part`` splits hosts of many pages."""
-    rows = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    large = rows.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") > GROUP_PAGES).select("host", F.ceil(F.col("pages") / GROUP_PAGES).alias("parts"))
-    small = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    rows = rows.join(F.broadcast(large) if small else large, "host", "left")
+def keyed(pages: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``page_id, url, html, hh, parts, part``, and those of hosts that have several parts, if any; ``hh`` stands for the host."""
+    rows = pages.select("page_id", "url", "html", F.xxhash64(F.coalesce(host_of(F.col("url")), F.lit(""))).alias("hh"))
+    large = rows.groupBy("hh").agg(F.count("*").alias("pages")).filter(F.col("pages") > GROUP_PAGES).select("hh", F.ceil(F.col("pages") / GROUP_PAGES).alias("parts"))
+    hosts = large.limit(BROADCAST_HOSTS + 1).count()
+    rows = rows.join(F.broadcast(large) if hosts <= BROADCAST_HOSTS else large, "hh", "left")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))))
+    return rows, rows.filter("parts is not null") if hosts else None
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """``page_id, url, hh, part, split, zones, blocks``; ``split`` says that the host has several parts."""
 
     def make():
         def each(batch: pd.DataFrame) -> pd.DataFrame:
             got = [blocks_of(h) for h in batch["html"]]
-            out = batch[["page_id", "url", "host", "part"]].astype({"page_id": "Int64"})
+            out = batch[["page_id", "url", "hh", "part", "split"]].astype({"page_id": "Int64"})
             out["zones"] = [[z for z, _ in g] for g in got]
             out["blocks"] = [[t for _, t in g] for g in got]
             return out
 
         return each
 
-    return map_batches(rows, ["page_id", "url", "host", "part", "html"], "page_id long, url string, host string, part long, zones array<int>, blocks array<string>", make)
+    columns = ["page_id", "url", "hh", "part", F.col("parts").isNotNull().alias("split"), "html"]
+    return map_batches(rows, columns, "page_id long, url string, hh long, part long, split boolean, zones array<int>, blocks array<string>", make)
+
+
+def window_hashes(tokens: list[str], min_tokens: int = MIN_TOKENS) -> np.ndarray:
+    """A 64-bit hash of every window of ``min_tokens`` tokens."""
+    n = len(tokens) - min_tokens + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    each = pd.util.hash_array(np.array(tokens, dtype=object), categorize=False)
+    out = np.zeros(n, np.uint64)
+    for j in range(min_tokens):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
+    return out.view(np.int64)
+
+
+def block_hash(tokens: list[str]) -> int:
+    """A 64-bit hash of a whole block, apart from those of windows."""
+    return int(pd.util.hash_array(np.array(["\0" + " ".join(tokens)], dtype=object), categorize=False).view(np.int64)[0])
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """``hh, part, h``: hashes that stand on ``MIN_PAGES`` distinct pages of their host, for each part that has them."""
+
+    def make():
+        def each(batch: pd.DataFrame) -> pd.DataFrame:
+            hashes = []
+            for page in batch["html"]:
+                found = []
+                for tokens in (t.split() for z, t in blocks_of(page) if z != CONTENT):
+                    found.append(window_hashes(tokens))
+                    if len(tokens) >= MIN_BLOCK:
+                        found.append(np.array([block_hash(tokens)]))
+                hashes.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
+            out = batch[["page_id", "hh", "part"]].astype({"page_id": "Int64"})
+            out["h"] = hashes
+            return out
+
+        return each
+
+    found = map_batches(rows, ["page_id", "hh", "part", "html"], "page_id long, hh long, part long, h array<bigint>", make)
+    # pages whose ids agree, null among them, count once
+    seen = found.select("hh", "part", F.explode("h").alias("h"), "page_id").distinct()
+    per = checkpointed(seen.groupBy("hh", "part", "h").agg(F.count("*").alias("pages")))
+    spread = per.groupBy("hh", "h").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    return per.select("hh", "part", "h").join(spread.select("hh", "h"), ["hh", "h"], "left_semi")
+
+
+def masked(block: list[str], known: set[int]) -> np.ndarray:
+    """Which tokens of a block lie in windows, or a whole, among the hashes ``known``."""
+    out = np.zeros(len(block), bool)
+    for at, h in enumerate(window_hashes(block).tolist()):
+        if h in known:
+            out[at : at + MIN_TOKENS] = True
+    if len(block) >= MIN_BLOCK and block_hash(block) in known:
+        out[:] = True
+    return out
 
 
-def host_texts(group: pd.DataFrame) -> pd.DataFrame:
-    """Texts of the pages of one group of one host."""
+def host_texts(group: pd.DataFrame, known: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Texts of the pages of one group of one host; ``known`` has the repeats of a host that is split."""
     ids = pd.factorize(group["page_id"])[0]
     streams, pages, where = [], [], []
     for row, (zones, blocks) in enumerate(zip(group["zones"], group["blocks"], strict=True)):
@@ -209,8 +271,12 @@ def host_texts(group: pd.DataFrame) -> pd.DataFrame:
                 streams.append(block.split())
                 pages.append(ids[row])
                 where.append((row, k))
-    whole = repeated_blocks(streams, pages)
-    masks = {at: cover | gone for at, cover, gone in zip(where, covered(streams, pages), whole, strict=True)}
+    if group["split"].any():
+        hashes = set(known["h"].tolist())
+        masks = {at: masked(s, hashes) for at, s in zip(where, streams, strict=True)}
+    else:
+        whole = repeated_blocks(streams, pages)
+        masks = {at: cover | gone for at, cover, gone in zip(where, covered(streams, pages), whole, strict=True)}
     texts = []
     for row, (zones, blocks) in enumerate(zip(group["zones"], group["blocks"], strict=True)):
         keep = [b for z, b in zip(zones, blocks, strict=True) if z == CONTENT]
@@ -228,5 +294,11 @@ def host_texts(group: pd.DataFrame) -> pd.DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    texts = parsed(pages).groupBy("host", "part").applyInPandas(host_texts, "page_id long, url string, text string")
+    rows, split = keyed(pages)
+    groups, schema = parsed(rows).groupBy("hh", "part"), "page_id long, url string, text string"
+    if split is None:
+        texts = groups.applyInPandas(lambda group: host_texts(group), schema)
+    else:
+        both = groups.cogroup(repeats(split).groupBy("hh", "part"))
+        texts = both.applyInPandas(lambda group, known: host_texts(group, known), schema)
     return texts.withColumn("n_chars", F.length("text").cast("long"))

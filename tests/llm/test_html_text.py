@@ -79,3 +79,16 @@ def test_common_phrases_stay_in_open_prose(spark):
     for r in h.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         k = r.page_id
         assert r.text == story.format(k)[3:-4] + f"\nstart w{k} w{k} stop"
+
+
+def test_repeats_across_parts_of_a_host(spark, monkeypatch):
+    notice = " ".join(f"word{j}" for j in range(40))
+    rows = [(k, f"https://one.example/{k}", f"<p>own w{k} {notice if k % 12 == 0 else ''} w{k} end</p><p>a short line of {k % 20}</p>") for k in range(60)]
+    rows += [(0, *rows[0][1:])] * 2 + [(70, "https://two.example/", f"<p>{notice}</p>"), (None, "https://one.example/n", "<p>a line on one null page</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(str, h.main_texts(df).collect()))
+    monkeypatch.setattr(h, "GROUP_PAGES", 4)
+    got = h.main_texts(df).collect()
+    assert sorted(map(str, got)) == whole
+    assert {r.text for r in got if r.page_id is not None and r.page_id < 60} == {f"own w{k} w{k} end" for k in range(60)}
+    assert {r.text for r in got if r.page_id == 70} == {notice}
