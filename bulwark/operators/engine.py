@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.errors import InputBlocked, OutputBlocked
-from bulwark.functions.result import rank
+from bulwark.functions.result import let, rank
 from bulwark.operators.check import Check, Scope, prepared
 from bulwark.operators.compose import EMPTY
 
@@ -63,9 +63,14 @@ def guard(
     """
     phase = "Output" if output_checks else "Input"
     scope = Scope(F.coalesce(F.col(text), F.lit("")), **columns)
-    out = df.withColumn("results", run([*input_checks, *output_checks], scope, sequential)).withColumn("summary", summary(F.col("results")))
-    out = out.withColumn("blocked", F.col("summary.blocked") > 0)
-    out = out.withColumn("final_text", F.when(F.col("blocked"), blocked_text(F.col("summary"), phase)).otherwise(F.col(text)) if replace else F.col(text))
+
+    def decided(results: Column) -> Column:
+        return let(summary(results), lambda s: F.struct(results.alias("results"), s.alias("summary"), (s["blocked"] > 0).alias("blocked"), F.when(s["blocked"] > 0, blocked_text(s, phase)).alias("notice")))
+
+    # one bound value: the optimizer would otherwise copy every check into each column that reads the results
+    out = df.withColumn("__guarded", let(run([*input_checks, *output_checks], scope, sequential), decided))
+    final = F.coalesce(F.col("__guarded.notice"), F.col(text)) if replace else F.col(text)
+    out = out.withColumns({"results": F.col("__guarded.results"), "summary": F.col("__guarded.summary"), "blocked": F.col("__guarded.blocked"), "final_text": final}).drop("__guarded")
     if on_block == "raise" and not out.filter("blocked").isEmpty():
         raise (OutputBlocked if output_checks else InputBlocked)("blocked records")
     return out

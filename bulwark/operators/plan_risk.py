@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bulwark.functions.regex import Rx
-from bulwark.functions.result import rank, result
+from bulwark.functions.result import let, rank, result
 from bulwark.operators.check import Check, Scope
 
 #: Words in tool names, by what the tool does.
@@ -25,27 +25,31 @@ def split_name(name: Column) -> Column:
 
 
 def classify(tools: Column) -> Column:
-    """``verdict, score, category, reason`` of an array of tool names; the first rule that fits decides."""
-    names = F.transform(tools, split_name)
-    some = lambda rx: F.exists(names, lambda n: rx.test(n))
-    packages, fetch, read = some(PACKAGES), some(FETCH), some(UNTRUSTED)
+    """``verdict, score, category, reason`` of an array of tool names; the first rule that fits decides.
+
+    All names are tested as one text, a line each, with the case folded once.
+    """
     verdict = lambda v, s, c, r: F.struct(F.lit(v).alias("verdict"), F.lit(s).alias("score"), F.lit(c).cast("string").alias("category"), F.lit(r).cast("string").alias("reason"))
-    return (
-        F.when(F.size(F.coalesce(tools, F.array().cast("array<string>"))) == 0, verdict("low", 0.0, None, None))
-        .when(packages & some(LIST) & some(UPLOAD) & fetch, verdict("high", 0.9, "package_manager_ssrf", "list_upload_fetch_registry_chain"))
-        .when(packages & some(COORDINATION), verdict("high", 0.88, "cross_agent_coordination", "registry_used_as_message_board"))
-        .when(some(EXTERNAL) & (fetch | read), verdict("high", 0.87, "external_eval_cheat", "external_infrastructure_for_eval_answers"))
-        .when(some(DESTRUCTIVE) & read, verdict("high", 0.85, "untrusted_to_destructive_chain", "mixed_untrusted_and_destructive_tools"))
-        .when(F.size(tools) >= LONG_PLAN, verdict("medium", 0.55, "long_tool_chain", "long_tool_sequence"))
-        .otherwise(verdict("low", 0.1, None, None))
-    )
+
+    def judged(t: Column) -> Column:
+        has = lambda rx: t["names"].rlike(rx.java)
+        return (
+            F.when(t["n"] <= 0, verdict("low", 0.0, None, None))
+            .when(has(PACKAGES) & has(LIST) & has(UPLOAD) & has(FETCH), verdict("high", 0.9, "package_manager_ssrf", "list_upload_fetch_registry_chain"))
+            .when(has(PACKAGES) & has(COORDINATION), verdict("high", 0.88, "cross_agent_coordination", "registry_used_as_message_board"))
+            .when(has(EXTERNAL) & (has(FETCH) | has(UNTRUSTED)), verdict("high", 0.87, "external_eval_cheat", "external_infrastructure_for_eval_answers"))
+            .when(has(DESTRUCTIVE) & has(UNTRUSTED), verdict("high", 0.85, "untrusted_to_destructive_chain", "mixed_untrusted_and_destructive_tools"))
+            .when(t["n"] >= LONG_PLAN, verdict("medium", 0.55, "long_tool_chain", "long_tool_sequence"))
+            .otherwise(verdict("low", 0.1, None, None))
+        )
+
+    return let(F.struct(F.coalesce(F.size(tools), F.lit(0)).alias("n"), split_name(F.array_join(tools, "\n")).alias("names")), judged)
 
 
 def plan_risk(block_at: str = "high", classifier=classify) -> Check:
     """Triggers when the verdict is as high as ``block_at``."""
 
     def build(s: Scope) -> Column:
-        v = classifier(s.tools)
-        return result("plan-risk", rank(v["verdict"]) >= rank(F.lit(block_at)), v["verdict"], F.concat(F.lit("Risky plan: "), v["reason"]), confidence=v["score"], category=v["category"])
+        return let(classifier(s.tools), lambda v: result("plan-risk", rank(v["verdict"]) >= rank(F.lit(block_at)), v["verdict"], F.concat(F.lit("Risky plan: "), v["reason"]), confidence=v["score"], category=v["category"]))
 
     return Check("plan-risk", build, "high")

@@ -40,10 +40,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text``; a table of fewer files than cores is dealt out first, as one file's row group is one task."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    """``doc_id, text``, as the scan's own splits deal them out."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:

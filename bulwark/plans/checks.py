@@ -99,9 +99,8 @@ check_query(
 check_query("prompt_injection_normalized", input_checks.injection_detector(), None, confidence=True, patterns="long")
 
 
-@query("high_entropy", "WITH w AS (SELECT doc_id, left(text, 400) AS t FROM documents), c AS (SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL), n AS (SELECT doc_id, length(t) AS n FROM w), e AS (SELECT c.doc_id, -sum((k / n::DOUBLE) * log2(k / n::DOUBLE)) AS h FROM c JOIN n USING (doc_id) GROUP BY ALL) SELECT n.doc_id, coalesce(n >= 40 AND h >= 4.2, false) AS triggered, CASE WHEN n >= 40 THEN round(h, 6) END AS entropy FROM n LEFT JOIN e USING (doc_id)")
+@query("high_entropy", "WITH w AS (SELECT doc_id, text AS t FROM documents), c AS (SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(t, '')) AS ch FROM w) WHERE ch <> '' GROUP BY ALL), n AS (SELECT doc_id, length(t) AS n FROM w), e AS (SELECT c.doc_id, -sum((k / n::DOUBLE) * log2(k / n::DOUBLE)) AS h FROM c JOIN n USING (doc_id) GROUP BY ALL) SELECT n.doc_id, coalesce(n >= 40 AND h >= 4.2, false) AS triggered, CASE WHEN n >= 40 THEN round(h, 6) END AS entropy FROM n LEFT JOIN e USING (doc_id)")
 def high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL above reads the first 400 characters only; the check reads all of a text
     rows = documents(spark, sf_dir).select("doc_id", F.col("text").alias("t"))
     out = checked(rows, input_checks.high_entropy(4.2), entropy="double")
     return out.select("doc_id", "triggered", F.round("entropy", 6).alias("entropy"))

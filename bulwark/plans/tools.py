@@ -46,9 +46,9 @@ WHEN {some(plan_risk.DESTRUCTIVE)} AND {some(plan_risk.UNTRUSTED)} THEN 'high:0.
 SELECT event_id, split_part(x, ':', 1) AS verdict, CAST(split_part(x, ':', 2) AS DOUBLE) AS score, split_part(x, ':', 1) = 'high' AS triggered FROM v""")
 def plan_risk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plans(spark, sf_dir)
-    v = plan_risk.classify(F.col("tools"))
-    r = plan_risk.plan_risk()(Scope(F.lit(""), tools=F.col("tools")))
-    return rows.select("event_id", v["verdict"].alias("verdict"), v["score"].alias("score"), r["triggered"].alias("triggered"))
+    # the check's own severity and confidence are the classifier's verdict and score
+    r = rows.select("event_id", plan_risk.plan_risk()(Scope(F.lit(""), tools=F.col("tools"))).alias("r"))
+    return r.select("event_id", F.col("r.severity").alias("verdict"), F.col("r.confidence").alias("score"), "r.triggered")
 
 
 _OK, _NO = ["calculate", "search", "read_file"], ["delete_file"]
