@@ -4,11 +4,12 @@ A few hundred regular expressions, each with a priority and a label, are gated b
 keywords a text holds, and only the rules of those keywords run.  A detection that lies inside a longer one is dropped;
 of detections with the same bounds the one of highest priority stays.
 
-The rules are hand-written families: full titles, SPDX identifiers, license headers, grant sentences, and URLs, over the
-licenses listed in ``FAMILIES``.  Base phrases are counted apart, as consecutive words, and their labels always stay.
+The rules are hand-written: sentences that only license texts and notices hold (``NOTICES``), and for the licenses in ``FAMILIES``
+full titles, short names, SPDX identifiers, grants and URLs.  Words of a rule may stand apart by any white space, punctuation and
+comment marks, so wrapped headers are found.  Base phrases are counted apart, as consecutive words, and their labels always stay.
 
 Defined cases: null counts as an empty text (no words, no labels, score 0); texts are scanned whole; overlapping base
-phrases all count; repeated rows are scanned alike; no other column is read.
+phrases all count; repeated rows are scanned alike; no other column is read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ PHRASES = {
     ("mit", "license"): "mit",
 }
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Code points a detection may span besides its pattern's own bounds; patterns use bounded gaps only.
-GAP = r"[^0-9a-z]{1,12}"
+#: What may stand between two words of a pattern, however long: white space, punctuation and comment marks, but no letter or digit.
+GAP_CLASS = "[^0-9a-z\u00c0-\u1fff\u3040-\U0010ffff]"
+GAP = GAP_CLASS + "+"
 
 
 @dataclass(frozen=True)
@@ -93,7 +95,7 @@ FAMILIES = [
     ("postgresql", "postgresql", "postgresql_licen[sc]e", "postgresql_licen[sc]ed", "postgresql", "opensource\\.org/licenses?/postgresql"),
     ("ofl-1.1", "sil", "sil_open_font_licen[sc]e", "ofl_?1\\.1", "ofl-1\\.1", "scripts\\.sil\\.org/ofl"),
     ("odbl-1.0", "database", "open_database_licen[sc]e", "odbl_?v?1\\.0", "odbl-1\\.0", "opendatacommons\\.org/licenses/odbl"),
-    ("eupl-1.2", "european", "european_union_public_licen[sc]e", "eupl_?v?1\\.[12]", "eupl-1\\.[12]", "joinup\\.ec\\.europa\\.eu/[a-z/]{0,40}eupl"),
+    ("eupl-1.2", "european", "european_union_public_licen[sc]e", "eupl_?v?1\\.[12]", "eupl-1\\.[12]", "joinup\\.ec\\.europa\\.eu/[a-z/]*eupl"),
     ("ms-pl", "microsoft", "microsoft_public_licen[sc]e", "ms-pl_licen[sc]e", "ms-pl", "opensource\\.org/licenses?/ms-pl"),
     ("ncsa", "illinois", "university_of_illinois/ncsa_open_source_licen[sc]e", "ncsa_licen[sc]e", "ncsa", "opensource\\.org/licenses?/ncsa"),
     ("upl-1.0", "universal", "universal_permissive_licen[sc]e", "upl_?1\\.0", "upl-1\\.0", "opensource\\.org/licenses?/upl"),
@@ -104,7 +106,7 @@ NOTICES = [
     ("mit", "permission", "permission_is_hereby_granted,?_free_of_charge,?_to_any_person_obtaining_a_copy"),
     ("isc", "permission", "permission_to_use,?_copy,?_modify,?_and(?:/or)?_distribute_this_software_for_any_purpose"),
     ("bsd", "redistribution", "redistribution_and_use_in_source_and_binary_forms,?_with_or_without_modification"),
-    ("bsd-3-clause", "endorse", "neither_the_name_of_[^.]{1,120}endorse_or_promote_products"),
+    ("bsd-3-clause", "endorse", "neither_the_name_of_(?:(?!neither)[^\\x00])*?endorse_or_promote_products"),
     ("bsd-4-clause", "advertising", "all_advertising_materials_mentioning_features_or_use_of_this_software"),
     ("zlib", "warranty", "this_software_is_provided_'?as-is'?,?_without_any_express_or_implied_warranty"),
     ("gpl", "redistribute", "you_can_redistribute_it_and/or_modify_it_under_the_terms_of_the_gnu_general_public_licen[sc]e"),
@@ -118,11 +120,93 @@ NOTICES = [
     ("proprietary", "confidential", "(?:proprietary_and_confidential|confidential_and_proprietary)"),
     ("bsl-1.0", "boost", "distributed_under_the_boost_software_licen[sc]e"),
     ("ofl-1.1", "font", "this_font_software_is_licen[sc]ed_under_the_sil_open_font_licen[sc]e"),
+    # permissive licenses, clause by clause
+    ("mit", "sublicense", "rights_to_use,?_copy,?_modify,?_merge,?_publish,?_distribute,?_sublicense"),
+    ("mit", "portions", "the_above_copyright_notice_and_this_permission_notice_shall_be_included_in_all_copies_or_substantial_portions_of_the_software"),
+    ("mit", "noninfringement", "warranties_of_merchantability,?_fitness_for_a_particular_purpose_and_noninfringement"),
+    ("bsd", "redistributions", "redistributions_of_source_code_must_retain_the_above_copyright_notice"),
+    ("bsd", "redistributions", "redistributions_in_binary_form_must_reproduce_the_above_copyright_notice"),
+    ("bsd", "contributors", "this_software_is_provided_by_the_copyright_holders_and_contributors"),
+    ("bsd-4-clause", "acknowledgement", "must_display_the_following_acknowledgement"),
+    ("0bsd", "permission", "permission_to_use,?_copy,?_modify,?_and(?:/or)?_distribute_this_software_for_any_purpose_with_or_without_fee_is_hereby_granted\\."),
+    ("isc", "disclaims", "the_author_disclaims_all_warranties_with_regard_to_this_software"),
+    ("zlib", "altered", "altered_source_versions_must_be_plainly_marked_as_such"),
+    ("zlib", "misrepresented", "the_origin_of_this_software_must_not_be_misrepresented"),
+    ("bsl-1.0", "boost", "boost_software_licen[sc]e_-_version_1\\.0_-_august_17th,?_2003"),
+    ("bsl-1.0", "entire", "the_copyright_notices_in_the_software_and_this_entire_statement"),
+    ("postgresql", "postgresql", "postgresql_database_management_system_\\(formerly_known_as_postgres"),
+    ("python-2.0", "python", "psf_is_making_python_available_to_licen[sc]ee_on_an_(?:\"|')?as_is"),
+    ("openssl", "openssl", "this_product_includes_software_developed_by_the_openssl_project"),
+    ("ncsa", "illinois", "names_of_[a-z_]*university_of_illinois"),
+    ("hpnd", "permission", "permission_to_use,?_copy,?_modify,?_and_distribute_this_software_and_its_documentation_for_any_purpose"),
+    ("curl", "provided", "permission_to_use,?_copy,?_modify,?_and_distribute_this_software_for_any_purpose_with_or_without_fee_is_hereby_granted,?_provided_that"),
+    # the GNU family
+    ("gpl", "hope", "distributed_in_the_hope_that_it_will_be_useful,?_but_without_any_warranty"),
+    ("gpl", "received", "you_should_have_received_a_copy_of_the_gnu_general_public_licen[sc]e"),
+    ("lgpl", "received", "you_should_have_received_a_copy_of_the_gnu_(?:lesser|library)_general_public_licen[sc]e"),
+    ("agpl-3.0", "received", "you_should_have_received_a_copy_of_the_gnu_affero_general_public_licen[sc]e"),
+    ("gpl-2.0", "version", "either_version_2_of_the_licen[sc]e,?_or_\\(?at_your_option\\)?_any_later_version"),
+    ("gpl-3.0", "version", "either_version_3_of_the_licen[sc]e,?_or_\\(?at_your_option\\)?_any_later_version"),
+    ("lgpl-2.1", "version", "either_version_2\\.1_of_the_licen[sc]e,?_or_\\(?at_your_option\\)?_any_later_version"),
+    ("gpl-2.0", "terms", "terms_and_conditions_for_copying,?_distribution_and_modification"),
+    ("gpl", "verbatim", "everyone_is_permitted_to_copy_and_distribute_verbatim_copies_of_this_licen[sc]e_document"),
+    ("agpl-3.0", "interacting", "offer_all_users_interacting_with_it_remotely_through_a_computer_network"),
+    ("gfdl", "invariant", "no_invariant_sections,?_no_front-cover_texts,?_and_no_back-cover_texts"),
+    ("gpl", "exception", "as_a_special_exception,?_the_copyright_holders"),
+    ("classpath-exception", "linking", "linking_this_library_statically_or_dynamically_with_other_modules"),
+    # weak copyleft and vendor licenses
+    ("apache-2.0", "apache", "you_may_not_use_this_file_except_in_compliance_with_the_licen[sc]e\\._you_may_obtain_a_copy_of_the_licen[sc]e_at_https?://www\\.apache\\.org"),
+    ("apache-2.0", "apache", "licen[sc]ed_to_the_apache_software_foundation"),
+    ("apache-1.1", "apache", "this_product_includes_software_developed_by_the_apache_software_foundation"),
+    ("apache-2.0", "perpetual", "hereby_grants_to_you_a_perpetual,?_worldwide,?_non-exclusive,?_no-charge,?_royalty-free,?_irrevocable_(?:copyright|\\(except)"),
+    ("mpl-1.1", "mozilla", "the_contents_of_this_file_are_subject_to_the_mozilla_public_licen[sc]e"),
+    ("mpl-2.0", "incompatible", "incompatible_with_secondary_licen[sc]es"),
+    ("epl-2.0", "eclipse", "this_program_and_the_accompanying_materials_are_made_available_under_the_terms_of_the_eclipse_public_licen[sc]e_(?:v_?)?2"),
+    ("epl-1.0", "eclipse", "this_program_and_the_accompanying_materials_are_made_available_under_the_terms_of_the_eclipse_public_licen[sc]e_(?:v_?)?1"),
+    ("cddl-1.0", "cddl", "when_distributing_covered_code,?_include_this_cddl_header"),
+    ("cpl-1.0", "common", "common_public_licen[sc]e(?:_version_|_v)_?1\\.0"),
+    ("ms-rl", "reciprocal", "microsoft_reciprocal_licen[sc]e"),
+    ("artistic-1.0", "artistic", "the_intent_of_this_document_is_to_state_the_conditions_under_which_a_package_may_be_copied(?:(?!copied)[^.])*?artistic"),
+    ("php-3.01", "php", "this_product_includes_php_software"),
+    ("ruby", "ruby", "you_can_redistribute_it_and/or_modify_it_under_either_the_terms_of_the_2-clause_bsdl?(?:(?!clause)[^.])*?ruby"),
+    ("vim", "vim", "vim_licen[sc]e"),
+    ("afl-3.0", "academic", "academic_free_licen[sc]e(?:_version_|_v)_?3\\.0"),
+    ("osl-3.0", "open", "open_software_licen[sc]e(?:_version_|_v)_?3\\.0"),
+    ("eupl-1.2", "eupl", "licen[sc]ed_under_the_eupl"),
+    # dedications
+    ("cc0-1.0", "waived", "to_the_extent_possible_under_law,?_(?:(?!possible)[^.])*?waived_all_copyright"),
+    ("cc0-1.0", "dedication", "cc0_(?:1\\.0_)?(?:universal_)?(?:\\(cc0_1\\.0\\)_)?public_domain_dedication"),
+    ("unlicense", "anyone", "anyone_is_free_to_copy,?_modify,?_publish,?_use,?_compile,?_sell,?_or_distribute_this_software"),
+    ("wtfpl", "fuck", "you_just_do_what_the_fuck_you_want_to"),
+    ("public-domain", "public", "this_(?:work|file|program|software)_is_in_the_public_domain"),
+    # creative works and data
+    ("cc-by", "creative", "this_work_is_licen[sc]ed_under_a_creative_commons_attribution_[1-4]\\.[05]_international_licen[sc]e"),
+    ("cc-by-sa", "remix", "if_you_remix,?_transform,?_or_build_upon_the_material,?_you_must_distribute_your_contributions_under_the_same_licen[sc]e"),
+    ("cc-by-nc", "commercial", "you_may_not_use_the_material_for_commercial_purposes"),
+    ("cc-by-nd", "remix", "if_you_remix,?_transform,?_or_build_upon_the_material,?_you_may_not_distribute_the_modified_material"),
+    ("odbl-1.0", "database", "is_made_available_under_the_open_database_licen[sc]e"),
+    ("odc-by-1.0", "commons", "open_data_commons_attribution_licen[sc]e"),
+    ("pddl-1.0", "public", "open_data_commons_public_domain_dedication_and_licen[sc]e"),
+    ("cdla-permissive-2.0", "community", "community_data_licen[sc]e_agreement_-_permissive_-_version_2\\.0"),
+    ("ogl-3.0", "government", "open_government_licen[sc]e_v3\\.0"),
+    # source-available, models, and closed terms
+    ("busl-1.1", "production", "make_production_use_of_the_licen[sc]ed_work"),
+    ("sspl-1.0", "service", "offering_the_program_as_a_service"),
+    ("elastic-2.0", "elastic", "elastic_licen[sc]e_2\\.0"),
+    ("elastic-2.0", "managed", "you_may_not_provide_the_software_to_third_parties_as_a_hosted_or_managed_service"),
+    ("polyform-noncommercial-1.0.0", "polyform", "polyform_noncommercial_licen[sc]e_1\\.0\\.0"),
+    ("commons-clause", "commons", "commons_clause_licen[sc]e_condition_v1\\.0"),
+    ("openrail", "rail", "use-based_restrictions_(?:(?!restrictions)[^.])*?open_?rail"),
+    ("llama", "llama", "llama_[0-9.]*_?community_licen[sc]e_agreement"),
+    ("gemma", "gemma", "gemma_is_provided_under_and_subject_to_the_gemma_terms_of_use"),
+    ("proprietary", "permission", "may_not_be_reproduced,?_(?:distributed|transmitted)(?:(?!reproduced)[^.])*?without_(?:the_)?(?:prior_|express_)?written_permission"),
+    ("proprietary", "unauthorized", "unauthorized_copying_of_this_file,?_via_any_medium,?_is_strictly_prohibited"),
+    ("proprietary", "contains", "contains_(?:trade_secrets|confidential_information)_of"),
 ]
 
 
 def compiled(pattern: str) -> re.Pattern:
-    return re.compile(r"(?<![0-9a-z])" + re.sub(r"_(?![?])", lambda _: GAP, pattern.replace("_?", r"[^0-9a-z]{0,3}")) + r"(?![0-9a-z])")
+    return re.compile(r"(?<![0-9a-z])" + re.sub(r"_(?![?])", lambda _: GAP, pattern.replace("_?", GAP_CLASS + "{0,3}")) + r"(?![0-9a-z])")
 
 
 @lru_cache(maxsize=1)

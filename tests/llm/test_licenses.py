@@ -44,6 +44,24 @@ def test_every_rule_is_gated_by_a_keyword_it_contains():
         assert rule.keyword and rule.keyword == rule.keyword.lower()
 
 
+def test_wrapped_headers():
+    labels = lambda t: licenses.scan(t)[5]
+    wrap = "\n *" + " " * 15
+    assert labels(f"GNU{wrap}Lesser General Public License version 2.1") == "lgpl-2.1"
+    holder = "the University of Somewhere Inc. nor the names of its contributors " + "and friends " * 30
+    assert "bsd-3-clause" in labels(f"Neither the name of {holder}may be used to endorse{wrap}or promote products")
+    assert labels("mit \u8bb8\u53ef license") == "" and labels("mit \u2013 license") == "mit"
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for part in ("neither the name of ", "license: ", "mit " + "-" * 50, "gnu general public ", "to the extent possible under law, "):
+        licenses.scan(part * 20_000)
+    assert time.time() - began < 30
+
+
 def test_documents(docs, edge_rows):
     got = licenses.scan_documents(docs(edge_rows)).collect()
     assert len(got) == len(edge_rows)
