@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,14 +38,12 @@ GROUP_PAGES = 256
 BROADCAST_HOSTS = 50_000
 CONTENT, OPEN, CHROME = 0, 1, 2
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|title|select|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-z][a-z0-9-]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: The rest of a tag after its name: attributes, whose quoted values may hold anything.
+REST = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)[^>=]*+)*+>")
+NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9-]*)")
+#: Elements whose content is no markup, and elements that hold no text of the page; a tag of either without an end tag is passed over.
+RAW = frozenset("script style title textarea iframe xmp noembed".split())
+NO_TEXT = frozenset("noscript template svg select object math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Elements that end without a tag as often as with one.
@@ -51,29 +51,114 @@ OPTIONAL_END = frozenset("p li td th tr dt dd option".split())
 #: Elements that are chrome wherever they stand, and those that are so outside the content.
 CHROME_TAGS = frozenset("nav aside form footer dialog menu button fieldset".split())
 CHROME_OUTSIDE = frozenset(["header"])
-NAMES = (
-    r"ad|ads|adv|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|comment|comments|disqus|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|skip-link|skiplink"
-)
-ATTRIBUTE = re.compile(rf"\b(?:class|id)\s*=\s*(?:\"(?:[^\"]*[\s_-])?(?:{NAMES})(?:[\s_-][^\"]*)?\"|'(?:[^']*[\s_-])?(?:{NAMES})(?:[\s_-][^']*)?'|(?:{NAMES})(?=[\s>/]|$))", re.I)
+#: Parts of a class or id that make an element chrome in any compound, and those that do only alone or beside a word of layout.
+STRONG = frozenset(
+    "ad ads adv advert advertisement advertising sponsor sponsored promo sidebar side-bar nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus "
+    "cookie cookies gdpr popup modal newsletter subscribe share sharing widget toolbar pagination pager skip-link skiplink".split()
+)
+WEAK = frozenset("banner promoted menu header masthead consent notice notices alert overlay signup login social related recommended copyright".split())
+LAYOUT = frozenset(
+    "site main top bottom left right global bar box list links link posts post articles stories items item buttons button icons icon wrapper wrap container inner outer area section "
+    "block module panel row col strip sticky fixed mobile desktop primary secondary page media follow text message close dropdown toggle form".split()
+)
+#: Of these, what an article may hold: its own head.
+HEADS = frozenset(["header", "masthead"])
+NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)\b", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+def chrome_name(token: str, inside: bool) -> bool:
+    """Whether one class or id names chrome; ``inside`` an article its own head stays."""
+    if token in STRONG:
+        return True
+    parts = [p for p in re.split(r"[-_]+", token) if p]
+    if any(p in STRONG for p in parts):
+        return True
+    weak = [p for p in parts if p in WEAK and not (inside and p in HEADS)]
+    return bool(weak) and all(p in WEAK or p in LAYOUT or p.isdigit() for p in parts)
+
+
+@lru_cache(maxsize=4096)
+def chrome_attributes(attributes: str, named: bool, inside: bool) -> bool:
+    """Whether a tag's attributes make it chrome; ``named`` says that class and id count."""
+    if HIDDEN.search(attributes):
+        return True
+    if "=" not in attributes:
+        return False
+    if ROLE.search(attributes):
+        return True
+    return named and any(chrome_name(t, inside) for m in NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split())
+
+
 def zone_of(name: str, attributes: str, outer: int) -> int:
     """The zone inside an element that stands in zone ``outer``."""
-    if attributes and "=" in attributes and (ATTRIBUTE.search(attributes) and name not in ("body", "html") or ROLE.search(attributes)):
-        return CHROME
-    if attributes and HIDDEN.search(attributes):
+    if attributes and chrome_attributes(attributes, name not in ("body", "html"), outer == CONTENT):
         return CHROME
     if name in ("article", "main"):
         return CONTENT
-    if name in CHROME_TAGS or name in CHROME_OUTSIDE and outer != CONTENT:
+    if name in CHROME_TAGS or name in NO_TEXT or name in CHROME_OUTSIDE and outer != CONTENT:
         return CHROME
     return outer
 
 
+def marks(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """``start, end, name, closing, attributes`` of every piece of markup, in one pass; comments, declarations and raw elements have no name.
+
+    Whatever is looked for in vain (an end tag, a ``>``, a closing quote) is looked for once.
+    """
+    at, missing, plain = 0, set(), False
+    while (start := page.find("<", at)) >= 0:
+        m = NAME.match(page, start + 1)
+        if not m:
+            at = start + 1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+                yield start, at, "", False, ""
+            elif page.startswith(("<!", "<?", "</"), start) and ">" not in missing:
+                end = page.find(">", start)
+                if end < 0:
+                    missing.add(">")
+                else:
+                    at = end + 1
+                    yield start, at, "", False, ""
+            continue
+        name, closing = m[2].lower(), bool(m[1])
+        rest = None if plain else REST.match(page, m.end())
+        if not rest:  # a quote is left open: from here on a tag ends at the next >
+            plain = True
+            end = -1 if ">" in missing else page.find(">", m.end())
+            if end < 0:
+                missing.add(">")
+                at = start + 1
+                continue
+            at = end + 1
+        else:
+            at = rest.end()
+        attributes = page[m.end() : at - 1]
+        if closing or name not in RAW and name not in NO_TEXT:
+            yield start, at, name, closing, attributes
+            continue
+        if name in missing or name != "script" and name != "style" and attributes.endswith("/"):
+            yield start, at, "", False, ""
+            continue
+        over = end_tag(name).search(page, at)
+        if not over:
+            missing.add(name)
+            yield start, at, "", False, ""
+        elif name in RAW:
+            at = over.end()
+            yield start, at, "", True, ""
+        else:
+            yield start, at, name, False, attributes
+
+
+@lru_cache(maxsize=64)
+def end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*>?", re.I)
+
+
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """Zone and text of every block that isn't empty, in page order."""
     if not page:
@@ -81,6 +166,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}
     zone, at = OPEN, 0
 
     def close() -> None:
@@ -89,24 +175,27 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 out.append((zone, text))
             parts.clear()
 
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+    def pop() -> str:
+        nonlocal zone
+        name, zone = stack.pop()
+        held[name] -= 1
+        return name
+
+    for start, end, name, closing, attributes in marks(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if not name:
-            if m[1]:
+            if closing:  # a raw element stood here
                 parts.append(" ")
             continue
-        opened = any(n == name for n, _ in stack)
-        if m[2] or m[5]:
+        opened = held.get(name, 0) > 0
+        if closing:
             if opened or name not in INLINE:
                 close()
             while opened:
-                n, zone = stack.pop()
-                opened = n != name
+                opened = pop() != name
             continue
-        attributes = m[4] if m[3] else m[7]
         if name in VOID or name in INLINE and not opened and zone_of(name, attributes, zone) == zone:
             if name not in INLINE:
                 close()
@@ -115,9 +204,10 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             continue
         close()
         if stack and (stack[-1][0] == "p" and name not in INLINE or stack[-1][0] == name and name in OPTIONAL_END):
-            zone = stack.pop()[1]
+            pop()
         if name not in OPTIONAL_END or zone_of(name, attributes, zone) != zone:
             stack.append((name, zone))
+            held[name] = held.get(name, 0) + 1
             zone = zone_of(name, attributes, zone)
     if at < len(page):
         parts.append(page[at:])

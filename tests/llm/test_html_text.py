@@ -92,3 +92,71 @@ def test_repeats_across_parts_of_a_host(spark, monkeypatch):
     assert sorted(map(str, got)) == whole
     assert {r.text for r in got if r.page_id is not None and r.page_id < 60} == {f"own w{k} w{k} end" for k in range(60)}
     assert {r.text for r in got if r.page_id == 70} == {notice}
+
+
+def test_elements_without_an_end_and_names_in_articles():
+    assert content("<article><p>a</p><svg/><p>b</p><iframe/><p>c</p><object><p>d</p></article>") == ["a", "b", "c", "d"]
+    assert content("<article><p>a</p><svg><path/><text>no</text></svg><p>b</p></article>") == ["a", "b"]
+    kept = '<div class="social-history">x</div><div class="article-header"><h1>T</h1></div><div id="alerts-1990">y</div><p class="noticeable">z</p>'
+    assert content(f"<article>{kept}</article>") == ["x", "T", "y", "z"]
+    gone = '<div class="social-links">x</div><div class="related">r</div><div id="site-menu">m</div><p class="top notice">n</p><div class="ad-slot">a</div>'
+    assert content(f"<article>{gone}<p>t</p></article>") == ["t"]
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for part in ("<p a='b ", "<svg>", "<!--", '<p a="', "</", "<p", "<textarea>", "<article><p>x", "<b><i>"):
+        h.blocks_of(part * 20_000)
+    assert time.time() - began < 5
+
+
+def brute_texts(rows):
+    """The whole query in plain Python: windows and whole blocks compared as they are, host by host."""
+    parsed = [(i, url, h.blocks_of(html)) for i, url, html in rows]
+    windows, wholes = {}, {}
+    for i, url, blocks in parsed:
+        host = (url or "").split("/")[2] if "//" in (url or "") else ""
+        for zone, text in blocks:
+            tokens = text.split()
+            if zone != h.CONTENT:
+                for k in range(len(tokens) - h.MIN_TOKENS + 1):
+                    windows.setdefault((host, tuple(tokens[k : k + h.MIN_TOKENS])), set()).add(i)
+                if len(tokens) >= h.MIN_BLOCK:
+                    wholes.setdefault((host, text), set()).add(i)
+    out = []
+    for i, url, blocks in parsed:
+        host = (url or "").split("/")[2] if "//" in (url or "") else ""
+        keep = [text for zone, text in blocks if zone == h.CONTENT]
+        if not keep:
+            for zone, text in blocks:
+                tokens = text.split()
+                gone = [len(wholes.get((host, text), ())) >= h.MIN_PAGES] * len(tokens)
+                for k in range(len(tokens) - h.MIN_TOKENS + 1):
+                    if len(windows[host, tuple(tokens[k : k + h.MIN_TOKENS])]) >= h.MIN_PAGES:
+                        gone[k : k + h.MIN_TOKENS] = [True] * h.MIN_TOKENS
+                if zone == h.OPEN and (rest := " ".join(t for t, g in zip(tokens, gone, strict=True) if not g)):
+                    keep.append(rest)
+        out.append((i, "\n".join(keep)))
+    return sorted(out)
+
+
+def test_whole_query_equals_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, lines = [some(rng.randint(25, 60)) for _ in range(6)], [some(rng.randint(2, 8)) for _ in range(8)]
+    rows = []
+    for k in range(150):
+        blocks = [f"{some(rng.randint(0, 9))} {rng.choice(shared) if rng.random() < 0.4 else ''} {some(rng.randint(1, 30))}" for _ in range(rng.randint(1, 4))]
+        blocks += [rng.choice(lines)] * (rng.random() < 0.6) + [f"</p><nav>{rng.choice(lines)}</nav><p>"] * (rng.random() < 0.3)
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        rows.append((k, f"http://h{k % 4}.example/{k}" if k % 10 else None, f"<article>{body}</article><p>{some(3)}</p>" if k % 5 == 0 else f"<body>{body}"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = brute_texts(rows)
+    for group in (256, 7):
+        monkeypatch.setattr(h, "GROUP_PAGES", group)
+        assert sorted((r.page_id, r.text) for r in h.main_texts(df).collect()) == want
