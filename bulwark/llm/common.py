@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,22 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder comes from ``spark.checkpoint.dir``; where neither that setting nor a folder of the
-    context exists (tests, a laptop), a temporary one is set.
+    The folder comes from ``spark.checkpoint.dir``.  Where neither that setting nor a folder of the context exists, a
+    temporary one is set if the executors are threads of this very process (tests, a laptop); on a cluster that is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[0-9*, ]+\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small; texts may be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def cut(batch: pd.DataFrame, rows: int) -> Iterator[pd.DataFrame]:
+    """A batch in pieces of ``rows`` rows at most: the session's setting may have changed since the plan was made."""
+    for at in range(0, len(batch), rows):
+        yield batch.iloc[at : at + rows].reset_index(drop=True)
+
+
 def map_batches(
     df: DataFrame, columns: list[str | Column], schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 ) -> DataFrame:
@@ -47,7 +63,8 @@ def map_batches(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each = make()
         for batch in batches:
-            yield each(batch)
+            for part in cut(batch, BATCH_ROWS):
+                yield each(part)
 
     return df.select(*columns).mapInPandas(run, schema)
 

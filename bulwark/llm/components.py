@@ -1,7 +1,11 @@
-"""Connected components of an edge table.
-
-A table of up to ``LOCAL_EDGES`` edges (16 bytes each) is solved by one task in one pass; a larger one by alternating large
-and small stars, whose rounds are written to the checkpoint folder.  Both give the same roots.
+"""Connected components of an edge table, by joining forests of its partitions.
+
+Every partition first reduces its own edges to a forest of stars (each node under the smallest node that the partition's edges
+reach), in memory bounded by the partition.  A node that has several parents, from different partitions, hangs its other
+parents under its smallest one; a node whose parent has a parent moves up to it.  Rounds of both, with the partitions' forests in
+between, end once every node has one parent and no parent has one.  A node has at most as many parents as there are
+partitions, and a parent of many nodes is met in a join of two plain shuffles, which Spark splits.  Rounds are written to the checkpoint
+folder.
 """
 
 from __future__ import annotations
@@ -12,56 +16,55 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import checkpointed
-
+from bulwark.llm.common import checkpointed, release
 
-LOCAL_EDGES = 1_000_000
+#: Edges that a partition's forest is meant to take in.
+PARTITION_EDGES = 1_000_000
 
 
-def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Roots of all nodes of one task's edges; the smaller node becomes the root."""
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``node, parent`` of one partition's edges ``u, v``: the parent is the smallest node reached, and smaller than the node."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while x != top:
+            root[x], x = top, root[x]
+        return top
 
     for batch in batches:
         for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
             a, b = find(u), find(v)
             root[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": [*root], "root": [find(x) for x in [*root]]}, dtype="int64")
+    out = [(x, find(x)) for x in [*root]]
+    yield pd.DataFrame([(x, r) for x, r in out if x != r], columns=["node", "parent"], dtype="int64")
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over ``u, v``: larger (or smaller) neighbours move to the smallest one."""
-    around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = around.join(least, "u")
-    if large:
-        moved = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+def forest(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").mapInPandas(_forest, "node long, parent long")
 
 
-def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(edges: DataFrame, partition_edges: int = PARTITION_EDGES) -> DataFrame:
     """``node, root`` for every node of the undirected ``edges`` (``u, v``); the root is a component's smallest node.
 
-    An edge from a node to itself and repeated edges are harmless.  Stars converge in a number of rounds that grows with the
-    logarithm of the longest path.
+    An edge from a node to itself and repeated edges are harmless.  The longest path that is left shrinks by half a round at least.
     """
-    edges = checkpointed(edges.select("u", "v").filter("u <> v").distinct())
-    if edges.limit(local_edges + 1).count() <= local_edges:
-        return edges.coalesce(1).mapInPandas(_union_find, "node long, root long")
-    state = None
+    spark = edges.sparkSession
+    edges = checkpointed(edges.select("u", "v").filter("u <> v"))
+    parts = edges.rdd.getNumPartitions()
+    few = max(1, -(-edges.count() // partition_edges))
+    pairs = forest(edges.coalesce(few) if few < parts else edges)
     while True:
-        edges = checkpointed(_stars(_stars(edges, True), False))
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        under = checkpointed(pairs.groupBy("node").agg(F.min("parent").alias("parent"), F.collect_set("parent").alias("parents")))
+        above = under.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+        up = under.join(above, "parent", "left")
+        left = up.agg(F.count_if(F.col("top").isNotNull() | (F.size("parents") > 1))).first()[0]
+        if not left:
             break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        moved = up.select(F.col("node").alias("u"), F.coalesce("top", "parent").alias("v"))
+        others = under.filter(F.size("parents") > 1).select(F.explode("parents").alias("u"), F.col("parent").alias("v")).filter("u <> v")
+        pairs = forest(moved.unionByName(others))
+        release(spark)
+    return under.select("node", F.col("parent").alias("root")).unionByName(under.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct())

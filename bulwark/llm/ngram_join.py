@@ -4,9 +4,9 @@ Documents are sets of distinct five-word shingles (64-bit hashes).  Documents li
 and each is given the smallest doc_id that links reach.
 
 1. *Fragments of the shingle space.*  Each fragment counts, apart from the others, how many of a set's shingles occur in
-   another set too; the partial counts are summed per set.  A set with a partner shares at least 75 % of its shingles, so
-   all others are done.  A batch sends a shingle that several of its own sets hold only once, so a
-   shingle held by a third of all documents stays small.
+   another set too; the partial counts, one row for a batch of texts and a fragment, are summed per batch.  A set with a partner
+   shares at least 75 % of its shingles, so all others are done.  A batch sends a shingle that several of its own sets hold
+   only once, so a shingle held by a third of all documents stays small.
 2. *Global order.*  The shingles of the sets that are left are ordered by frequency, rarest first.  Two linked sets share a
    shingle within the first ``n - ceil(0.75 n) + 1`` of either.
 3. *Hubs.*  Members of such a posting list are compared with its most typical member, for a few rounds, and what links is
@@ -15,14 +15,14 @@ and each is given the smallest doc_id that links reach.
    the largest component is compared with all sets of other components, in blocks of bounded size.  The overlap of a pair is the
    sum of the partial overlaps in consecutive fragments of the global order.  Only edges of a spanning forest leave a block.
 
-Sets that are equal are one node throughout (64-bit digest of the set).  Defined cases: null texts and texts without words have
+What is joined to its own aggregate (a list to its hub, a group to its least id) meets it as a written table, so that Spark can split
+a key that many rows share.  Sets that are equal are one node throughout (64-bit digest of the set).  Defined cases: null texts and texts without words have
 no shingles, link with nothing and are their own component; texts of fewer than five words are one shingle; a null
 doc_id takes part and is reported as null only if nothing it links with has an id; repeated rows belong together; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import checkpointed, small_batches, text_bytes
+from bulwark.llm.common import checkpointed, cut, release, small_batches, text_bytes
 from bulwark.llm.components import components
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles in a fragment of the first step (and how many fragments there are at least), texts in one batch of it, sets in one block of the last step.
-FRAGMENT = 1_500_000
-LEAST_FRAGMENTS = 64
+#: Shingles in a fragment of the first step, texts in one batch of it (at most 65,536), sets in one block of the last step.
+FRAGMENT = 1_000_000
 BATCH = 1024
 BLOCK = 512
 HUB_ROUNDS = 2
@@ -79,86 +78,113 @@ def at_least(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of phases whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def set_rows(docs: DataFrame) -> DataFrame:
     """``id, th, n, sig`` of every row; a null doc_id sorts last, ``th`` stands for the text as it is."""
     small_batches(docs.sparkSession, BATCH)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut(whole, BATCH)):
             sets = [shingles(text_bytes(t)) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "n": [len(s) for s in sets], "sig": [digest(s) for s in sets]})
 
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text").mapInPandas(run, "id long, th long, n long, sig long")
 
 
-def shared_counts(docs: DataFrame, fragments: int) -> DataFrame:
-    """``sig, shared``: how many shingles of a set occur in another one, summed over the fragments (never too few)."""
+#: A fragment's rows: the batch, hash remainders of its shingles, for each the place in ``names`` of the set that holds it
+#: (``LONE`` if several of the batch do), and of each name the place in its batch.
+PACKED = "frag int, batch long, keys binary, owners binary, places binary, names binary"
+LONE = 0xFFFF
+
+
+def packed(batch: pd.DataFrame, fragments: int) -> list[tuple]:
+    """One batch of texts dealt out to fragments; fragment -1 has the batch's sets, their sizes and the counts that it settles itself."""
+    sets = {digest(s): s for s in (shingles(text_bytes(t)) for t in batch["text"]) if len(s)}
+    if not sets:
+        return []
+    names, sizes = np.array([*sets], np.int64), np.array([len(s) for s in sets.values()])
+    h, place = np.concatenate([*sets.values()]), np.repeat(np.arange(len(names)), sizes)
+    order = np.argsort(h, kind="stable")
+    h, place = h[order], place[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    many = np.zeros(len(h), bool)
+    many[1:] |= ~first[1:]
+    many[:-1] |= ~first[1:]
+    known = np.bincount(place[many], minlength=len(names))
+    # a shingle known to be shared goes out once, for no set in particular
+    keep = ~many | first
+    place = np.where(many, LONE, place)[keep]
+    h = h[keep]
+    frag = ((h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+    key = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    ends = np.append(np.flatnonzero(frag[1:] != frag[:-1]) + 1, len(frag))  # ordered by hash, so by fragment
+    ident = digest(names)
+    rows = [(-1, ident, sizes.astype(np.uint32).tobytes(), known.astype(np.uint32).tobytes(), b"", names.tobytes())]
+    start = 0
+    for end in ends.tolist():
+        used, owners = np.unique(place[start:end], return_inverse=True)
+        lone = len(used) and used[-1] == LONE
+        owners = np.where(lone & (owners == len(used) - 1), LONE, owners).astype(np.uint16)
+        used = used[: len(used) - int(lone)]
+        rows.append((int(frag[start]), ident, key[start:end].tobytes(), owners.tobytes(), used.astype(np.uint16).tobytes(), names[used].tobytes()))
+        start = end
+    return rows
+
+
+def counted(group: pd.DataFrame) -> pd.DataFrame:
+    """Per batch of one fragment: which places share shingles with another set, and how many."""
+    if group["frag"].iloc[0] < 0:
+        return group[["batch", "names", "keys", "owners"]].rename(columns={"keys": "sizes", "owners": "counts"}).assign(places=b"")
+    key = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
+    counts = [len(x) // 4 for x in group["keys"]]
+    owners = [np.frombuffer(x, np.uint16) for x in group["owners"]]
+    names = [np.frombuffer(x, np.int64) for x in group["names"]]
+    # a set's number: its name's rank among all names here; 0 stands for several sets
+    every = np.unique(np.concatenate(names))
+    ranks = [np.append(np.searchsorted(every, x) + 1, 0) for x in names]
+    owner = np.concatenate([r[np.minimum(o, len(r) - 1)] for r, o in zip(ranks, owners, strict=True)])
+    order = np.lexsort((owner, key))
+    k, o = key[order], owner[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+    run = np.cumsum(new_key) - 1
+    holders = np.bincount(run, weights=fresh) + np.bincount(run, weights=fresh & (o == 0))
+    shared = np.zeros(len(key), bool)
+    shared[order] = holders[run] >= 2
+    out, start = [], 0
+    for batch, n, own, place in zip(group["batch"], counts, owners, group["places"], strict=True):
+        hit = own[shared[start : start + n]]
+        start += n
+        used, times = np.unique(hit[hit != LONE], return_counts=True)
+        if len(used):
+            out.append((batch, np.frombuffer(place, np.uint16)[used].tobytes(), times.astype(np.uint32).tobytes(), None, None))
+    return pd.DataFrame(out, columns=["batch", "places", "counts", "names", "sizes"])
+
+
+def summed(group: pd.DataFrame) -> pd.DataFrame:
+    """The sets of one batch that share as much as a partner must, partial counts added up."""
+    whole = group[group["names"].notna()].iloc[0]
+    names, sizes, total = (np.frombuffer(whole[c], kind).astype(np.int64) for c, kind in (("names", np.int64), ("sizes", np.uint32), ("counts", np.uint32)))
+    for places, counts in zip(group["places"], group["counts"], strict=True):
+        if places:
+            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+    # texts whose whole batch is repeated are counted once for each time
+    keep = 100 * total >= PERCENT * sizes
+    return pd.DataFrame({"sig": names[keep], "n": sizes[keep]})
+
+
+def sharing_sets(docs: DataFrame, fragments: int) -> DataFrame:
+    """``sig, n`` of the sets of which enough shingles occur in another set (never too few sets)."""
     small_batches(docs.sparkSession, BATCH)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = {digest(s): s for s in (shingles(text_bytes(t)) for t in batch["text"]) if len(s)}
-            if not sets:
-                continue
-            h = np.concatenate([*sets.values()])
-            owner = np.repeat(np.array([*sets], np.int64), [len(s) for s in sets.values()])
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], owner[order]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            many = np.zeros(len(h), bool)
-            many[1:] |= ~first[1:]
-            many[:-1] |= ~first[1:]
-            known, times = np.unique(owner[many], return_counts=True)
-            alone = ~many
-            # a shingle known to be shared goes out once, for no owner
-            out_h = np.concatenate([h[alone], h[many & first]])
-            out_owner = np.concatenate([owner[alone], np.zeros(int((many & first).sum()), np.int64)])
-            frag = ((out_h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(frag, kind="stable")
-            frag, key, out_owner = frag[order], (out_h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), out_owner[order]
-            # owners as places in the batch's own list: two bytes instead of eight
-            names = np.concatenate([[0], np.array([*sets], np.int64)])
-            sorter = np.argsort(names)
-            place = sorter[np.searchsorted(names, out_owner, sorter=sorter)].astype(np.uint16)
-            cuts = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(frag) else np.zeros(0, np.int64)
-            ends = np.append(cuts[1:], len(frag))
-            rows = [(int(frag[a]), key[a:b].tobytes(), *owners(place[a:b], names)) for a, b in zip(cuts, ends, strict=True)]
-            if len(known):
-                rows.append((-1, times.astype(np.uint32).tobytes(), b"", known.tobytes()))
-            yield pd.DataFrame(rows, columns=["frag", "keys", "places", "names"])
-
-    def owners(place: np.ndarray, names: np.ndarray) -> tuple[bytes, bytes]:
-        """Places and the list they refer to; or, where that is shorter, the owners themselves."""
-        return (place.tobytes(), names.tobytes()) if len(place) * 3 > len(names) * 4 else (b"", names[place].tobytes())
-
-    def owned(places: bytes, names: bytes) -> np.ndarray:
-        names = np.frombuffer(names, np.int64)
-        return names[np.frombuffer(places, np.uint16)] if places else names
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        if group["frag"].iloc[0] < 0:
-            sig = np.concatenate([np.frombuffer(x, np.int64) for x in group["names"]])
-            return pd.DataFrame({"sig": sig, "shared": np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]]).astype(np.int64)})
-        key = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
-        owner = np.concatenate([owned(p, n) for p, n in zip(group["places"], group["names"], strict=True)])
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-        key, owner = key[fresh], owner[fresh]
-        run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        owners = np.bincount(run) + np.bincount(run, weights=owner == 0)
-        sig, shared = np.unique(owner[(owners[run] >= 2) & (owner != 0)], return_counts=True)
-        return pd.DataFrame({"sig": sig, "shared": shared})
-
-    packed = docs.select("text").mapInPandas(pack, "frag int, keys binary, places binary, names binary")
-    lone = F.when(F.col("frag") < 0, F.xxhash64("names")).otherwise(0)
-    return packed.groupBy("frag", lone.alias("salt")).applyInPandas(count, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
+            for part in cut(batch, BATCH):
+                yield pd.DataFrame(packed(part, fragments), columns=["frag", "batch", "keys", "owners", "places", "names"])
+
+    rows = docs.select("text").mapInPandas(pack, PACKED)
+    salt = F.when(F.col("frag") < 0, F.col("batch")).otherwise(0)
+    counts = rows.groupBy("frag", salt.alias("salt")).applyInPandas(counted, "batch long, places binary, counts binary, names binary, sizes binary")
+    return counts.groupBy("batch").applyInPandas(summed, "sig long, n long").distinct()
 
 
 def kept_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -169,7 +195,7 @@ def kept_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut(whole, BATCH)):
             sets = [shingles(text_bytes(t)) for t in batch["text"]]
             yield pd.DataFrame({"sig": [digest(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
 
@@ -186,7 +212,7 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
             yield pd.DataFrame({"h": np.concatenate([np.frombuffer(x, np.int64) for x in batch["hashes"]]), "sig": np.repeat(batch["sig"].to_numpy(), sizes)})
 
     postings = sets.select("sig", "hashes").mapInPandas(explode, "h long, sig long")
-    often = postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    often = checkpointed(postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
     by_set = postings.join(often, "h").groupBy("sig").agg(order.alias("shared"), F.avg(F.log2("df")).alias("typical")).join(sets.select("sig", "n"), "sig")
     # shingles found in no other set come first in the global order
@@ -226,14 +252,14 @@ def labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
     else:
         roots = components(links)
         lists = lists.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-    mixed = lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    mixed = checkpointed(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h"))
     return checkpointed(lists.join(mixed, "h", "left_semi"))
 
 
 def hub_links(lists: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """Links between the members of each list and its most typical member; another one of the best in each turn."""
     by = F.struct(F.floor(F.col("typical") * (8 >> turn)).alias("t"), F.xxhash64("sig", F.lit(turn)).alias("x"), F.col("sig").alias("v"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    hubs = lists.groupBy("h").agg(F.max(by).alias("hub"))
+    hubs = checkpointed(lists.groupBy("h").agg(F.max(by).alias("hub")))
     near = lists.join(hubs, "h").filter((F.col("comp") != F.col("hub.c")) & close(F.col("n"), F.col("hub.m")))
     return linked(near.select(F.col("sig").alias("u"), F.col("hub.v").alias("v")).distinct(), sets)
 
@@ -282,7 +308,7 @@ def block_edges(group: pd.DataFrame) -> pd.DataFrame:
 
 def island_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """All links that join components of lists which hold several, as edges of forests."""
-    least = lists.groupBy("h").agg(F.min("sig").alias("u"))
+    least = checkpointed(lists.groupBy("h").agg(F.min("sig").alias("u")))
     island = components(lists.join(least, "h").select("u", F.col("sig").alias("v")))
     members = lists.select("sig", "comp", "n").distinct().join(island.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("root", "island")
     sizes = members.groupBy("island", "comp").agg(F.count("*").alias("k")).groupBy("island").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
@@ -304,8 +330,7 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     rows = checkpointed(set_rows(docs))
     reps = rows.filter("n > 0").groupBy("sig", "n").agg(F.min("id").alias("rep"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT))
-    chosen = checkpointed(reps.join(shared_counts(docs, fragments), "sig").filter(F.col("shared") >= at_least(F.col("n"))).select("sig", "n", "rep"))
+    chosen = checkpointed(reps.join(sharing_sets(docs, max(1, -(-total // FRAGMENT))), ["sig", "n"]).select("sig", "n", "rep"))
     release(spark)
     sets = checkpointed(kept_sets(docs, chosen))
     lists = checkpointed(prefix_lists(sets))
@@ -321,7 +346,7 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     rest = checkpointed(island_links(mixed, sets))
     roots = components(rest if links is None else links.union(rest))
     joined = reps.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component"))
+    least = checkpointed(joined.groupBy("root").agg(F.min("rep").alias("component")))
     names = joined.join(least, "root").select("sig", "root", "component")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return rows.join(names, "sig", "left").select("id", "th", "n", "root", component.alias("component"))
@@ -340,15 +365,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words are in no group and all stay.  Texts are not shuffled while the documents to drop fit the bound.
     """
     rows = checkpointed(grouped_rows(docs.select("doc_id", "text")).filter("n > 0").groupBy("id", "th", "root").agg(F.count("*").alias("copies")))
-    best = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best"))
+    best = checkpointed(rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best")))
     marked = rows.join(best, "root").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("th") == F.col("best.th")))
-    marked = checkpointed(marked.select(F.col("id").alias("__id"), F.col("th").alias("__of"), "stays", "copies"))
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
-    same = (F.col("__key") == F.col("__id")) & (F.col("__th") == F.col("__of"))
-    gone = marked.filter("not stays or copies > 1").select("__id", "__of")
+    marked = checkpointed(marked.select("id", F.col("th").alias("of"), "stays", "copies"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("th"))
+    same = (F.col("key") == F.col("id")) & (F.col("th") == F.col("of"))
+    gone = marked.filter("not stays or copies > 1").select("id", "of")
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     out = keyed.join(F.broadcast(gone) if small else gone, same, "left_anti")
-    repeated = marked.filter("stays and copies > 1").select("__id", "__of")
+    repeated = marked.filter("stays and copies > 1").select("id", "of")
     if not repeated.isEmpty():
-        out = out.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["__key", "__th"]))
-    return out.select(*docs.columns)
+        out = out.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["key", "th"]))
+    return out.select("doc.*")

@@ -62,7 +62,6 @@ def corpus(seed):
 def test_components(spark, monkeypatch, rounds, block, fragment):
     monkeypatch.setattr(nj, "BLOCK", block)
     monkeypatch.setattr(nj, "FRAGMENT", fragment)
-    monkeypatch.setattr(nj, "LEAST_FRAGMENTS", 3)
     rows = corpus(rounds)
     got = nj.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rounds).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows)
