@@ -5,13 +5,13 @@ excess going to the others by weight.  A document's expected copies are its sour
 size; the expected copies are prefix-summed within the source, one random offset is added, and a document is emitted
 once for each integer boundary that its interval crosses, so it is never emitted more than ``ceil`` of them times.
 
-No source is summed in one task.  Documents are dealt to buckets by a hash of their id; inside a bucket they stand in
-order of size, so that every run of the systematic sample holds long and short documents alike.  The offset is the one, of
-``OFFSETS`` random ones, whose words come nearest to the target: in a small source one long document matters.  Ranks come from three prefix sums: within a bucket, of bucket counts within a group of buckets,
-of group counts within a source.
+Inside a source the documents stand in classes of size (the integer root of their words), so that the systematic sample takes long and
+short documents alike: the words it takes miss the target by little more than the longest document, whatever the offset.  No source is
+summed in one task.  A class is dealt to buckets by a hash of the id; ranks come from prefix sums of the counts of classes, of groups
+of buckets and of buckets, and from the order by size inside a bucket.
 
 All arithmetic that decides a boundary is on integers (a source's expected copies are a fraction in millionths, rounded
-down), so reruns agree.  Defined cases: a null text has size 0; null is a source of its own, after all others; documents of
+down), so reruns agree.  A source of a few documents can miss its target by as much as its longest one.  Defined cases: a null text has size 0; null is a source of its own, after all others; documents of
 size 0 never add words; repeated rows are ranked one after another; an empty table gives an empty result.
 """
 
@@ -29,7 +29,6 @@ SEED = 7
 #: Documents that a bucket is meant to hold, and the logarithm of the buckets in a group.
 BUCKET = 512
 GROUP_BITS = 9
-OFFSETS = 16
 #: Taken rows (32 bytes each) up to this many are broadcast to pick the documents; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SCALE = 1_000_000
@@ -41,10 +40,6 @@ def spread_hash(seed: int, *values: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-
-
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Per source of ``__source, __size, __docs``: ``target`` words, the weights being 1, 2, 3, repeating, by code point.
 
@@ -62,51 +57,55 @@ def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     return w.select("__source", "__size", "__docs", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(left * F.col("weight") / open_weight).alias("__target"))
 
 
-def copies(docs: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """``docs`` with ``__size, __source_size, __target`` and ``__copies``, how often each is taken."""
-    rows = sized(docs).withColumn("__source", F.col("source"))
-    sources = checkpointed(targets(rows.groupBy("__source").agg(F.sum("__size").alias("__size"), F.count("*").alias("__docs")), max_repeat))
+def offset(seed: int, source: Column) -> Column:
+    """The one random offset of a source, in millionths."""
+    return spread_hash(seed, F.lit("offset"), F.coalesce(source, F.lit("<null>"))) % SCALE
+
+
+def copies(rows: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """``rows`` (``id, source, size`` and what they carry) with ``source_size, target`` and ``copies``, how often each is taken."""
+    rows = rows.withColumn("class", F.floor(F.sqrt("size")).cast("long"))
+    classes = checkpointed(rows.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count("*").alias("docs")))
+    totals = classes.groupBy(F.col("source").alias("__source")).agg(F.sum("size").alias("__size"), F.sum("docs").alias("__docs"))
     per = F.coalesce(F.floor(F.least(F.col("__target") / F.when(F.col("__size") > 0, F.col("__size")), F.lit(float(max_repeat))) * SCALE), F.lit(0)).cast("long")
-    sources = sources.select(
-        F.col("__source").alias("__s"), F.col("__size").alias("__source_size"), "__target", per.alias("__per"),
-        F.ceil(F.col("__docs") / BUCKET).cast("long").alias("__buckets"),
-    )
-    same = F.col("__source").eqNullSafe(F.col("__s"))
-    rows = rows.join(sources, same).drop("__s")
-    rows = rows.withColumn("__bucket", F.shiftright(spread_hash(seed, F.col("doc_id")) * F.col("__buckets"), 32))
-
-    bucket = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("docs")).withColumn("group", F.shiftright("__bucket", GROUP_BITS))
-    group = bucket.groupBy("__source", "group").agg(F.sum("docs").alias("docs"))
-    before = lambda *part: F.coalesce(F.sum("docs").over(W.partitionBy(*part[:-1]).orderBy(part[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    group = group.select(F.col("__source").alias("__s"), F.col("group").alias("g"), before("__source", "group").alias("lead"))
-    bucket = bucket.withColumn("in_group", before("__source", "group", "__bucket")).join(group, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("group") == F.col("g")))
-    bucket = bucket.select(F.col("__s"), F.col("__bucket").alias("__b"), (F.col("lead") + F.col("in_group")).alias("__before"))
-
-    rows = rows.withColumn("__at", F.row_number().over(W.partitionBy("__source", "__bucket").orderBy("__size", F.col("doc_id").asc_nulls_last())))
-    rows = rows.join(bucket, same & (F.col("__bucket") == F.col("__b"))).drop("__s").withColumn("__rank", F.col("__before") + F.col("__at"))
-    sums = [F.sum(F.expr(crossings(offset(seed, k))) * F.col("__size")).alias(f"t{k}") for k in range(OFFSETS)]
-    totals = rows.groupBy("__source").agg(F.max("__target").alias("t"), *sums)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("t")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
-    chosen = F.element_at(F.array(*[F.expr(offset(seed, k)) for k in range(OFFSETS)]), nearest + 1)
-    chosen = totals.select(F.col("__source").alias("__o"), chosen.alias("__offset"))
-    rows = rows.join(chosen, F.col("__source").eqNullSafe(F.col("__o")))
-    return rows.select(*docs.columns, "__size", "__source_size", "__target", F.expr(crossings("__offset")).alias("__copies"))
-
-
-def offset(seed: int, k: int) -> str:
-    """SQL of a source's ``k``-th random offset, in millionths."""
-    return f"cast(conv(substring(md5(concat('{seed}:{k}:', coalesce(__source, '<null>'))), 1, 8), 16, 10) as bigint) % {SCALE}"
-
-
-def crossings(offset: str) -> str:
-    """SQL of the integer boundaries that a document's interval of the prefix sum crosses."""
-    return f"(__rank * __per + {offset}) div {SCALE} - ((__rank - 1) * __per + {offset}) div {SCALE}"
+    sources = targets(totals, max_repeat).select(F.col("__source"), F.col("__size").alias("source_size"), F.col("__target").alias("target"), per.alias("per"), offset(seed, F.col("__source")).alias("offset"))
+    before = lambda what, by, *part: F.coalesce(F.sum(what).over(W.partitionBy(*part).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = classes.withColumn("lead", before("docs", "class", "source")).join(sources, F.col("source").eqNullSafe(F.col("__source")))
+    classes = checkpointed(classes.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), "lead", F.ceil(F.col("docs") / BUCKET).cast("long").alias("buckets"), "source_size", "target", "per", "offset"))
+    rows = rows.join(classes, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class"))).drop("c_source", "c_class")
+    rows = rows.withColumn("bucket", F.shiftright(spread_hash(seed, F.col("id")) * F.col("buckets"), 32))
+
+    part = ["source", "class"]
+    bucket = rows.groupBy(*part, "bucket").agg(F.count("*").alias("docs")).withColumn("group", F.shiftright("bucket", GROUP_BITS))
+    group = bucket.groupBy(*part, "group").agg(F.sum("docs").alias("docs"))
+    group = group.select(F.col("source").alias("g_source"), F.col("class").alias("g_class"), F.col("group").alias("g"), before("docs", "group", *part).alias("in_class"))
+    bucket = bucket.withColumn("in_group", before("docs", "bucket", *part, "group"))
+    bucket = bucket.join(group, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("class") == F.col("g_class")) & (F.col("group") == F.col("g")))
+    bucket = checkpointed(bucket.select(F.col("source").alias("b_source"), F.col("class").alias("b_class"), F.col("bucket").alias("b"), (F.col("in_class") + F.col("in_group")).alias("ahead")))
+
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy(*part, "bucket").orderBy("size", F.col("id").asc_nulls_last())))
+    rows = rows.join(bucket, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("bucket") == F.col("b")))
+    crossed = F.expr(f"({RANK} * per + offset) div {SCALE} - (({RANK} - 1) * per + offset) div {SCALE}")
+    return rows.withColumn("copies", crossed).drop("class", "lead", "buckets", "per", "offset", "bucket", "at", "ahead", "b_source", "b_class", "b")
+
+
+#: SQL of a document's place in its source, from 1: integer boundaries between its end and the one before are its copies.
+RANK = "(lead + ahead + at)"
+
+
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document, taken or not."""
-    mixed = copies(docs.select("doc_id", "text", "source"), seed)
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    mixed = copies(docs.select(F.col("doc_id").alias("id"), "source", words(F.col("text")).alias("size")), seed)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``; those with maps, which have no hash, as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -115,17 +114,18 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     The copies are worked out without the texts; the taken rows, known by two hashes of all their columns, are then
     picked, with no shuffle of the texts while their number is within the bound.
     """
-    key = ["__row", "__row2"]
-    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns)).withColumn("__row2", F.hash(*docs.columns))
-    taken = copies(keyed.select("doc_id", "text", "source", *key), seed).groupBy(*key).agg(F.sum("__copies").alias("__take"), F.count("*").alias("__rows"))
-    taken = checkpointed(taken.filter("__take > 0"))
+    key = ["row", "row2"]
+    every = hashable(docs)
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(*every).alias("row"), F.hash(*every).alias("row2"))
+    taken = copies(keyed.select(F.col("doc.doc_id").alias("id"), "doc.source", words(F.col("doc.text")).alias("size"), *key), seed)
+    taken = checkpointed(taken.groupBy(*key).agg(F.sum("copies").alias("take"), F.count("*").alias("rows")).filter("take > 0"))
     small = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    single = taken.filter("__rows = 1")
+    single = taken.filter("rows = 1")
     out = keyed.join(F.broadcast(single) if small else single, key)
-    repeated = taken.filter("__rows > 1")
+    repeated = taken.filter("rows > 1")
     if not repeated.isEmpty():
         out = out.unionByName(keyed.join(repeated, key).dropDuplicates(key).select(*out.columns))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__take").cast("int")))).select(*docs.columns)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("take").cast("int")))).select("doc.*")
 
 
 #: DuckDB's SQL for ``mix_report`` over the table ``documents``: the same hashes, ranks and boundaries.
@@ -138,15 +138,11 @@ s2 AS (SELECT *, sum(cap) OVER u + level * (sum(w) OVER () - sum(w) OVER u) <= s
 s3 AS (SELECT source, s, docs, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
     CAST(CAST(total - coalesce(sum(cap) FILTER (capped) OVER (), 0) AS BIGINT) * w AS DOUBLE) / CAST(sum(w) FILTER (NOT capped) OVER () AS DOUBLE) END AS target FROM s2),
 s4 AS (SELECT *, coalesce(CAST(floor(least(target / nullif(s, 0), {float(MAX_REPEAT)}) * {SCALE}) AS BIGINT), 0) AS per,
-    CAST(ceil(docs / {BUCKET}) AS BIGINT) AS buckets FROM s3),
-r AS (SELECT d.*, s4.s, s4.target, s4.per,
-    (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) * buckets) >> 32 AS bucket
-  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, size, doc_id NULLS LAST) AS rank FROM r),
-o AS (SELECT i, source, CAST('0x' || substr(md5('{SEED}:' || i || ':' || coalesce(source, '<null>')), 1, 8) AS BIGINT) % {SCALE} AS off FROM s4, range({OFFSETS}) n(i)),
-c AS (SELECT o.i, o.off, k.source, sum(size * ((rank * per + off) // {SCALE} - ((rank - 1) * per + off) // {SCALE})) AS words, max(target) AS goal
-  FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source GROUP BY ALL),
-b AS (SELECT source, off FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - goal), i) AS p FROM c) WHERE p = 1)
-SELECT doc_id, size, s AS source_size, target, size * ((rank * per + off) // {SCALE} - ((rank - 1) * per + off) // {SCALE}) AS taken
-FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
+    CAST('0x' || substr(md5('{SEED}:offset:' || coalesce(source, '<null>')), 1, 8) AS BIGINT) % {SCALE} AS off FROM s3),
+n AS (SELECT *, CAST(floor(sqrt(size)) AS BIGINT) AS class FROM d),
+c AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY source, class) / {BUCKET}) AS BIGINT) AS buckets FROM n),
+r AS (SELECT c.*, s4.s, s4.target, s4.per, s4.off, (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) * buckets) >> 32 AS bucket
+  FROM c JOIN s4 ON c.source IS NOT DISTINCT FROM s4.source),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, bucket, size, doc_id NULLS LAST) AS rank FROM r)
+SELECT doc_id, size, s AS source_size, target, size * ((rank * per + off) // {SCALE} - ((rank - 1) * per + off) // {SCALE}) AS taken FROM k
 """
