@@ -5,8 +5,8 @@ aggregation.  Lines whose estimate lies near the threshold are counted exactly.
 are boilerplate and leave the documents.  Lines seen fewer than ``min_sites`` times in all get no sketch: they cannot
 reach the threshold.
 
-A document that would lose more than ``max_share`` of its code points in lines is a copy of a whole document rather than
-a carrier of boilerplate, and is left as it is; document-level operators handle copies.
+A document that consists of such lines alone is a copy as a whole rather than a carrier of boilerplate, and is left as it is;
+document-level operators handle copies.  Any other document loses all of them, whatever their share.
 
 Lines are split at ``\\n`` and compared without white space at their ends; blank lines are never removed.  Defined cases:
 null texts stay null and have no lines; a null source is a site of its own; repeated rows are cleaned alike; other
@@ -22,8 +22,6 @@ from bulwark.llm.common import checkpointed, let
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 5
-#: Share of a document's code points in lines that may go.
-MAX_SHARE = 0.5
 #: HyperLogLog with 2^12 registers errs by 1.6 %: six deviations decide what is near the threshold.
 LOG_REGISTERS = 12
 NEAR = 0.1
@@ -67,36 +65,38 @@ def without(lines: Column, gone: Column) -> Column:
     return let(lines, runs)
 
 
-def flagged(docs: DataFrame, min_sites: int, max_share: float) -> DataFrame:
+def flagged(docs: DataFrame, min_sites: int) -> DataFrame:
     """``__doc_id, __of, __gone``: sorted positions of the lines that a document loses."""
     lines = checkpointed(line_rows(docs))
-    marked = lines.join(spread_lines(lines, min_sites).select("h", "n", F.lit(True).alias("out")), ["h", "n"], "left")
-    per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("gone"), F.sum(F.when(F.col("out"), F.col("n"))).alias("lost"), F.sum("n").alias("all"))
-    return per.filter((F.size("gone") > 0) & (F.col("lost") <= max_share * F.col("all"))).select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__of"), F.col("gone").alias("__gone"))
+    spread = checkpointed(spread_lines(lines, min_sites).select("h", "n", F.lit(True).alias("out")))
+    marked = lines.join(spread, ["h", "n"], "left")
+    per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.when(F.col("out"), F.col("pos")))).alias("gone"), F.max(F.col("out").isNull()).alias("own"))
+    return per.filter((F.size("gone") > 0) & F.col("own")).select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__of"), F.col("gone").alias("__gone"))
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``."""
-    return with_clean(docs, min_sites, max_share).select(*docs.columns)
+    return with_clean(docs, min_sites).select("doc.*")
 
 
-def with_clean(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs``, cleaned, and ``__gone``: the positions of removed lines, null where nothing went."""
-    marks = flagged(docs, min_sites, max_share)
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    same = (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-    out = keyed.join(marks, same, "left").drop("__doc_id", "__of", "__th")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(without(F.split("text", "\n", -1), F.col("__gone")), "\n")))
+def with_clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``doc``, the cleaned row of ``docs`` as a struct, and ``gone``: the positions of removed lines, null where nothing went."""
+    marks = flagged(docs, min_sites)
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    same = (F.col("th") == F.col("__of")) & F.col("id").eqNullSafe(F.col("__doc_id"))
+    out = keyed.join(marks, same, "left").select("doc", F.col("__gone").alias("gone"))
+    clean = F.array_join(without(F.split("doc.text", "\n", -1), F.col("gone")), "\n")
+    changed = F.col("doc").withField("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+        changed = let(changed, lambda d: d.withField("n_chars", F.length(d["text"]).cast(docs.schema["n_chars"].dataType)))
+    return out.select(F.when(F.col("gone").isNull(), F.col("doc")).otherwise(changed).alias("doc"), "gone")
 
 
-def line_report(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def line_report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, n_removed, n_chars, text_sha256`` of every cleaned document."""
-    cleaned = with_clean(docs.select("doc_id", "text", "source"), min_sites, max_share)
-    text = F.coalesce("text", F.lit(""))
-    return cleaned.select("doc_id", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    cleaned = with_clean(docs.select("doc_id", "text", "source"), min_sites)
+    text = F.coalesce("doc.text", F.lit(""))
+    return cleaned.select("doc.doc_id", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 #: DuckDB's SQL for ``line_report`` over the table ``documents``.
@@ -105,9 +105,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, chr(
 l AS (SELECT r, site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 s AS (SELECT *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
 b AS (SELECT line FROM s WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
-m AS (SELECT s.*, b.line IS NOT NULL AS gone, length(s.line) AS n FROM s LEFT JOIN b USING (line)),
+m AS (SELECT s.*, b.line IS NOT NULL AS gone FROM s LEFT JOIN b USING (line)),
 t AS (
-  SELECT r, count(*) FILTER (gone) AS n_gone, coalesce(sum(n) FILTER (gone), 0) <= {MAX_SHARE} * sum(n) AND count(*) FILTER (gone) > 0 AS act,
+  SELECT r, count(*) FILTER (gone) AS n_gone, count(*) FILTER (gone) > 0 AND count(*) FILTER (NOT gone AND line <> '') > 0 AS act,
     coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
   FROM m GROUP BY r
 ),

@@ -26,6 +26,12 @@ def test_copies_stay_whole(docs):
     assert {r.text for r in line_dedup.clean_lines(docs(rows), 5).collect()} == {rows[0][1]}
 
 
+def test_short_carriers_lose_long_passages(docs):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"few own words {i}\n{passage}", "en", f"s{i}") for i in range(6)]
+    assert {r.doc_id: r.text for r in line_dedup.clean_lines(docs(rows), 5).collect()} == {i: f"few own words {i}" for i in range(6)}
+
+
 def test_edges(docs, edge_rows):
     got = line_dedup.clean_lines(docs(edge_rows)).select("doc_id", "text").collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in docs(edge_rows).select("doc_id", "text").collect())

@@ -44,7 +44,7 @@ def brute(rows):
     for i, t, s in kept:
         lines = t.split("\n")
         gone = [x for x in lines if x.strip() and len(sites[x.strip()]) >= line_dedup.MIN_SITES]
-        if sum(map(len, gone)) <= line_dedup.MAX_SHARE * sum(len(x.strip()) for x in lines):
+        if any(x.strip() and x not in gone for x in lines):
             t = "\n".join(x for x in lines if x not in gone)
         clean.append((i, t, s))
     sets = []
