@@ -1,9 +1,10 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
 The normalised text (every character of ``[\\x20\\x09-\\x0D]`` deleted) is cut into blocks of fixed size.
-Distinct blocks are sorted and numbered in that order; then adjacent numbers are paired and the distinct pairs
-sorted and numbered in turn, until one number is left for each document.  Equal numbers mean equal texts, with no
-hash involved.
+Distinct blocks are sorted by a hash and then by their characters, and numbered in that order; then adjacent numbers are paired
+and the distinct pairs sorted and numbered in turn, until one number is left for each document.  Equal numbers mean
+equal texts, as blocks whose hashes agree still differ in their characters.  Ranges are cut by the hash, so that the sample
+Spark takes to the driver holds eight bytes a block.
 
 Only texts that agree in length and a 64-bit hash with another can be equal, so the others skip the naming; that
 test loses nothing.  Names are numbered within range partitions and written to the checkpoint folder, so a lost
@@ -33,9 +34,9 @@ def normalised(text: Column) -> Column:
 
 
 def numbered(distinct: DataFrame, by: list[str], parts: int) -> DataFrame:
-    """Rows in the order of ``by``, each with an integer ``name`` that grows with it; written, so that names stay."""
-    ordered = distinct.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    return checkpointed(ordered.withColumn("name", F.monotonically_increasing_id()))
+    """Rows in the order of a hash of ``by`` and then ``by``, each with an integer ``name`` that grows with it; written, so that names stay."""
+    ordered = distinct.withColumn("order", F.xxhash64(*by)).repartitionByRange(parts, "order").sortWithinPartitions("order", *by)
+    return checkpointed(ordered.drop("order").withColumn("name", F.monotonically_increasing_id()))
 
 
 def on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -80,9 +81,10 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     named = identities(candidates.select(*KEY, "norm"), parts, block)
 
     alone = -1 - F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 40))
-    rows = on_key(rows, named, "left").withColumn("group", F.coalesce("name", alone))
+    rows = checkpointed(on_key(rows, named, "left").withColumn("group", F.coalesce("name", alone)))
     order = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"))
-    groups = rows.filter("name is not null").groupBy("group").agg(F.min(order).alias("best"), F.sum("copies").alias("size"))
+    # written first: a group of very many rows then meets its line in a join that Spark splits
+    groups = checkpointed(rows.filter("name is not null").groupBy("group").agg(F.min(order).alias("best"), F.sum("copies").alias("size")))
     out = rows.join(groups, "group", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     mine = F.col("best").isNull() | ((F.col("best.c") == -F.col("chars")) & F.col("best.d").eqNullSafe(F.col("doc_id")))
     return out.select(
