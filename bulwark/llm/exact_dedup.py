@@ -24,8 +24,6 @@ from bulwark.llm.common import checkpointed, shuffle_parts
 
 #: Code points in a block.
 BLOCK = 4096
-#: Candidate keys up to this many (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 100_000
 KEY = ["doc_id", "n", "h"]
 
 
@@ -76,8 +74,7 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = checkpointed(rows)
 
     shared = checkpointed(rows.groupBy("n", "h").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("n", "h"))
-    small = shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    candidates = keyed.join(F.broadcast(shared) if small else shared, ["n", "h"], "left_semi")
+    candidates = keyed.join(shared, ["n", "h"], "left_semi")
     named = identities(candidates.select(*KEY, "norm"), parts, block)
 
     alone = -1 - F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 40))

@@ -29,8 +29,6 @@ SEED = 7
 #: Documents that a bucket is meant to hold, and the logarithm of the buckets in a group.
 BUCKET = 512
 GROUP_BITS = 9
-#: Taken rows (32 bytes each) up to this many are broadcast to pick the documents; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 SCALE = 1_000_000
 
 
@@ -112,16 +110,14 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
     The copies are worked out without the texts; the taken rows, known by two hashes of all their columns, are then
-    picked, with no shuffle of the texts while their number is within the bound.
+    picked.
     """
     key = ["row", "row2"]
     every = hashable(docs)
     keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(*every).alias("row"), F.hash(*every).alias("row2"))
     taken = copies(keyed.select(F.col("doc.doc_id").alias("id"), "doc.source", words(F.col("doc.text")).alias("size"), *key), seed)
     taken = checkpointed(taken.groupBy(*key).agg(F.sum("copies").alias("take"), F.count("*").alias("rows")).filter("take > 0"))
-    small = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    single = taken.filter("rows = 1")
-    out = keyed.join(F.broadcast(single) if small else single, key)
+    out = keyed.join(taken.filter("rows = 1"), key)
     repeated = taken.filter("rows > 1")
     if not repeated.isEmpty():
         out = out.unionByName(keyed.join(repeated, key).dropDuplicates(key).select(*out.columns))

@@ -41,8 +41,6 @@ FRAGMENT = 1_000_000
 BATCH = 1024
 BLOCK = 512
 HUB_ROUNDS = 2
-#: Representatives up to this many (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Columns of the global order whose partial overlaps are counted at a time.
 COLUMNS = 4096
 NO_ID = (1 << 63) - 1
@@ -191,8 +189,7 @@ def kept_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``sig, n, hashes`` of the sets of ``chosen`` (``sig, n, rep``), one row each."""
     small_batches(docs.sparkSession, BATCH)
     ids = chosen.select(F.col("rep").alias("id"))
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (part for whole in batches for part in cut(whole, BATCH)):
@@ -310,9 +307,9 @@ def island_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """All links that join components of lists which hold several, as edges of forests."""
     least = checkpointed(lists.groupBy("h").agg(F.min("sig").alias("u")))
     island = components(lists.join(least, "h").select("u", F.col("sig").alias("v")))
-    members = lists.select("sig", "comp", "n").distinct().join(island.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("root", "island")
+    members = checkpointed(lists.select("sig", "comp", "n").distinct().join(island.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("root", "island"))
     sizes = members.groupBy("island", "comp").agg(F.count("*").alias("k")).groupBy("island").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    sizes = sizes.select("island", F.col("top.comp").alias("major"), F.col("top.k").alias("k"), "all")
+    sizes = checkpointed(sizes.select("island", F.col("top.comp").alias("major"), F.col("top.k").alias("k"), "all"))
     # blocks 0..few-1 hold the sets outside the largest component, the blocks after them the largest component
     few, many = F.ceil((F.col("all") - F.col("k")) / BLOCK), F.ceil(F.col("k") / BLOCK)
     inside = F.col("comp") == F.col("major")
@@ -362,7 +359,7 @@ def similar_groups(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` less all but one document of each group: of those with the smallest doc_id, one row.
 
-    Documents without words are in no group and all stay.  Texts are not shuffled while the documents to drop fit the bound.
+    Documents without words are in no group and all stay.
     """
     rows = checkpointed(grouped_rows(docs.select("doc_id", "text")).filter("n > 0").groupBy("id", "th", "root").agg(F.count("*").alias("copies")))
     best = checkpointed(rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best")))
@@ -371,8 +368,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("th"))
     same = (F.col("key") == F.col("id")) & (F.col("th") == F.col("of"))
     gone = marked.filter("not stays or copies > 1").select("id", "of")
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    out = keyed.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    out = keyed.join(gone, same, "left_anti")
     repeated = marked.filter("stays and copies > 1").select("id", "of")
     if not repeated.isEmpty():
         out = out.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["key", "th"]))
