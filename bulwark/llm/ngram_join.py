@@ -210,6 +210,7 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
 
     postings = sets.select("sig", "hashes").mapInPandas(explode, "h long, sig long")
     often = checkpointed(postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
+    release(sets.sparkSession)
     order = F.array_sort(F.collect_list(F.struct("df", "h")))
     by_set = postings.join(often, "h").groupBy("sig").agg(order.alias("shared"), F.avg(F.log2("df")).alias("typical")).join(sets.select("sig", "n"), "sig")
     # shingles found in no other set come first in the global order
@@ -330,6 +331,7 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     chosen = checkpointed(reps.join(sharing_sets(docs, max(1, -(-total // FRAGMENT))), ["sig", "n"]).select("sig", "n", "rep"))
     release(spark)
     sets = checkpointed(kept_sets(docs, chosen))
+    release(spark)
     lists = checkpointed(prefix_lists(sets))
     release(spark)
 
@@ -341,6 +343,8 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
         mixed = labelled(lists, links)
         release(spark)
     rest = checkpointed(island_links(mixed, sets))
+    del mixed, lists, sets
+    release(spark)
     roots = components(rest if links is None else links.union(rest))
     joined = reps.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = checkpointed(joined.groupBy("root").agg(F.min("rep").alias("component")))
@@ -365,6 +369,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     best = checkpointed(rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best")))
     marked = rows.join(best, "root").withColumn("stays", (F.col("id") == F.col("best.id")) & (F.col("th") == F.col("best.th")))
     marked = checkpointed(marked.select("id", F.col("th").alias("of"), "stays", "copies"))
+    del rows, best
+    release(docs.sparkSession)
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("th"))
     same = (F.col("key") == F.col("id")) & (F.col("th") == F.col("of"))
     gone = marked.filter("not stays or copies > 1").select("id", "of")
