@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.functions import text as tx
+from bulwark.functions.result import let
 from bulwark.functions.regex import SPACE, Rx
 
 _LANGUAGES = "french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean"
@@ -36,10 +37,48 @@ INJECTION = {
         "clear.*context", "reset.*context", "start.*over", "begin.*anew", "new.*conversation", "fresh.*start", "ignore.*context", "forget.*context", "disregard.*context",
     ]),
 }
+#: Words that count apart from the categories.
 INJECTION_WORDS = [
     "override", "ignore", "forget", "disregard", "bypass", "disable", "jailbreak", "dan", "do anything now", "system prompt", "system message", "system instruction",
     "safety measures", "content policy", "execute", "eval", "run code", "interpret code",
 ]
+#: Weights and patterns of jailbreak attempts, and words that count apart from them.
+JAILBREAK = {
+    "danStyle": (15, [
+        "you.*are.*now.*dan", "you.*are.*now.*do.*anything.*now", "pretend.*to.*be.*dan", "act.*as.*dan", "roleplay.*as.*dan", r"you.*are.*dan.*\(do.*anything.*now\)",
+        "from.*now.*on.*you.*are.*dan", "ignore.*all.*previous.*instructions.*you.*are.*now.*dan", "you.*are.*now.*a.*new.*ai.*called.*dan", "dan.*mode.*activated",
+        "switch.*to.*dan.*mode", "enter.*dan.*mode",
+    ]),
+    "translationBypass": (8, [
+        "translate.*this.*to.*(french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean|arabic)", "translate.*this.*to.*hindi", "convert.*this.*to.*(french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean|arabic|hindi)",
+        "in.*(french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean|arabic|hindi).*say", "say.*in.*(french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean|arabic|hindi)", "respond.*in.*(french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean|arabic|hindi)", "answer.*in.*(french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean|arabic|hindi)",
+    ]),
+    "roleplayCoercion": (12, [
+        "pretend.*to.*be.*(a|an).*[^.]*who.*can.*do.*anything", "act.*as.*(a|an).*[^.]*who.*ignores.*rules", "roleplay.*as.*(a|an).*[^.]*who.*bypasses.*safety",
+        "you.*are.*(a|an).*[^.]*who.*doesn.*t.*follow.*rules", "imagine.*you.*are.*(a|an).*[^.]*who.*can.*break.*rules", "suppose.*you.*are.*(a|an).*[^.]*who.*ignores.*policies",
+    ]),
+    "safetyBypass": (10, [
+        "ignore.*safety.*measures", "bypass.*safety.*measures", "disable.*safety.*measures", "turn.*off.*safety.*measures", "ignore.*content.*policy", "bypass.*content.*policy",
+        "disable.*content.*policy", "ignore.*ethical.*guidelines", "bypass.*ethical.*guidelines", "ignore.*moral.*constraints", "bypass.*moral.*constraints",
+    ]),
+    "systemManipulation": (14, [
+        "new.*system.*prompt", "override.*system.*prompt", "replace.*system.*prompt", "change.*system.*prompt", "modify.*system.*prompt", "update.*system.*prompt",
+        "new.*instructions", "override.*instructions", "replace.*instructions",
+    ]),
+    "characterMode": (6, ["character.*mode", "persona.*mode", "role.*mode", "switch.*to.*character", "become.*a.*character", "adopt.*a.*persona"]),
+    "hypotheticalAbuse": (7, [
+        "hypothetically.*if.*you.*could.*do.*anything", "imagine.*if.*you.*were.*not.*bound.*by.*rules", "suppose.*you.*could.*ignore.*all.*restrictions",
+        "what.*if.*you.*didn.*t.*have.*to.*follow.*rules", "if.*you.*were.*free.*to.*do.*anything",
+    ]),
+    "codeExecution": (13, ["execute.*this.*code", "run.*this.*code", "eval.*this.*code", "interpret.*this.*code", "process.*this.*code", "execute.*the.*following", "run.*the.*following"]),
+    "developerMode": (11, ["developer.*mode", "debug.*mode", "admin.*mode", "root.*mode", "privileged.*mode", "unrestricted.*mode"]),
+}
+JAILBREAK_WORDS = [
+    "jailbreak", "dan", "do anything now", "ignore rules", "bypass", "override", "disable", "unrestricted", "unlimited", "no limits", "no restrictions", "ignore safety",
+    "ignore ethics", "ignore morals", "ignore guidelines", "ignore policies", "ignore constraints", "ignore boundaries", "ignore filters", "ignore content",
+]
+#: Pairs of words that together weigh so much.
+JAILBREAK_PAIRS = [("ignore", "previous", 5), ("new", "system", 8), ("hypothetically", "could", 4)]
 #: Topics and their keywords, in the order they are tried.
 TOPICS = {
     "technology": ["ai", "computer", "software", "technology", "digital", "internet", "algorithm"],
@@ -78,6 +117,14 @@ def injection_score(text: Column) -> Column:
     return F.struct(score.alias("score"), level(score, 20, 15, 10).alias("risk"))
 
 
+def jailbreak_score(text: Column) -> Column:
+    """``score`` and ``risk`` of a prompt: every pattern found weighs what its category does, then words and pairs of words."""
+    score = category_score(text, JAILBREAK, JAILBREAK_WORDS, 3, each=True)
+    for a, b, weight in JAILBREAK_PAIRS:
+        score = score + F.when(F.contains(text, F.lit(a)) & F.contains(text, F.lit(b)), weight).otherwise(0)
+    return let(score, lambda s: F.struct(s.alias("score"), level(s, 25, 18, 10).alias("risk")))
+
+
 def topic(text: Column) -> Column:
     """The first topic with a keyword in the text."""
     lower = F.lower(text)

@@ -29,6 +29,18 @@ def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir).select("doc_id", sc.injection_score(F.col("t")).alias("r")).select("doc_id", "r.score", "r.risk")
 
 
+def _jailbreak_sql() -> str:
+    parts = [f"{sql_hits(sc.JAILBREAK_WORDS)} * 3"]
+    parts += [f"CASE WHEN {Rx(p, 'i').sql()} THEN {weight} ELSE 0 END" for weight, patterns in sc.JAILBREAK.values() for p in patterns]
+    return " + ".join(parts + [f"CASE WHEN contains(t, '{a}') AND contains(t, '{b}') THEN {w} ELSE 0 END" for a, b, w in sc.JAILBREAK_PAIRS])
+
+
+@query("jailbreak_score", f"WITH d AS ({PLANTED_SQL}) SELECT doc_id, CAST(s AS INTEGER) AS score, CASE WHEN s >= 25 THEN 'critical' WHEN s >= 18 THEN 'high' WHEN s >= 10 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT doc_id, {_jailbreak_sql()} AS s FROM d)")
+def jailbreak_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark, sf_dir).select("doc_id", sc.jailbreak_score(F.col("t")).alias("r")).select("doc_id", "r.score", "r.risk")
+
+
+
 @query("topic", f"WITH d AS ({PLANTED_SQL}) SELECT doc_id, CASE " + " ".join(f"WHEN {sql_hits(w)} > 0 THEN '{t}'" for t, w in sc.TOPICS.items()) + " ELSE 'general' END AS topic FROM d")
 def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir).select("doc_id", sc.topic(F.col("t")).alias("topic"))
