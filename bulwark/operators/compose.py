@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bulwark.functions.result import RESULT, highest, passed, rank, result, with_fields
+from bulwark.functions.result import RESULT, highest, let, passed, rank, result, with_fields
 
 EMPTY = f"array<{RESULT}>"
 
@@ -59,9 +61,15 @@ def pipeline(*checks: Column, short_circuit: bool = True, name: str = "pipeline"
     return F.coalesce(F.get(F.filter(staged, lambda r: r["triggered"]), F.lit(0)), passed(name, stages=len(checks)))
 
 
-def with_retry(check: Column, max_retries: int = 3) -> Column:
-    """A column gives the same result however often it runs, so there is nothing to retry."""
-    return check
+def with_retry(attempt: Callable[[int], Column], max_retries: int = 3) -> Column:
+    """The first attempt that did not fail, else the last one.
+
+    ``attempt(k)`` builds the ``k``-th attempt, such as a call of a model; it runs only for rows whose earlier attempts failed.
+    """
+    out = attempt(max_retries)
+    for k in reversed(range(max_retries)):
+        out = let(attempt(k), lambda r, rest=out: F.when(r["execution_failed"], rest).otherwise(r))
+    return out
 
 
 def compare_severity(a: Column, b: Column) -> Column:

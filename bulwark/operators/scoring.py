@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.functions import text as tx
-from bulwark.functions.result import let
 from bulwark.functions.regex import SPACE, Rx
+from bulwark.functions.result import let
 
 _LANGUAGES = "french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean"
 _SECRET = "(prompt|instructions?|system.*message)"
@@ -197,12 +197,19 @@ def sql_issues(sql: Column, tables: list[str]) -> Column:
 
 
 def retained(text: Column, strategy: str = "mask") -> Column:
-    """Personal data of a text kept for later: masked, removed, or replaced by a digest of the whole text's matches."""
+    """Personal data of a text kept for later: masked by kind, removed, or each match replaced by its own digest."""
     from bulwark.operators.input_checks import PII
 
     for kind, rx in PII.items():
-        by = {"mask": f"[{kind.upper()}]", "remove": "", "hash": "<hashed>"}[strategy]
-        text = rx.replace(text, by)
+        if strategy == "hash":
+            # pieces between matches, and after each but the last the digest of the match
+            def digested(found: Column, t: Column = text, pattern: str = rx.java) -> Column:
+                marks = F.transform(found, lambda m: F.concat(F.lit("<"), F.substring(F.sha2(m, 256), 1, 16), F.lit(">")))
+                return F.array_join(F.zip_with(F.split(t, pattern, -1), marks, lambda a, m: F.concat(F.coalesce(a, F.lit("")), F.coalesce(m, F.lit("")))), "")
+
+            text = let(rx.all(text), digested)
+        else:
+            text = rx.replace(text, {"mask": f"[{kind.upper()}]", "remove": ""}[strategy])
     return text
 
 

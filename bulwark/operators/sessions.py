@@ -126,20 +126,30 @@ def anchored(times: list[int], window: int, inclusive: bool = False, limit: int
     return counts, starts
 
 
+def segmented(df: DataFrame, key: str, micros: str, order: list[str], gap_us: int) -> DataFrame:
+    """``df`` with ``__segment``: a new one begins after every pause longer than ``gap_us``, which starts any fold of the key afresh.
+
+    A busy key is so folded in pieces, each of which is a group of its own; Spark sorts the whole key, spilling where it must.
+    """
+    w = W.partitionBy(key).orderBy(*order)
+    first = (F.col(micros) - F.lag(micros).over(w) > gap_us).cast("long")
+    return df.withColumn("__new", F.coalesce(first, F.lit(0))).withColumn("__segment", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+
+
 def anchored_counts(df: DataFrame, key: str, micros: str, window_s: float, order: list[str] | None = None, **options) -> DataFrame:
     """``df`` with ``count`` and ``window_start`` per key: the kernel of rate limits and escalation.
 
-    Each key's rows are sorted by Spark and folded in one pass; a key is one request source, whose rows are few.
+    A pause longer than the window starts a new one whatever was before, so each key is folded in the pieces between such pauses.
     """
     order = order or [micros]
     schema = df.schema.simpleString()[len("struct<") : -1] + ",count:bigint,window_start:bigint"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
+        rows = rows.drop(columns="__segment").sort_values(order, kind="stable")
         rows["count"], rows["window_start"] = anchored(rows[micros].tolist(), int(window_s * 1_000_000), **options)
         return rows
 
-    return df.groupBy(key).applyInPandas(fold, schema)
+    return segmented(df, key, micros, order, int(window_s * 1_000_000)).groupBy(key, "__segment").applyInPandas(fold, schema)
 
 
 def rate_limited(df: DataFrame, key: str, micros: str, limit: int, window_s: float = 60, order: list[str] | None = None) -> DataFrame:
@@ -171,12 +181,12 @@ def graced(triggered: Column, now: Column, until: Column) -> Column:
 
 
 def token_bucket(df: DataFrame, key: str, micros: str, rate: float, capacity: float, cost: float = 1.0, order: list[str] | None = None) -> DataFrame:
-    """Requests against a bucket refilled at ``rate`` a second: ``allowed`` and the ``tokens`` left."""
+    """Requests against a bucket refilled at ``rate`` a second: ``allowed`` and the ``tokens`` left; a pause that fills it starts a new piece."""
     order = order or [micros]
     schema = df.schema.simpleString()[len("struct<") : -1] + ",allowed:boolean,tokens:double"
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
+        rows = rows.drop(columns="__segment").sort_values(order, kind="stable")
         tokens, last, allowed, left = float(capacity), None, [], []
         for t in rows[micros].tolist():
             if last is not None:
@@ -189,7 +199,8 @@ def token_bucket(df: DataFrame, key: str, micros: str, rate: float, capacity: fl
         rows["allowed"], rows["tokens"] = allowed, left
         return rows
 
-    return df.groupBy(key).applyInPandas(fold, schema)
+    full = int(capacity / rate * 1_000_000) + 1
+    return segmented(df, key, micros, order, full).groupBy(key, "__segment").applyInPandas(fold, schema)
 
 
 def custom_condition(df: DataFrame, key: str, order: list[str], test: Callable[[pd.DataFrame], bool]) -> DataFrame:

@@ -214,7 +214,7 @@ def prompt_hardened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'system'").select("conv_id", "turn", defense.harden(F.col("text")).alias("hardened"))
 
 
-@query("prompt_hash", None)
+@query("prompt_hash", "SELECT conv_id, turn, format('{:08x}', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS hash FROM conversations WHERE role = 'system'")
 def prompt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'system'").select("conv_id", "turn", tx.fnv1a(F.col("text")).alias("hash"))
 
@@ -226,7 +226,7 @@ def json_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", output_checks.json_validation()(Scope(F.col("t")))["triggered"].alias("triggered"))
 
 
-@query("schema_validation", None)
+@query("schema_validation", "SELECT event_id, NOT coalesce(json_valid(props) AND json_type(props, '$.k') IN ('BIGINT', 'UBIGINT'), false) AS triggered FROM events")
 def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("t"))
     r = output_checks.schema_validation("k bigint", ["k"])(Scope(F.col("t"), output=F.col("t")))

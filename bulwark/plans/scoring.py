@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bulwark.functions.regex import Rx, quoted
 from bulwark.functions.text import sql_hits
+from bulwark.operators import input_checks
 from bulwark.operators import scoring as sc
 from bulwark.plans.base import PLANTED_SQL, documents, joined, planted, query
 from bulwark.plans.tools import HOST_SQL
@@ -78,7 +79,12 @@ def sql_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir).select("doc_id", F.array_contains(issues, "dangerous operation").alias("dangerous"), F.array_contains(issues, "missing limit").alias("unlimited"))
 
 
-@query("retained_text", None)
+_KEPT = "t"
+for _kind, _rx in input_checks.PII.items():
+    _KEPT = f"regexp_replace({_KEPT}, {quoted(_rx.re2)}, '[{_kind.upper()}]', 'g')"
+
+
+@query("retained_text", f"SELECT doc_id, md5({_KEPT}) AS retained FROM ({PLANTED_SQL})")
 def retained_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir).select("doc_id", F.md5(sc.retained(F.col("t"))).alias("retained"))
 

@@ -89,13 +89,21 @@ def gradual_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.escalated(rows, "user_id", "micros", warn, block, 4 * HOUR, ORDER).select("event_id", "count", "phase")
 
 
-@query("rate_limit_strict", None)
+@query("rate_limit_strict", f"""WITH RECURSIVE e AS ({EVENTS_SQL}), x AS (SELECT event_id, user_id, micros, row_number() OVER (PARTITION BY user_id ORDER BY micros, event_id) AS k FROM e),
+f AS (SELECT user_id, k, event_id, micros AS start, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS c FROM x WHERE k = 1
+UNION ALL SELECT x.user_id, x.k, x.event_id, CASE WHEN x.micros - f.start >= {HOUR * 1_000_000} THEN x.micros ELSE f.start END,
+CASE WHEN x.micros - f.start >= {HOUR * 1_000_000} THEN CAST(1 AS BIGINT) ELSE least(f.n + 1, 2) END,
+CASE WHEN x.micros - f.start >= {HOUR * 1_000_000} THEN CAST(1 AS BIGINT) ELSE f.n + 1 END FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+SELECT event_id, c AS count, c > 2 AS limited FROM f""")
 def rate_limit_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "micros")
     return ss.strict_rate_limited(e, "user_id", "micros", 2, HOUR, ORDER).select("event_id", "count", "limited")
 
 
-@query("token_bucket", None)
+@query("token_bucket", f"""WITH RECURSIVE e AS ({EVENTS_SQL}), x AS (SELECT event_id, user_id, micros, row_number() OVER (PARTITION BY user_id ORDER BY micros, event_id) AS k FROM e),
+f AS (SELECT user_id, k, event_id, micros, CAST(3 AS DOUBLE) AS had FROM x WHERE k = 1
+UNION ALL SELECT x.user_id, x.k, x.event_id, x.micros, least(3::DOUBLE, f.had - CASE WHEN f.had >= 1 THEN 1 ELSE 0 END + (x.micros - f.micros) / 1000000::DOUBLE * (1 / 20000::DOUBLE)) FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+SELECT event_id, had >= 1 AS allowed, round(had - CASE WHEN had >= 1 THEN 1 ELSE 0 END, 6) AS tokens FROM f""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "user_id", "micros")
     return ss.token_bucket(e, "user_id", "micros", 1 / 20000, 3, order=ORDER).select("event_id", "allowed", F.round("tokens", 6).alias("tokens"))
@@ -106,7 +114,7 @@ def grace_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", ss.graced(F.col("event_type") == "error", F.col("ts"), F.lit("2024-01-15").cast("timestamp_ntz")).alias("triggered"))
 
 
-@query("sliding_violations_300s", f"WITH {_V} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY micros RANGE BETWEEN {12 * HOUR * 1_000_000} PRECEDING AND CURRENT ROW) AS n FROM v")
+@query("sliding_violations_72h", f"WITH {_V} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY micros RANGE BETWEEN {12 * HOUR * 1_000_000} PRECEDING AND CURRENT ROW) AS n FROM v")
 def sliding_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     # errors are rare here, so the sliding window is long
     return violations(spark, sf_dir).select("event_id", ss.sliding_count(KEY, F.col("micros"), 12 * HOUR).alias("n"))
@@ -142,7 +150,9 @@ def token_budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.token_budget(chunks(spark, sf_dir), 120)
 
 
-@query("stream_every_second_part", None)
+@query("stream_every_second_part", f"""WITH p AS ({CHUNKS_SQL}), a AS (SELECT *, string_agg(delta, '' ORDER BY seq) OVER w AS t, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM p WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, contains(t, 'forbidden') AND n % 2 = 0 AS bad FROM a), b AS (SELECT *, max(bad) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stop, max(bad) OVER (PARTITION BY stream_id) AS stopped FROM c)
+SELECT stream_id, seq, delta, stopped FROM b WHERE NOT stop""")
 def stream_every_second_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.every_kth(chunks(spark, sf_dir), F.contains("so_far", F.lit("forbidden")), 2)
 
@@ -152,7 +162,7 @@ def stream_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.buffered(chunks(spark, sf_dir))
 
 
-@query("stream_dropped_parts", None)
+@query("stream_dropped_parts", f"SELECT stream_id, seq, CASE WHEN contains(delta, 'forbidden') THEN '[FILTERED]' ELSE delta END AS delta FROM ({CHUNKS_SQL})")
 def stream_dropped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.handled(chunks(spark, sf_dir), F.contains("delta", F.lit("forbidden")), "replace")
 
