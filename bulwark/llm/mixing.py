@@ -62,7 +62,8 @@ def offset(seed: int, source: Column) -> Column:
 
 def copies(rows: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``rows`` (``id, source, size`` and what they carry) with ``source_size, target`` and ``copies``, how often each is taken."""
-    rows = rows.withColumn("class", F.floor(F.sqrt("size")).cast("long"))
+    # the words of the texts are counted once, here
+    rows = checkpointed(rows.withColumn("class", F.floor(F.sqrt("size")).cast("long")))
     classes = checkpointed(rows.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count("*").alias("docs")))
     totals = classes.groupBy(F.col("source").alias("__source")).agg(F.sum("size").alias("__size"), F.sum("docs").alias("__docs"))
     per = F.coalesce(F.floor(F.least(F.col("__target") / F.when(F.col("__size") > 0, F.col("__size")), F.lit(float(max_repeat))) * SCALE), F.lit(0)).cast("long")
