@@ -126,14 +126,19 @@ def anchored(times: list[int], window: int, inclusive: bool = False, limit: int
     return counts, starts
 
 
+#: Rows of one key that a fold is meant to take at a time.
+PIECE = 4096
+
+
 def segmented(df: DataFrame, key: str, micros: str, order: list[str], gap_us: int) -> DataFrame:
-    """``df`` with ``__segment``: a new one begins after every pause longer than ``gap_us``, which starts any fold of the key afresh.
+    """``df`` with ``__segment``: pieces of each key of about ``PIECE`` rows, cut only at pauses longer than ``gap_us``, which start any fold afresh.
 
     A busy key is so folded in pieces, each of which is a group of its own; Spark sorts the whole key, spilling where it must.
     """
     w = W.partitionBy(key).orderBy(*order)
-    first = (F.col(micros) - F.lag(micros).over(w) > gap_us).cast("long")
-    return df.withColumn("__new", F.coalesce(first, F.lit(0))).withColumn("__segment", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    begins = F.coalesce(F.col(micros) - F.lag(micros).over(w) > gap_us, F.lit(True))
+    numbered = df.withColumn("__begins", F.when(begins, F.row_number().over(w) - 1))
+    return numbered.withColumn("__segment", F.floor(F.max("__begins").over(w.rowsBetween(W.unboundedPreceding, 0)) / PIECE)).drop("__begins")
 
 
 def anchored_counts(df: DataFrame, key: str, micros: str, window_s: float, order: list[str] | None = None, **options) -> DataFrame:
