@@ -18,7 +18,8 @@ from which no arc leads on is given up for good, and a word takes time in propor
 are looked up in a table that is filled on first use.  Decoding emits the arc labels, joined by one space as the
 vocabulary has no decoder of its own.
 
-Null and empty texts give zero tokens, an empty decoding and the hashes of empty input.
+Defined cases: null and empty texts give zero tokens, an empty decoding and the hashes of empty input; very long texts and words are
+encoded whole; repeated rows are encoded alike; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

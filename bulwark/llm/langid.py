@@ -9,7 +9,7 @@ and every row is then predicted from its whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled rows every text is
 ``und``; with one label all texts get it; a null doc_id is hashed as an empty string, so it is not held out unless that
-hash says so; repeated rows are predicted alike; lang and source never reach a prediction.
+hash says so; very long texts are read whole, the count of one n-gram in a text being held at 65,535; repeated rows are predicted alike; lang and source never reach a prediction.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ over the root of the number of tokens; token entropy grows with length, so its l
 entropy divided by the logarithm of the number of tokens.
 
 Null texts have no words: every count is 0, ``base_failed`` is true and the document is rejected.
-Repeated rows are measured separately; other columns are not read.
+Very long texts are measured whole; repeated rows are measured separately; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
