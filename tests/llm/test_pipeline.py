@@ -29,12 +29,13 @@ def corpus(seed=9):
 
 def brute(rows):
     """The five stages in plain Python, up to the choice that random offsets make: the set of documents that reach the mix."""
-    fertility = quality.Fertility(tokenizer_path("piece_bpe_32k.model"))
+    vocabularies = [quality.Fertility(tokenizer_path(v)) for v in quality.VOCABULARIES]
     kept = []
     for i, t, lang, s in rows:
         raw = (t or "").encode()
-        fertility.learn([raw.split()])
-        if quality.measure(raw, raw.split(), lang, fertility, quality.BANDS)[6]:
+        for v in vocabularies:
+            v.learn(set(raw.split()))
+        if quality.measure(raw, raw.split(), lang, vocabularies, quality.BANDS)[6]:
             kept.append((i, t, s))
     sites = {}
     for _, t, s in kept:
