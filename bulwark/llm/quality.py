@@ -19,7 +19,6 @@ import base64
 import math
 import re
 from array import array
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -124,57 +123,63 @@ def repeated_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def pieces(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
-    """The encoder of words of a vocabulary of pieces, and which of its tokens are bytes."""
-    import sentencepiece
+class Pieces:
+    """A vocabulary of pieces that falls back to bytes; each distinct word is encoded once."""
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return model.encode, np.array([model.is_byte(i) for i in range(model.get_piece_size())], bool)
+    def __init__(self, path: str):
+        import sentencepiece
 
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())], bool)
+        self.code = "H" if len(self.is_byte) <= 1 << 16 else "I"
+        self.known: dict[bytes, bytes] = {}
 
-def merges(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
-    """The encoder of words, a space before each, of byte-level merges, and which of its tokens are no whole characters."""
-    import tiktoken
+    def learn(self, words: set[bytes]) -> None:
+        """Encode, in one call, the words of a batch that are not remembered."""
+        if len(self.known) > CACHE:
+            self.known = {}
+        new = list(words - self.known.keys())
+        for word, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new]), strict=True):
+            self.known[word] = array(self.code, ids).tobytes()
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    cut = np.zeros(max(ranks.values()) + 1, bool)
-    cut[[rank for token, rank in ranks.items() if "\ufffd" in token.decode("utf-8", "replace")]] = True
-    return lambda words: [encoding.encode_ordinary(" " + w) for w in words], cut
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.code)
 
 
-class Fertility:
-    """Token ids of words under one vocabulary, each distinct word encoded once."""
+class Merges:
+    """Byte-level merges, over the words with a space before each; a token of no whole characters counts as a byte."""
 
     def __init__(self, path: str):
-        self.encode, self.is_byte = (merges if path.endswith(".tiktoken") else pieces)(path)
-        self.size = len(self.is_byte)
-        self.ids = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
-        self.known: dict[bytes, bytes] = {}
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.is_byte = np.zeros(max(ranks.values()) + 1, bool)
+        self.is_byte[[rank for token, rank in ranks.items() if "\ufffd" in token.decode("utf-8", "replace")]] = True
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode, in one call, the words of a batch that are not remembered."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list(words - self.known.keys())
-        for word, ids in zip(new, self.encode([w.decode("utf-8", "replace") for w in new]), strict=True):
-            self.known[word] = array("H" if self.ids.itemsize == 2 else "I", ids).tobytes()
+        """Nothing is remembered: a text is encoded faster than its words are looked up."""
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(b" ".join([b"", *words]).decode("utf-8", "replace")), np.uint32)
+
 
-    def measure(self, words: list[bytes]) -> tuple[int, int, float]:
-        """Tokens, tokens that are bytes, and entropy of the tokens in bits; ``learn`` has seen the words."""
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.ids)
-        if not len(ids):
-            return 0, 0, 0.0
-        counts = np.bincount(ids, minlength=self.size) if len(ids) > 2000 else np.unique(ids, return_counts=True)[1]
-        share = counts[counts > 0] / len(ids)
-        return len(ids), int(self.is_byte[ids].sum()), float(-(share * np.log2(share)).sum())
+def fertility(vocabulary: Pieces | Merges, words: list[bytes]) -> tuple[int, int, float]:
+    """Tokens, tokens that are bytes, and entropy of the tokens in bits; the vocabulary has learnt the words."""
+    ids = vocabulary.ids(words)
+    if not len(ids):
+        return 0, 0, 0.0
+    size = len(vocabulary.is_byte)
+    counts = np.bincount(ids, minlength=size) if len(ids) > 2000 else np.unique(ids, return_counts=True)[1]
+    share = counts[counts > 0] / len(ids)
+    return len(ids), int(vocabulary.is_byte[ids].sum()), float(-(share * np.log2(share)).sum())
 
 
 @lru_cache(maxsize=4)
-def fertility_of(path: str) -> Fertility:
-    """One model, and one memory of words, for all tasks that a Python worker runs."""
-    return Fertility(path)
+def vocabulary_of(path: str) -> Pieces | Merges:
+    """One vocabulary, and one memory of words, for all tasks that a Python worker runs."""
+    return (Merges if path.endswith(".tiktoken") else Pieces)(path)
 
 
 COLUMNS = {
@@ -192,7 +197,7 @@ def within(band: Band, tokens: int, per_token: float, byte_share: float, entropy
     )
 
 
-def measure(raw: bytes, words: list[bytes], lang: str | None, vocabularies: list[Fertility], bands: dict[str, tuple[Band, ...]]) -> tuple:
+def measure(raw: bytes, words: list[bytes], lang: str | None, vocabularies: list[Pieces | Merges], bands: dict[str, tuple[Band, ...]]) -> tuple:
     """The values of ``COLUMNS`` for one text."""
     n, chars = len(words), sum(map(len, words))
     if not raw.isascii():
@@ -203,14 +208,14 @@ def measure(raw: bytes, words: list[bytes], lang: str | None, vocabularies: list
     script = ("latin" if LETTER.search(raw) else "none") if raw.isascii() else script_of(text)
     found = []
     for vocabulary in vocabularies:
-        tokens, fallback, entropy = vocabulary.measure(words)
+        tokens, fallback, entropy = fertility(vocabulary, words)
         found.append((tokens, chars / max(tokens, 1), fallback / max(tokens, 1), entropy))
     kept = not failed and all(within(band, *f) for band, f in zip(bands.get(lang) or bands[script], found, strict=True))
     symbols = len(raw.translate(None, NOT_SYMBOLS))
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, kept, script, *(x for f in found for x in f)
 
 
-def _measured(batch: pd.DataFrame, vocabularies: list[Fertility], bands: dict[str, tuple[Band, ...]]) -> list[tuple]:
+def _measured(batch: pd.DataFrame, vocabularies: list[Pieces | Merges], bands: dict[str, tuple[Band, ...]]) -> list[tuple]:
     raw = [text_bytes(t) for t in batch["text"]]
     words = [r.split() for r in raw]
     distinct = set().union(*words)
@@ -225,7 +230,7 @@ def quality_rules(docs: DataFrame, bands: dict[str, tuple[Band, Band]] | None =
     bands = BANDS | (bands or {})
 
     def make():
-        known = [*map(fertility_of, paths)]
+        known = [*map(vocabulary_of, paths)]
 
         def each(batch: pd.DataFrame) -> pd.DataFrame:
             out = pd.DataFrame(_measured(batch, known, bands), columns=[*COLUMNS])
@@ -245,7 +250,7 @@ def keep_good(docs: DataFrame, bands: dict[str, tuple[Band, Band]] | None = None
     small_batches(docs.sparkSession)
 
     def run(batches):
-        known = [*map(fertility_of, paths)]
+        known = [*map(vocabulary_of, paths)]
         for batch in batches:
             texts = pd.DataFrame({c: batch.column(c).to_pylist() for c in ("text", "lang")})
             yield batch.filter(pa.array([x[kept] for x in _measured(texts, known, bands)], pa.bool_()))

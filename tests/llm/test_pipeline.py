@@ -29,7 +29,7 @@ def corpus(seed=9):
 
 def brute(rows):
     """The five stages in plain Python, up to the choice that random offsets make: the set of documents that reach the mix."""
-    vocabularies = [quality.Fertility(tokenizer_path(v)) for v in quality.VOCABULARIES]
+    vocabularies = [quality.vocabulary_of(tokenizer_path(v)) for v in quality.VOCABULARIES]
     kept = []
     for i, t, lang, s in rows:
         raw = (t or "").encode()
