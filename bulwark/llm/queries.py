@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, exact_dedup, html_text, langid, licenses, line_dedup, mixing, ngram_join, pii, quality
+from bulwark.llm import bpe, exact_dedup, html_text, langid, licenses, line_dedup, mixing, ngram_join, pii, quality, token_counts
 from bulwark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_personal_data, op2_source_mix, op3_bpe_automaton, op4_license_scan, op5_ngram_join, op6_language_id, op7_page_text, op8_quality_rules, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_personal_data, op2_source_mix, op3_bpe_automaton, op4_license_scan, op5_ngram_join, op6_language_id, op7_page_text, op8_quality_rules, op9_line_dedup, op10_exact_dedup, op11_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
