@@ -38,7 +38,7 @@ PIECE = 1 << 20
 # Character classes of the splitter, written out for Latin text: U+0000 to U+02AF, general punctuation, currency signs.
 _LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
 _NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-_SPACE = "\t-\r \u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f"
+_SPACE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN = re.compile("[\u0000-\u02af\u2000-\u206f\u20a0-\u20bf]*")
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")

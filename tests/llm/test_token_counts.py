@@ -57,7 +57,7 @@ def test_whole_tokens_are_proven(lib):
 
 def test_pieces_and_memory_change_nothing(lib, monkeypatch):
     rng = random.Random(4)
-    text = "".join(rng.choice(["word", "wörd's", " ", "  ", "\n\n ", "123", "漢字", "<|endoftext|>", "\xa0"]) for _ in range(4000))
+    text = "".join(rng.choice(["word", "wörd's", " ", "  ", "\n\n ", "123", "漢字", "<|endoftext|>", "\xa0", "\u3000", "\u1680"]) for _ in range(4000))
     monkeypatch.setattr(tc, "PIECE", 7)
     monkeypatch.setattr(tc.pieces, "__defaults__", (7,))
     monkeypatch.setattr(tc, "CACHE", 3)
