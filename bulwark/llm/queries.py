@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bulwark.llm import bpe, exact_dedup, html_text, langid, licenses, line_dedup, mixing, ngram_join, pii, quality, token_counts
+from bulwark.llm import bpe, conversation_trie, exact_dedup, html_text, importance, langid, licenses, line_dedup, mixing, ngram_join, pii, quality, token_counts
 from bulwark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,17 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_personal_data, op2_source_mix, op3_bpe_automaton, op4_license_scan, op5_ngram_join, op6_language_id, op7_page_text, op8_quality_rules, op9_line_dedup, op10_exact_dedup, op11_token_counts)}
+    return {f.__name__: f for f in (op1_personal_data, op2_source_mix, op3_bpe_automaton, op4_license_scan, op5_ngram_join, op6_language_id, op7_page_text, op8_quality_rules, op9_line_dedup, op10_exact_dedup, op11_token_counts, op12_conversation_trie, op13_importance_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.SQL, "op9_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op2_source_mix": mixing.SQL, "op9_line_dedup": line_dedup.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_conversation_trie": conversation_trie.SQL, "op13_importance_resample": importance.SQL}
