@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bulwark.functions.result import rank
+from bulwark.operators.folds import Anchored, Bucket, Recent, folded
 
 
 def so_far(key: list[str], order: list[str]):
@@ -103,58 +104,16 @@ def sliding_count(key: list[str], micros: Column, seconds: float) -> Column:
     return F.count("*").over(W.partitionBy(*key).orderBy(micros).rangeBetween(-int(seconds * 1_000_000), 0))
 
 
-# Folds: windows anchored at their first event have no window function; each key's rows are folded in order.
+# Folds: windows anchored at their first event have no window function, nor have buckets (see ``folds``).
 
 
-def anchored(times: list[int], window: int, inclusive: bool = False, limit: int | None = None, count_denied: bool = True) -> tuple[list[int], list[int]]:
-    """Count and window start at each time; a new window begins once the last is older than ``window``.
-
-    ``inclusive`` restarts at exactly the window's length, too; uncounted denials (``limit`` without ``count_denied``)
-    leave the count where it is.
-    """
-    counts, starts = [], []
-    start, count = None, 0
-    for t in times:
-        if start is None or t - start > window or inclusive and t - start == window:
-            start, count = t, 0
-        if limit is None or count_denied or count < limit:
-            count += 1
-            counts.append(count)
-        else:
-            counts.append(limit + 1)
-        starts.append(start)
-    return counts, starts
-
-
-#: Rows of one key that a fold is meant to take at a time.
-PIECE = 4096
-
-
-def segmented(df: DataFrame, key: str, micros: str, order: list[str], gap_us: int) -> DataFrame:
-    """``df`` with ``__segment``: pieces of each key of about ``PIECE`` rows, cut only at pauses longer than ``gap_us``, which start any fold afresh.
-
-    A busy key is so folded in pieces, each of which is a group of its own; Spark sorts the whole key, spilling where it must.
-    """
-    w = W.partitionBy(key).orderBy(*order)
-    begins = F.coalesce(F.col(micros) - F.lag(micros).over(w) > gap_us, F.lit(True))
-    numbered = df.withColumn("__begins", F.when(begins, F.row_number().over(w) - 1))
-    return numbered.withColumn("__segment", F.floor(F.max("__begins").over(w.rowsBetween(W.unboundedPreceding, 0)) / PIECE)).drop("__begins")
-
-
-def anchored_counts(df: DataFrame, key: str, micros: str, window_s: float, order: list[str] | None = None, **options) -> DataFrame:
+def anchored_counts(df: DataFrame, key: str, micros: str, window_s: float, order: list[str] | None = None, inclusive: bool = False, limit: int | None = None) -> DataFrame:
     """``df`` with ``count`` and ``window_start`` per key: the kernel of rate limits and escalation.
 
-    A pause longer than the window starts a new one whatever was before, so each key is folded in the pieces between such pauses.
+    With a ``limit``, what is beyond it is denied and not counted: each such event's count is the limit and one.
     """
-    order = order or [micros]
-    schema = df.schema.simpleString()[len("struct<") : -1] + ",count:bigint,window_start:bigint"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__segment").sort_values(order, kind="stable")
-        rows["count"], rows["window_start"] = anchored(rows[micros].tolist(), int(window_s * 1_000_000), **options)
-        return rows
-
-    return segmented(df, key, micros, order, int(window_s * 1_000_000)).groupBy(key, "__segment").applyInPandas(fold, schema)
+    out = folded(df, key, micros, Anchored(int(window_s * 1_000_000), inclusive), order)
+    return out if limit is None else out.withColumn("count", F.least("count", F.lit(limit + 1).cast("long")))
 
 
 def rate_limited(df: DataFrame, key: str, micros: str, limit: int, window_s: float = 60, order: list[str] | None = None) -> DataFrame:
@@ -166,7 +125,7 @@ def rate_limited(df: DataFrame, key: str, micros: str, limit: int, window_s: flo
 
 def strict_rate_limited(df: DataFrame, key: str, micros: str, limit: int, window_s: float = 60, order: list[str] | None = None) -> DataFrame:
     """The variant that restarts at the window's end and does not count denied requests."""
-    return anchored_counts(df, key, micros, window_s, order, inclusive=True, limit=limit, count_denied=False).withColumn("limited", F.col("count") > limit)
+    return anchored_counts(df, key, micros, window_s, order, inclusive=True, limit=limit).withColumn("limited", F.col("count") > limit)
 
 
 def escalated(df: DataFrame, key: str, micros: str, warn: int, block: int, window_s: float, order: list[str] | None = None, severities: list[str] | None = None) -> DataFrame:
@@ -186,26 +145,25 @@ def graced(triggered: Column, now: Column, until: Column) -> Column:
 
 
 def token_bucket(df: DataFrame, key: str, micros: str, rate: float, capacity: float, cost: float = 1.0, order: list[str] | None = None) -> DataFrame:
-    """Requests against a bucket refilled at ``rate`` a second: ``allowed`` and the ``tokens`` left; a pause that fills it starts a new piece."""
-    order = order or [micros]
-    schema = df.schema.simpleString()[len("struct<") : -1] + ",allowed:boolean,tokens:double"
+    """Requests against a bucket refilled at ``rate`` a second: ``allowed`` and the ``tokens`` left.
+
+    Rate, capacity and cost are taken as fractions with denominators of a million at most; sums of them are exact.
+    """
+    return folded(df, key, micros, Bucket(rate, capacity, cost), order)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__segment").sort_values(order, kind="stable")
-        tokens, last, allowed, left = float(capacity), None, [], []
-        for t in rows[micros].tolist():
-            if last is not None:
-                tokens = min(capacity, tokens + (t - last) / 1e6 * rate)
-            last = t
-            ok = tokens >= cost
-            tokens -= cost if ok else 0.0
-            allowed.append(ok)
-            left.append(tokens)
-        rows["allowed"], rows["tokens"] = allowed, left
-        return rows
 
-    full = int(capacity / rate * 1_000_000) + 1
-    return segmented(df, key, micros, order, full).groupBy(key, "__segment").applyInPandas(fold, schema)
+def user_escalation(df: DataFrame, key: str, micros: str, score: str, most: int = 3, cooldown_s: float = 300, review: float = 0.85, block: float = 0.95, order: list[str] | None = None) -> DataFrame:
+    """Violations with ``recent``, ``needs_cooldown``, ``cooldown_left`` (seconds), ``needs_review`` and ``blocked``.
+
+    ``recent`` counts a user's violations of the last ``cooldown_s`` seconds, the current one included, up to ``most``, from which on
+    the user has to cool down; one made exactly that long ago counts no more.  Scores decide on review and blocking.
+    """
+    out = folded(df, key, micros, Recent(int(cooldown_s * 1_000_000), most), order)
+    cooling = F.coalesce(F.col("recent") >= most, F.lit(False))
+    return out.withColumns({
+        "needs_cooldown": cooling, "cooldown_left": F.when(cooling, F.lit(float(cooldown_s))).otherwise(0.0),
+        "needs_review": F.coalesce(F.col(score) >= review, F.lit(False)), "blocked": F.coalesce(F.col(score) >= block, F.lit(False)),
+    })
 
 
 def custom_condition(df: DataFrame, key: str, order: list[str], test: Callable[[pd.DataFrame], bool]) -> DataFrame:

@@ -109,6 +109,15 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.token_bucket(e, "user_id", "micros", 1 / 20000, 3, order=ORDER).select("event_id", "allowed", F.round("tokens", 6).alias("tokens"))
 
 
+@query("user_escalation", f"""WITH {_V} SELECT event_id, least(count(*) OVER (PARTITION BY user_id ORDER BY micros, event_id ROWS UNBOUNDED PRECEDING) - coalesce(old, 0), 3) AS recent,
+count(*) OVER (PARTITION BY user_id ORDER BY micros, event_id ROWS UNBOUNDED PRECEDING) - coalesce(old, 0) >= 3 AS needs_cooldown, value >= 85 AS needs_review, value >= 95 AS blocked
+FROM v LEFT JOIN (SELECT a.event_id, count(*) AS old FROM v AS a JOIN v AS b ON a.user_id = b.user_id AND b.micros <= a.micros - {12 * HOUR * 1_000_000} GROUP BY a.event_id) USING (event_id)""")
+def user_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = violations(spark, sf_dir).select("event_id", "user_id", "micros", "value")
+    out = ss.user_escalation(rows, "user_id", "micros", "value", 3, 12 * HOUR, review=85, block=95, order=ORDER)
+    return out.select("event_id", "recent", "needs_cooldown", "needs_review", "blocked")
+
+
 @query("grace_period", "SELECT event_id, event_type = 'error' AND ts >= TIMESTAMP '2024-01-15' AS triggered FROM events")
 def grace_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", ss.graced(F.col("event_type") == "error", F.col("ts"), F.lit("2024-01-15").cast("timestamp_ntz")).alias("triggered"))

@@ -16,13 +16,6 @@ from bulwark.sources import files
 from bulwark.streaming import parts, stateful
 
 
-def test_anchored_windows():
-    counts, starts = ss.anchored([0, 5, 10, 11, 21, 22], 10)
-    assert counts == [1, 2, 3, 1, 2, 1] and starts == [0, 0, 0, 11, 11, 22]
-    assert ss.anchored([0, 10], 10, inclusive=True)[0] == [1, 1]
-    assert ss.anchored([0, 1, 2, 3], 10, limit=2, count_denied=False)[0] == [1, 2, 3, 3]
-
-
 def test_budget_stops_for_good(spark):
     rows = spark.createDataFrame([("s", 1, 0.6, 1, True, False), ("s", 2, 0.6, 1, True, False), ("s", 3, -5.0, 1, True, False)], "k string, seq int, cost_usd double, tokens long, is_tool boolean, is_error boolean")
     got = [r.stopped for r in ss.budget(rows, ["k"], ["seq"], max_cost=1.0).orderBy("seq").collect()]
@@ -118,26 +111,3 @@ def test_governance_and_backoff(spark):
     assert [r.x for r in n.collect()] == [100.0, 200.0, 400.0, 500.0]
     jittered = spark.range(1, 5).select(backoff.jittered_exponential(100)(F.col("id")).alias("x")).collect()
     assert all(abs(r.x / (100 * 2**k) - 1) <= 0.06 for k, r in enumerate(jittered))
-
-
-def test_pieces_of_a_busy_key(spark, monkeypatch):
-    """Folds cut at pauses count as folds over the whole key do."""
-    import random
-
-    from bulwark.operators import sessions as ss
-
-    rng = random.Random(5)
-    rows, t = [], 0
-    for k in range(3000):
-        t += rng.choice([1, 2, 5, 200]) * 1_000_000
-        rows.append((k, "busy", t))
-    rows += [(9000 + k, f"u{k}", k) for k in range(5)]
-    df = spark.createDataFrame(rows, "event_id int, user_id string, micros long")
-    seen = []
-    for piece in (10**9, 7):
-        monkeypatch.setattr(ss, "PIECE", piece)
-        counts = ss.anchored_counts(df, "user_id", "micros", 60)
-        bucket = ss.token_bucket(df, "user_id", "micros", 0.05, 3)
-        seen.append((sorted(map(str, counts.collect())), sorted(str((r.event_id, r.allowed, round(r.tokens, 9))) for r in bucket.collect())))
-    assert seen[0] == seen[1]
-    assert ss.segmented(df, "user_id", "micros", ["micros"], 60_000_000).select("__segment").distinct().count() > 50
