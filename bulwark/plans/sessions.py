@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bulwark.functions import text as tx
+from bulwark.operators import output_checks as oc
 from bulwark.operators import sessions as ss
-from bulwark.plans.base import documents, query
+from bulwark.plans.base import documents, query, sql_any
 from bulwark.sources.files import table
-from bulwark.streaming import parts
+from bulwark.streaming import checked, parts
 
 KEY, ORDER = ["user_id"], ["micros", "event_id"]
 EVENTS_SQL = "SELECT event_id, user_id, event_type, value, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events"
@@ -176,7 +177,43 @@ def stream_dropped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.handled(chunks(spark, sf_dir), F.contains("delta", F.lit("forbidden")), "replace")
 
 
-@query("token_aware_checks", None)
+_FOUND = {n: rx.sql("t") for n, (rx, _) in oc.SENSITIVE.items()}
+_WATCH = f"""WITH p AS ({CHUNKS_SQL}), q AS (SELECT stream_id, seq, delta || CASE WHEN seq = 4 AND CAST(stream_id AS BIGINT) % 3 = 0 THEN ' mail a@b.co, ssn 123-4' WHEN seq = 5 THEN '5-6789 is toxic, harmful and offens' ELSE '' END AS delta FROM p),
+a AS (SELECT *, string_agg(delta, '' ORDER BY seq) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS t FROM q),
+k AS (SELECT *, {sql_any(_FOUND)} AS kinds, contains(lower(t), 'forbidden') AS word, (contains(lower(t), 'toxic')::INT + contains(lower(t), 'harmful')::INT + contains(lower(t), 'offensive')::INT + contains(lower(t), 'inappropriate')::INT) * 0.3::DOUBLE > 0.7::DOUBLE AS toxic FROM a),
+n AS (SELECT *, list_filter([CASE WHEN len(kinds) > 0 THEN 'Sensitive data detected: ' || array_to_string(kinds, ', ') END, CASE WHEN word THEN 'Blocked content detected: forbidden' END, CASE WHEN toxic THEN 'Content toxicity score exceeds threshold' END], lambda x: x IS NOT NULL) AS said,
+  list_filter([CASE WHEN len(kinds) > 0 THEN 'sensitive-data-filter' END, CASE WHEN word THEN 'blocked-content' END, CASE WHEN toxic THEN 'toxicity-filter' END], lambda x: x IS NOT NULL) AS names,
+  word OR toxic OR len(list_filter(kinds, lambda k: k NOT IN ('Email', 'Phone'))) > 0 AS high FROM k)"""
+
+
+def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams with data that only shows where two parts meet."""
+    more = F.when((F.col("seq") == 4) & (F.col("stream_id").cast("long") % 3 == 0), " mail a@b.co, ssn 123-4").when(F.col("seq") == 5, "5-6789 is toxic, harmful and offens").otherwise("")
+    return chunks(spark, sf_dir).withColumn("delta", F.concat("delta", more))
+
+
+WATCH = (checked.sensitive_data(), checked.blocked_content(["forbidden"]), checked.toxicity_filter())
+
+
+@query("stream_checked", _WATCH + """, s AS (SELECT *, sum(high::INT) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far FROM n)
+SELECT stream_id, seq, CASE WHEN NOT high THEN delta END AS delta, CASE WHEN high THEN 'Guardrail violation: ' || array_to_string(said, ', ') END AS error, array_to_string(names, ',') AS violations FROM s WHERE so_far - high::INT = 0""")
+def stream_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = checked.checked_parts(watched(spark, sf_dir), checked.Monitor(WATCH, severity="high"))
+    return out.withColumn("violations", F.array_join("violations", ","))
+
+
+@query("stream_progressive", _WATCH + """, s AS (SELECT *, count(*) FILTER (len(names) > 0) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS so_far FROM n)
+SELECT stream_id, seq, CASE WHEN so_far = 2 AND len(names) > 0 THEN '[Output blocked: ' || array_to_string(said, ', ') || ']' ELSE delta END AS delta, array_to_string(names, ',') AS violations FROM s WHERE so_far < 2 OR so_far = 2 AND len(names) > 0""")
+def stream_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = checked.checked_parts(watched(spark, sf_dir), checked.Monitor(WATCH, mode="progressive", until=2))
+    return out.select("stream_id", "seq", "delta", F.array_join("violations", ",").alias("violations"))
+
+
+@query("token_aware_checks", f"""WITH RECURSIVE p AS ({CHUNKS_SQL}), a AS (SELECT stream_id, seq, delta, string_agg(delta, '' ORDER BY seq) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS t, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS k FROM p),
+x AS (SELECT stream_id, seq, delta, k, ceil(length(t) / 4.0::DOUBLE + len(regexp_extract_all(t, '[^\\s]+')) / 2.0::DOUBLE)::BIGINT AS n FROM a),
+f AS (SELECT stream_id, k, seq, delta, n >= 40 AS checked, CASE WHEN n >= 40 THEN n ELSE 0 END AS last FROM x WHERE k = 1
+UNION ALL SELECT x.stream_id, x.k, x.seq, x.delta, x.n - f.last >= 40, CASE WHEN x.n - f.last >= 40 THEN x.n ELSE f.last END FROM f JOIN x ON x.stream_id = f.stream_id AND x.k = f.k + 1)
+SELECT stream_id, seq, delta, checked FROM f""")
 def token_aware_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.token_aware_checks(chunks(spark, sf_dir), 40)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from bulwark.functions import text as tx
-from bulwark.functions.regex import Rx
+from bulwark.functions.regex import SPACE, Rx, literal
+from bulwark.streaming.checked import Monitor, StreamCheck, checked_parts
 
 #: Personal data that streams redact, in the order it is redacted.
 REDACTED = {
@@ -50,23 +51,40 @@ def buffered(parts: DataFrame) -> DataFrame:
     return parts.groupBy("stream_id").agg(F.array_join(F.transform(ordered, lambda p: p["delta"]), "").alias("text"))
 
 
-def token_budget(parts: DataFrame, most: int, tokens=tx.estimate_tokens) -> DataFrame:
-    """Parts until the text holds more than ``most`` tokens."""
-    return stop_at(parts, tokens(F.col("so_far")) > most)
+def measured(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``length`` (UTF-16 units), ``words`` and ``tokens`` of the text up to and with each, from sums of what each part adds."""
+    w = W.partitionBy("stream_id").orderBy("seq")
+    said = F.coalesce("delta", F.lit(""))
+    tail = F.last(F.when(said != "", F.right(said, F.lit(1))), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    goes_on = F.coalesce(tail.rlike(f"[^{SPACE}]") & said.rlike(rf"\A[^{SPACE}]"), F.lit(False))
+    out = parts.withColumn("__words", tx.count_words(said) - goes_on.cast("int"))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumns({"length": F.sum(tx.length16(said)).over(upto), "words": F.sum("__words").over(upto)}).drop("__words")
+    return out.withColumn("tokens", F.ceil(F.col("length") / F.lit(4.0) + F.col("words") / F.lit(2.0)))
+
+
+def ended(parts: DataFrame, over: DataFrame) -> DataFrame:
+    """Parts before the first of ``over`` (``stream_id, seq``) of their stream; ``stopped`` tells which streams have one."""
+    ends = over.groupBy("stream_id").agg(F.min("seq").alias("__end"))
+    return parts.join(ends, "stream_id", "left").filter(F.col("__end").isNull() | (F.col("seq") < F.col("__end"))).withColumn("stopped", F.col("__end").isNotNull()).drop("__end")
+
+
+def token_budget(parts: DataFrame, most: int, tokens=None) -> DataFrame:
+    """Parts until the text holds more than ``most`` tokens; ``tokens`` of a whole text, as a Column, in place of the estimate."""
+    if tokens:
+        return stop_at(parts, tokens(F.col("so_far")) > most)
+    return ended(parts, measured(parts).filter(F.col("tokens") > most).select("stream_id", "seq"))
 
 
 def content_filter(parts: DataFrame, keywords: list[str], case_sensitive: bool = False) -> DataFrame:
     """Parts until a keyword stands in the text so far."""
-    text = F.col("so_far") if case_sensitive else F.lower("so_far")
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | tx.has(text, k if case_sensitive else k.lower())
-    return stop_at(parts, hit)
+    words = StreamCheck("content-filter", lambda s: ("critical", "keyword") if s.found else None, *([(), tuple(Rx(literal(k)) for k in keywords)] if case_sensitive else [tuple(k.lower() for k in keywords)]))
+    return ended(parts, checked_parts(parts, Monitor((words,))).filter(F.col("error").isNotNull()))
 
 
-def token_aware_checks(parts: DataFrame, every: int = 10, tokens=tx.estimate_tokens) -> DataFrame:
+def token_aware_checks(parts: DataFrame, every: int = 10, tokens=None) -> DataFrame:
     """``checked``: whether a check falls due at a part, ``every`` tokens after the last one (a fold, as each check resets the count)."""
-    counted = accumulated(parts).withColumn("__t", tokens(F.col("so_far"))).drop("so_far")
+    counted = (accumulated(parts).withColumn("__t", tokens(F.col("so_far"))) if tokens else measured(parts).withColumn("__t", F.col("tokens"))).select(*parts.columns, "__t")
     schema = parts.schema.simpleString()[len("struct<") : -1] + ",checked:boolean"
 
     def fold(rows):

@@ -1,7 +1,7 @@
 """The same over Structured Streaming: state by key, bounded by a watermark or an idle timeout.
 
 Rows of a key are ordered within a micro-batch; across batches the source must deliver them in order.  State holds a few
-numbers (and, for accumulated text, one text) a key, and leaves after ``IDLE`` without rows.  Idle timeouts make Spark plan batches
+numbers a key (for texts, what an automaton over the patterns carries), and leaves after ``IDLE`` without rows.  Idle timeouts make Spark plan batches
 without data for as long as a query runs: with ``availableNow`` set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from bulwark.streaming.checked import FRESH, STATE, Monitor, StreamCheck, token_limit
+
 #: Milliseconds without rows after which a key's state goes.
 IDLE = 3_600_000
 
@@ -46,26 +48,26 @@ def rate_limits(requests: DataFrame, limit: int, window_s: float = 60) -> DataFr
 
 
 def stopping_stream(parts: DataFrame, keywords: list[str], max_tokens: int | None = None) -> DataFrame:
-    """Parts (``stream_id, seq, delta``) until a keyword, or more than ``max_tokens`` tokens, stand in the text so far."""
-    words = [k.lower() for k in keywords]
+    """Parts (``stream_id, seq, delta``) until a keyword, or more than ``max_tokens`` tokens, stand in the text so far.
+
+    State is what an automaton over the keywords carries, and two counters; the text itself is not kept.
+    """
+    words = StreamCheck("keywords", lambda s: ("critical", "keyword") if s.found else None, tuple(k.lower() for k in keywords))
+    monitor = Monitor((words, *([token_limit(max_tokens)] if max_tokens is not None else [])), severity="high")
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        read, held, keep = monitor.reader(), tuple(state.get) if state.exists else FRESH, []
         rows = pd.concat([*batches]).sort_values("seq", kind="stable")
-        text, stopped = state.get if state.exists else ("", False)
-        keep = []
         for delta in rows["delta"]:
-            if not stopped:
-                text += delta
-                tokens = -(-(len(text.encode("utf-16-le")) // 2 + 2 * len(text.split())) // 4)
-                stopped = any(w in text.lower() for w in words) or max_tokens is not None and tokens > max_tokens
-            keep.append(not stopped)
-        _keep(state, ("" if stopped else text, stopped))
+            held, passed = read(held, delta, True)
+            keep.append(passed is not None and passed[1] is None)
+        _keep(state, held)
         yield rows.loc[keep, ["stream_id", "seq", "delta"]]
 
-    return parts.groupBy("stream_id").applyInPandasWithState(fold, "stream_id string, seq long, delta string", "text string, stopped boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return parts.groupBy("stream_id").applyInPandasWithState(fold, "stream_id string, seq long, delta string", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def budgets(steps: DataFrame, max_cost: float) -> DataFrame:
