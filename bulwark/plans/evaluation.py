@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from bulwark.functions import backoff
 from bulwark.functions.text import sql_hits
-from bulwark.operators import compose, engine, governance, input_checks, output_checks
+from bulwark.operators import collector, compose, engine, governance, input_checks, output_checks, retry
 from bulwark.operators import evaluation as ev
 from bulwark.operators.check import Scope
 from bulwark.plans.base import documents, query
@@ -156,8 +157,57 @@ def execution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mean", F.round("mean", 6))
 
 
-@query("backoff_delays", "SELECT CAST(n AS INTEGER) AS attempt, least(1000.0::DOUBLE * pow(2.0::DOUBLE, n - 1), 30000.0::DOUBLE) AS exponential, least(1000.0::DOUBLE * n, 30000.0::DOUBLE) AS linear, 1000.0::DOUBLE AS fixed, CASE WHEN n <= 2 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE * (n - 2), 30000.0::DOUBLE) END AS composite FROM range(1, 11) r(n)")
+_N = "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'"
+
+
+@query("backoff_delays", f"SELECT event_id, least(1000.0::DOUBLE * pow(2.0::DOUBLE, n - 1), 30000.0::DOUBLE) AS exponential, least(1000.0::DOUBLE * n, 30000.0::DOUBLE) AS linear, 1000.0::DOUBLE AS fixed, CASE WHEN n <= 2 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE * (n - 2), 30000.0::DOUBLE) END AS composite FROM ({_N})")
 def backoff_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("attempt")
-    rows = spark.range(1, 11).select(F.col("id").cast("int").alias("attempt"))
-    return rows.select("attempt", backoff.exponential()(n).alias("exponential"), backoff.linear()(n).alias("linear"), backoff.fixed()(n).alias("fixed"), backoff.composite(backoff.fixed(), 2, backoff.linear())(n).alias("composite"))
+    """Each user's errors taken for attempts."""
+    n = F.col("n")
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.select("event_id", backoff.exponential()(n).alias("exponential"), backoff.linear()(n).alias("linear"), backoff.fixed()(n).alias("fixed"), backoff.composite(backoff.fixed(), 2, backoff.linear())(n).alias("composite"))
+
+
+#: What a stand-in for a model leaves out of its next answers, one after the other.
+FORBIDDEN = ["the", "de", "ci", "garden"]
+
+
+def _answers(text: str) -> str:
+    out = [text]
+    for word in FORBIDDEN:
+        out.append(f"regexp_replace({out[-1]}, '{word}', '', 'gi')")
+    return f"[{', '.join(out[:4])}]"
+
+
+_BAD = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(a), '{w}') THEN '{w}' END" for w in FORBIDDEN) + "], lambda x: x IS NOT NULL)"
+
+
+@query("retry_until_valid", f"""WITH a AS (SELECT doc_id, {_answers("coalesce(text, '')")} AS answers FROM documents), u AS (SELECT doc_id, unnest(answers) AS a, generate_subscripts(answers, 1) AS k FROM a), b AS (SELECT doc_id, k, a, {_BAD} AS bad FROM u),
+f AS (SELECT doc_id, coalesce(min(k) FILTER (len(bad) = 0), 4) AS k FROM b GROUP BY doc_id)
+SELECT doc_id, md5(a) AS output, CAST(k AS INTEGER) AS attempts, len(bad) > 0 AS blocked, CASE WHEN len(bad) > 0 THEN 'Blocked content detected: ' || bad[1] END AS message, ([0.0, 1000.0, 3000.0, 7000.0][k])::DOUBLE AS waited_ms FROM b JOIN f USING (doc_id, k)""")
+def retry_until_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def generate(df: DataFrame) -> DataFrame:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        answers = [text]
+        for word in FORBIDDEN:
+            answers.append(F.regexp_replace(answers[-1], f"(?i){word}", ""))
+        return df.withColumn("output", F.element_at(F.array(*answers), F.col("attempt") + 1))
+
+    out = retry.retried(documents(spark, sf_dir), generate, [output_checks.blocked_content(FORBIDDEN)], max_retries=3, backoff=backoff.exponential())
+    return out.select("doc_id", F.md5("output").alias("output"), "attempts", "blocked", "message", "waited_ms")
+
+
+@query("metrics_slices", "WITH e AS (SELECT event_type AS guardrail, value > 40 AS triggered, value > 95 AS is_error, round(value, 1) AS ms, ts FROM events) SELECT guardrail, count(*) AS executions, count(*) FILTER (triggered) AS blocked, count(*) FILTER (is_error) AS errors, min(ms) AS least_ms, max(ms) AS most_ms, max(ts) FILTER (triggered) AS last_violation, count(DISTINCT date_trunc('day', ts)) AS days, true AS ranks_hold FROM e GROUP BY guardrail")
+def metrics_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly slices merged to days, and those to one row: exact counters, and quantiles whose ranks are checked."""
+    v = F.col("value")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("execution_id"), F.col("event_type").alias("guardrail"), (v > 40).alias("triggered"), F.lit("high").alias("severity"), (v > 95).alias("is_error"), F.round("value", 1).alias("ms"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    days = collector.merged(collector.slices(rows, 3600), F.date_trunc("day", "slice").alias("slice"))
+    whole = collector.summarised(collector.merged(days)).join(days.groupBy("guardrail").agg(F.count("*").alias("days")), "guardrail")
+    ranks = rows.join(whole.select("guardrail", "p50_ms", "p95_ms", "p99_ms"), "guardrail").groupBy("guardrail").agg(*[
+        F.abs(F.avg((F.col("ms") <= F.col(f"p{p}_ms")).cast("int")) - p / 100).alias(f"off_{p}") for p in (50, 95, 99)
+    ])
+    out = whole.join(ranks.select("guardrail", (F.greatest("off_50", "off_95", "off_99") < 0.02).alias("ranks_hold")), "guardrail")
+    return out.select("guardrail", "executions", "blocked", "errors", "least_ms", "most_ms", F.col("last_violation").cast("timestamp_ntz").alias("last_violation"), "days", "ranks_hold")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from bulwark.functions.regex import Rx, quoted
 from bulwark.operators import input_checks, leak, mcp, plan_risk, registry, tools
 from bulwark.operators.check import Scope
+from bulwark.operators import names as near
 from bulwark.plans.base import PLANTED_SQL, documents, planted, query
+from bulwark.sources.checkpoints import checkpointed
 from bulwark.sources.files import table
 
 #: Tool sequences dealt to events by their id.
@@ -163,14 +165,15 @@ def mcp_tool_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcp.scan_tools(rows).select("event_id", "name", "risk", "safe", F.size("threats").alias("n_threats"))
 
 
-_KNOWN = "[" + ", ".join(map(quoted, mcp.KNOWN_TOOLS)) + "]"
+_WORDS = "SELECT w AS name, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM documents) GROUP BY w"
 
 
-@query("tool_typosquats", f"SELECT name, known, CAST(levenshtein(name, known) AS INTEGER) AS distance FROM (SELECT unnest({array_sql([n for n, _ in DEFINITIONS])}) AS name), (SELECT unnest({_KNOWN}) AS known) WHERE levenshtein(name, known) BETWEEN 1 AND 2")
+@query("tool_typosquats", f"WITH n AS ({_WORDS}) SELECT a.name, b.name AS known, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance, CASE WHEN levenshtein(a.name, b.name) = 1 THEN 'high' ELSE 'medium' END AS severity FROM n AS a JOIN n AS b ON a.n < 5 AND b.n >= 5 AND abs(length(a.name) - length(b.name)) <= 2 AND levenshtein(a.name, b.name) BETWEEN 1 AND 2")
 def tool_typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n, _ in DEFINITIONS], "name string")
-    pairs = names.select("name", F.explode(tools.strings(mcp.KNOWN_TOOLS)).alias("known")).withColumn("distance", F.levenshtein("name", "known"))
-    return pairs.filter(F.col("distance").between(1, 2))
+    # words of at least five documents are taken for known names, all others for names to judge
+    words = documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("name"))
+    names = checkpointed(words.distinct().groupBy("name").agg(F.count("*").alias("n")))
+    return near.typosquats(names.filter("n < 5").select("name"), names.filter("n >= 5").select(F.col("name").alias("known")))
 
 
 _TOK = "regexp_extract_all(lower(text), '[0-9a-z_]+')"
