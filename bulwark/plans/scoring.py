@@ -9,6 +9,7 @@ from bulwark.functions.regex import Rx, quoted
 from bulwark.functions.text import sql_hits
 from bulwark.operators import input_checks
 from bulwark.operators import scoring as sc
+from bulwark.operators import sql_policy
 from bulwark.plans.base import PLANTED_SQL, documents, joined, planted, query
 from bulwark.plans.tools import HOST_SQL
 from bulwark.sources.files import table
@@ -79,6 +80,41 @@ def sql_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark, sf_dir).select("doc_id", F.array_contains(issues, "dangerous operation").alias("dangerous"), F.array_contains(issues, "missing limit").alias("unlimited"))
 
 
+#: Statements made of an order's columns, some with strings and comments that only look like SQL.
+STATEMENTS = [
+    "SELECT o_totalprice FROM orders WHERE o_orderkey = {k} LIMIT 1", "DELETE FROM orders WHERE o_orderkey = {k}", "DELETE FROM orders -- WHERE o_orderkey = {k}", "SELECT '{p}; DROP TABLE orders' FROM orders LIMIT {k}",
+    "UPDATE orders SET o_orderstatus = 'WHERE {s}'", "SELECT a FROM orders, secrets_{k} WHERE b = {k}", "select a from orders where o_orderkey = {k} or 1 = 1 limit 3", "/* UPDATE orders SET a = {k} */ SELECT 1",
+    "INSERT INTO audit VALUES ({k}, '{p}'); TRUNCATE TABLE audit", "SELECT MAX(a) FROM lineitem JOIN `part` ON b = c WHERE d = '{s}' FETCH FIRST {k} ROWS ONLY",
+]
+
+
+def _statement_sql() -> str:
+    return "[" + ", ".join(f"replace(replace(replace({quoted(t)}, '{{k}}', CAST(o_orderkey AS VARCHAR)), '{{p}}', o_orderpriority), '{{s}}', o_orderstatus)" for t in STATEMENTS) + f"][CAST(o_orderkey % {len(STATEMENTS)} + 1 AS INTEGER)]"
+
+
+def _one_of(sequences: list[str]) -> str:
+    return " OR ".join(f"regexp_matches(x, {quoted(f' (?:{s}) ')})" for s in sequences)
+
+
+_SKELETON = f"""SELECT o_orderkey, t, ' ' || array_to_string(list_transform(list_filter(regexp_extract_all(t, {quoted(sql_policy.TOKEN)}), lambda y: NOT regexp_matches(y, '{sql_policy.COMMENT}')),
+  lambda y: CASE WHEN y[1] = '''' THEN '''s''' WHEN y[1] IN ('"', '`') THEN regexp_replace(upper(regexp_replace(y, '["`]', '', 'g')), '[ \\t\\n;]+', '_', 'g') ELSE upper(y) END), ' ') || ' ' AS x FROM (SELECT o_orderkey, {_statement_sql()} AS t FROM orders)"""
+_OPEN = "len(list_filter(list_filter(string_split(x, ' ; '), lambda y: trim(y) <> ''), lambda y: {test})) > 0"
+_UNGUARDED = _OPEN.format(test="regexp_matches(' ' || y || ' ', ' (?:DELETE FROM|UPDATE [^ ]+ SET) ') AND NOT contains(' ' || y || ' ', ' WHERE ')")
+_UNLIMITED = _OPEN.format(test="regexp_matches(' ' || y || ' ', ' SELECT .* FROM ') AND NOT regexp_matches(' ' || y || ' ', ' (?:LIMIT|TOP|FETCH FIRST|FETCH NEXT) [0-9]')")
+
+
+@query("sql_policy", f"""WITH k AS ({_SKELETON}), r AS (SELECT o_orderkey, ({_one_of(sql_policy.DANGEROUS)} OR ({_UNGUARDED} AND contains(x, ' DELETE FROM '))) AS danger, ({_one_of(sql_policy.HIGH_RISK)}) AS high, {_UNGUARDED} AS unguarded, {_UNLIMITED} AS unlimited,
+  len(list_filter(string_split(x, ' ; '), lambda y: trim(y) <> '')) AS statements, regexp_matches(x, ' (?:OR|AND) 1 = 1 ') AS tautology, regexp_matches(x, ' SECRETS_[0-9]+ ') AS barred, regexp_matches(x, ' (?:LINEITEM|PART|SECRETS_[0-9]+) ') AS other FROM k)
+SELECT o_orderkey, CASE WHEN danger OR tautology OR statements > 1 THEN 'critical' WHEN high OR unguarded OR unlimited OR other THEN 'high' ELSE 'low' END AS risk, array_to_string(list_filter([CASE WHEN unguarded THEN 'WHERE clause' END, CASE WHEN unlimited THEN 'LIMIT clause' END], lambda z: z IS NOT NULL), ', ') AS missing,
+  statements::INT AS statements, barred FROM r""")
+def sql_policy_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, STATEMENTS)), (F.col("o_orderkey") % len(STATEMENTS) + 1).cast("int"))
+    for mark, column in (("{k}", "o_orderkey"), ("{p}", "o_orderpriority"), ("{s}", "o_orderstatus")):
+        text = F.replace(text, F.lit(mark), F.col(column).cast("string"))
+    out = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).withColumn("r", sql_policy.analysed(F.col("t")))
+    return out.select("o_orderkey", "r.risk", F.array_join("r.missing", ", ").alias("missing"), "r.statements", (F.size("r.blocked_tables") > 0).alias("barred"))
+
+
 _KEPT = "t"
 for _kind, _rx in input_checks.PII.items():
     _KEPT = f"regexp_replace({_KEPT}, {quoted(_rx.re2)}, '[{_kind.upper()}]', 'g')"
