@@ -333,8 +333,9 @@ def folded(df: DataFrame, key: str, micros: str, fold: Fold, order: list[str] |
     cut = checkpointed(cut)
     states = _entered(_tables(cut, key, micros, fold), key, fold)
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != key]
-    heads = states.select(key, *blank, "__piece", "__state", F.lit(0).alias("__row"))
-    rows = cut.withColumns({"__state": F.lit(None).cast("array<bigint>"), "__row": F.lit(1)}).unionByName(heads)
+    # states travel as text: a column of arrays, nearly all of them null, takes many times as long to turn into Arrow
+    heads = states.select(key, *blank, "__piece", F.array_join("__state", " ").alias("__state"), F.lit(0).alias("__row"))
+    rows = cut.withColumns({"__state": F.lit(None).cast("string"), "__row": F.lit(1)}).unionByName(heads)
     rows = rows.repartition("__piece").sortWithinPartitions("__piece", key, "__row", *order)
     added = StructType.fromDDL(fold.outputs)
     names = [f.name for f in df.schema]
@@ -351,7 +352,7 @@ def folded(df: DataFrame, key: str, micros: str, fold: Fold, order: list[str] |
                 if here != at:
                     at, state = here, None
                 if not events[begin]:
-                    state = batch.column("__state")[begin].as_py()
+                    state = [*map(int, batch.column("__state")[begin].as_py().split())]
                     begin += 1
                 if begin < end:
                     state, out = fold.run(times[begin:end], state)

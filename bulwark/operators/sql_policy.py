@@ -58,7 +58,8 @@ def skeleton(found: Column) -> Column:
 
 def _any(text: Column, sequences: list[str]) -> Column:
     """Which sequences of words occur, as they stand."""
-    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(f" {s}(?= )"), F.lit(0)), lambda m: F.trim(m)) for s in sequences]))
+    each = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(f" {s}(?= )"), F.lit(0)), lambda m: F.trim(m)) for s in sequences]))
+    return F.when(text.rlike(f" (?:{'|'.join(sequences)}) "), each).otherwise(F.array().cast("array<string>"))
 
 
 def statements(text: Column) -> Column:
@@ -86,44 +87,57 @@ def analysed(sql: Column, allowed: list[str] | None = None, blocked: list[str] |
     allowed, blocked = ALLOWED if allowed is None else allowed, BLOCKED if blocked is None else blocked
     part = lambda t, of: F.exists(F.array(*map(F.lit, of)), lambda p: F.contains(t, p)) if of else F.lit(False)
 
-    def report(found: Column, text: Column) -> Column:
+    # each step binds what the next reads more than once: an expression in a lambda is evaluated wherever it stands
+
+    def measured(found: Column, text: Column) -> Column:
         each = statements(text)
-        danger, high = _any(text, DANGEROUS), _any(text, HIGH_RISK)
-        unguarded = F.filter(each, lambda s: s.rlike(r" (DELETE FROM|UPDATE [^ ]+ SET) ") & ~F.contains(s, F.lit(" WHERE ")))
-        danger = F.concat(danger, F.transform(F.filter(unguarded, lambda s: F.contains(s, F.lit(" DELETE FROM "))), lambda s: F.lit("DELETE without WHERE")))
-        unlimited = F.filter(each, lambda s: s.rlike(" SELECT .* FROM ") & ~s.rlike(r" (LIMIT|TOP|FETCH FIRST|FETCH NEXT) [0-9]"))
-        missing = F.filter(F.array(F.when(F.size(unguarded) > 0, "WHERE clause"), F.when(F.size(unlimited) > 0, "LIMIT clause")), lambda x: x.isNotNull())
-        named = tables(text)
-        barred = F.filter(named, lambda t: ~part(t, allowed) & part(t, blocked))
-        unknown = F.filter(named, lambda t: ~part(t, allowed) & ~part(t, blocked))
-        same = F.regexp_extract_all(text, F.lit(r" (?:OR|AND) ([^ ]+) = ([^ ]+)(?= )"), F.lit(0))
-        tautology = F.exists(same, lambda m: let(F.split(F.trim(m), " "), lambda w: w[1] == w[3]))
-        injection = F.filter(F.array(
-            F.when(tautology, "tautology"), F.when(F.size(each) > 1, "stacked statements"), F.when(text.rlike(r" (EXEC|EXECUTE|SP_EXECUTESQL) \( "), "dynamic SQL"),
-            F.when(text.rlike(r" 's' \+ 's' "), "string concatenation"), F.when(F.exists(found, lambda t: t.rlike(r"^'[^']*$|^/\*(?s:.*)(?<!\*/)$")), "unterminated string or comment"),
-        ), lambda x: x.isNotNull())
         comments = F.aggregate(F.filter(found, lambda t: t.rlike(COMMENT)), F.lit(0), lambda a, t: a + F.length(t))
         calls = F.regexp_count(text, F.lit(r" [A-Z_][A-Z0-9_.$]* \(")) - F.regexp_count(text, F.lit(rf" (?:{'|'.join(NO_CALLS)}) \("))
-        nested = depth(text)
-        length = F.length(F.coalesce(sql, F.lit("")))
-        score = (
-            F.when(length > LIMITS["length"], 3).otherwise(0) + F.when(F.size(named) > LIMITS["tables"], 2).otherwise(0) + F.when(calls > LIMITS["calls"], 2).otherwise(0)
-            + F.when(comments > LIMITS["comments"], 1).otherwise(0) + F.when(nested > LIMITS["depth"], 2).otherwise(0)
+        unterminated = F.exists(found, lambda t: t.rlike(r"^'[^']*$|^/\*(?s:.*)(?<!\*/)$"))
+        return F.struct(
+            text.alias("text"), each.alias("each"), _any(text, DANGEROUS).alias("danger"), _any(text, HIGH_RISK).alias("high"), tables(text).alias("named"), comments.alias("comments"), calls.alias("calls"), depth(text).alias("depth"),
+            unterminated.alias("unterminated"), F.length(F.coalesce(sql, F.lit(""))).alias("length"),
         )
-        complexity = F.when(score >= 5, "high").when(score >= 2, "medium").otherwise("low")
-        operations = F.concat(danger, high)
-        violations = F.filter(F.array(
-            F.when(F.size(operations) > 0, F.concat(F.lit("operations: "), F.array_join(operations, ", "))), F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))),
-            F.when(F.size(barred) > 0, F.concat(F.lit("blocked tables: "), F.array_join(barred, ", "))), F.when(F.size(unknown) > 0, F.concat(F.lit("unknown tables: "), F.array_join(unknown, ", "))),
-            F.when(F.size(injection) > 0, F.concat(F.lit("injection: "), F.array_join(injection, ", "))),
+
+    def judged(m: Column) -> Column:
+        unguarded = F.filter(m["each"], lambda s: s.rlike(r" (DELETE FROM|UPDATE [^ ]+ SET) ") & ~F.contains(s, F.lit(" WHERE ")))
+        unlimited = F.exists(m["each"], lambda s: s.rlike(" SELECT .* FROM ") & ~s.rlike(r" (LIMIT|TOP|FETCH FIRST|FETCH NEXT) [0-9]"))
+        same = F.regexp_extract_all(m["text"], F.lit(r" (?:OR|AND) ([^ ]+) = ([^ ]+)(?= )"), F.lit(0))
+        tautology = F.exists(same, lambda t: let(F.split(F.trim(t), " "), lambda w: w[1] == w[3]))
+        injection = F.filter(F.array(
+            F.when(tautology, "tautology"), F.when(F.size(m["each"]) > 1, "stacked statements"), F.when(m["text"].rlike(r" (EXEC|EXECUTE|SP_EXECUTESQL) \( "), "dynamic SQL"),
+            F.when(m["text"].rlike(r" 's' \+ 's' "), "string concatenation"), F.when(m["unterminated"], "unterminated string or comment"),
         ), lambda x: x.isNotNull())
-        risk = F.when((F.size(danger) > 0) | (F.size(injection) > 0), "critical").when((F.size(high) > 0) | (F.size(missing) > 0) | (F.size(barred) > 0) | (F.size(unknown) > 0), "high").when(complexity == "high", "medium").otherwise("low")
+        score = (
+            F.when(m["length"] > LIMITS["length"], 3).otherwise(0) + F.when(F.size(m["named"]) > LIMITS["tables"], 2).otherwise(0) + F.when(m["calls"] > LIMITS["calls"], 2).otherwise(0)
+            + F.when(m["comments"] > LIMITS["comments"], 1).otherwise(0) + F.when(m["depth"] > LIMITS["depth"], 2).otherwise(0)
+        )
+        return F.struct(
+            m.alias("m"), F.size(unguarded).alias("unguarded"), unlimited.alias("unlimited"), injection.alias("injection"), score.alias("score"),
+            F.concat(m["danger"], F.transform(F.filter(unguarded, lambda s: F.contains(s, F.lit(" DELETE FROM "))), lambda s: F.lit("DELETE without WHERE"))).alias("danger"),
+            F.filter(m["named"], lambda t: ~part(t, allowed)).alias("others"),
+        )
+
+    def sorted_out(j: Column) -> Column:
+        missing = F.filter(F.array(F.when(j["unguarded"] > 0, "WHERE clause"), F.when(j["unlimited"], "LIMIT clause")), lambda x: x.isNotNull())
+        return F.struct(
+            j.alias("j"), F.concat(j["danger"], j["m"]["high"]).alias("operations"), missing.alias("missing"), F.filter(j["others"], lambda t: part(t, blocked)).alias("barred"), F.filter(j["others"], lambda t: ~part(t, blocked)).alias("unknown"),
+            F.when(j["score"] >= 5, "high").when(j["score"] >= 2, "medium").otherwise("low").alias("complexity"),
+        )
+
+    def report(r: Column) -> Column:
+        j = r["j"]
+        told = [("operations", r["operations"]), ("missing", r["missing"]), ("blocked tables", r["barred"]), ("unknown tables", r["unknown"]), ("injection", j["injection"])]
+        violations = F.filter(F.array(*[F.when(F.size(of) > 0, F.concat(F.lit(f"{name}: "), F.array_join(of, ", "))) for name, of in told]), lambda x: x.isNotNull())
+        high = (F.size(r["operations"]) > 0) | (F.size(r["missing"]) > 0) | (F.size(j["others"]) > 0)
+        risk = F.when((F.size(j["danger"]) > 0) | (F.size(j["injection"]) > 0), "critical").when(high, "high").when(r["complexity"] == "high", "medium").otherwise("low")
         return F.struct(
-            risk.alias("risk"), violations.alias("violations"), operations.alias("operations"), named.alias("tables"), barred.alias("blocked_tables"), unknown.alias("unknown_tables"), missing.alias("missing"), injection.alias("injection"),
-            F.size(each).alias("statements"), complexity.alias("complexity"), calls.alias("calls"), comments.alias("comment_length"), nested.alias("depth"),
+            risk.alias("risk"), violations.alias("violations"), r["operations"].alias("operations"), j["m"]["named"].alias("tables"), r["barred"].alias("blocked_tables"), r["unknown"].alias("unknown_tables"), r["missing"].alias("missing"),
+            j["injection"].alias("injection"), F.size(j["m"]["each"]).alias("statements"), r["complexity"].alias("complexity"), j["m"]["calls"].alias("calls"), j["m"]["comments"].alias("comment_length"), j["m"]["depth"].alias("depth"),
         )
 
-    return let(tokens(sql), lambda found: let(skeleton(found), lambda text: report(found, text)))
+    found = lambda found: let(skeleton(found), lambda text: measured(found, text))
+    return let(let(let(let(tokens(sql), found), judged), sorted_out), report)
 
 
 def sql_policy(allowed: list[str] | None = None, blocked: list[str] | None = None) -> Check:
