@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bulwark.functions.regex import Rx, quoted
 from bulwark.functions.text import sql_hits
-from bulwark.operators import input_checks
+from bulwark.operators import input_checks, retention
 from bulwark.operators import scoring as sc
 from bulwark.operators import sql_policy
 from bulwark.plans.base import PLANTED_SQL, documents, joined, planted, query
@@ -115,6 +115,27 @@ def sql_policy_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", "r.risk", F.array_join("r.missing", ", ").alias("missing"), "r.statements", (F.size("r.blocked_tables") > 0).alias("barred"))
 
 
+RETAINED = {"pii": "anonymize", "financial": "anonymize", "auth": "remove", "business": "anonymize", "medical": "remove"}
+
+
+def _retention_sql() -> str:
+    kinds = [(f"{c}_{t}", c, rx) for c, types in retention.SENSITIVE.items() for t, rx in types.items()]
+    steps = [f"s0 AS (SELECT doc_id, t, t AS x FROM ({PLANTED_SQL}))"]
+    for k, (name, c, rx) in enumerate(kinds):
+        by = "[REMOVED]" if RETAINED[c] == "remove" else f"[{name.upper()}_REDACTED]"
+        steps.append(f"s{k + 1} AS (SELECT doc_id, t, CASE WHEN {rx.sql()} THEN regexp_replace(x, {quoted(rx.re2)}, '{by}', 'g') ELSE x END AS x FROM s{k})")
+    types = ", ".join(f"CASE WHEN {rx.sql()} THEN '{name}' END" for name, _, rx in kinds)
+    counts = ", ".join("(" + " + ".join(rx.sql_count() for _, d, rx in kinds if d == c) + f")::INT AS {c}" for c in retention.SENSITIVE)
+    days = "coalesce(least(" + ", ".join(f"CASE WHEN len(list_filter(types, lambda y: starts_with(y, '{c}_'))) > 0 THEN {n} END" for c, n in retention.DAYS.items()) + f"), {retention.CONVERSATION_DAYS})"
+    return f"WITH {', '.join(steps)}, r AS (SELECT doc_id, md5(x) AS redacted, list_filter([{types}], lambda y: y IS NOT NULL) AS types, {counts} FROM s{len(kinds)}) SELECT * EXCLUDE (types), array_to_string(types, ',') AS types, CAST(DATE '2024-01-01' + {days}::INT AS DATE) AS expires_on FROM r"
+
+
+@query("retention", _retention_sql())
+def retention_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retention.redact(planted(spark, sf_dir), "t", RETAINED)
+    return out.select("doc_id", F.md5("redacted").alias("redacted"), "counts.*", F.array_join("types", ",").alias("types"), retention.expires_on(F.lit("2024-01-01"), F.col("types")).alias("expires_on"))
+
+
 _KEPT = "t"
 for _kind, _rx in input_checks.PII.items():
     _KEPT = f"regexp_replace({_KEPT}, {quoted(_rx.re2)}, '[{_kind.upper()}]', 'g')"
