@@ -68,7 +68,8 @@ def decision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded(spark, sf_dir).select("doc_id", "blocked", "final_text", engine.finish_reason(F.col("summary")).alias("finish"))
 
 
-@query("retry_instruction", None)
+@query("retry_instruction", f"""WITH f AS ({FLAGS}), s AS (SELECT doc_id, list_filter([CASE WHEN a THEN 'Toxic content detected' END, CASE WHEN b THEN 'Please shorten your input' END, CASE WHEN c THEN 'Output length ' || length(text) || ' below minimum of 300' END], lambda x: x IS NOT NULL) AS said FROM f JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN len(said) = 1 THEN said[1] ELSE array_to_string(list_transform(said, lambda x, i: i || '. ' || x), chr(10)) END AS instruction FROM s""")
 def retry_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guarded(spark, sf_dir).select("doc_id", engine.retry_instruction(F.col("summary")).alias("instruction"))
 
@@ -119,7 +120,8 @@ def evaluation_report_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.weak_performers(ev.confusion(ev.outcomes_of(labelled(spark, sf_dir)))))
 
 
-@query("evaluation_samples", None)
+@query("evaluation_samples", f"""WITH d AS (SELECT doc_id, toxic = 1 AS x, quality = 0 AS y, {sql_hits(input_checks.TOXIC, 'lower(text)')} * 0.3::DOUBLE > 0.5 AS a, length(text) < 300 AS c FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT doc_id AS sample_id, list_filter([CASE WHEN x THEN 'absent' END, CASE WHEN y <> c THEN 'short' END, CASE WHEN x <> a THEN 'toxicity' END], lambda z: z IS NOT NULL) AS mismatches FROM d) SELECT sample_id, len(mismatches) = 0 AS passed, mismatches FROM m""")
 def evaluation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sample_results(labelled(spark, sf_dir)).select("sample_id", "passed", F.array_sort("mismatches").alias("mismatches"))
 

@@ -112,13 +112,15 @@ def tool_egress_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).alias("violations"))
 
 
-@query("egress_policy", None)
+@query("egress_policy", f"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)https?://[^\\s]+|ftp://[^\\s]+|file://[^\\s]+')) AS u FROM ({PLANTED_SQL})), h AS (SELECT doc_id, lower({HOST_SQL}) AS h, starts_with(lower(u), 'file:') AS file FROM u),
+i AS (SELECT doc_id, CASE WHEN NOT file AND h = '' THEN 1 WHEN file OR h IN ('localhost', '127.0.0.1', 'webhook.site') OR regexp_matches(h, '^(192\\.168|10|172)\\.') THEN 3 ELSE 0 END AS bad FROM h),
+w AS (SELECT doc_id, max(bad) AS worst FROM i GROUP BY doc_id) SELECT doc_id, coalesce(worst, 0) > 0 AS triggered, CASE WHEN worst = 3 THEN 'critical' ELSE 'medium' END AS severity FROM documents LEFT JOIN w USING (doc_id)""")
 def egress_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tools.egress_policy(denied=["delete_file"], blocked_hosts=["webhook.site"])(Scope(F.col("t")))
     return planted(spark, sf_dir).select("doc_id", r["triggered"].alias("triggered"), r["severity"].alias("severity"))
 
 
-@query("evaluation_scope", None)
+@query("evaluation_scope", f"WITH p AS ({PLANS_SQL}), n AS (SELECT event_id, coalesce(list_sum(list_transform(tools, lambda x: CASE WHEN list_contains({array_sql(tools.REGISTRY_TOOLS)}, x) AND regexp_matches(x, '(?i){tools.WRITES.source}') THEN 1 ELSE 2 END)), 0) AS n FROM p) SELECT event_id, n > 0 AS triggered, CAST(n::INT AS VARCHAR) AS violations FROM n")
 def evaluation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plans(spark, sf_dir)
     calls = F.transform("tools", lambda t: F.struct(t.alias("tool_name"), F.lit("see https://huggingface.co/x and swarm").alias("args_text")))
@@ -200,7 +202,7 @@ def contains_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", check(Scope(F.col("text")))["triggered"].alias("triggered"))
 
 
-@query("judged_check", None)
+@query("judged_check", f"SELECT doc_id, contains(t, 'DAN') AS triggered FROM ({PLANTED_SQL})")
 def judged_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     check = registry.judged("Jailbreak", lambda texts: ['{"flagged": true, "confidence": 0.9}' if "DAN" in t else "no" for t in texts], 0.7)
     return planted(spark, sf_dir).select("doc_id", check(Scope(F.col("t")))["triggered"].alias("triggered"))
