@@ -1,6 +1,6 @@
 """Generate, validate, and generate again what failed: a fixpoint over a shrinking set of rows.
 
-Each round generates outputs for the rows that are left, checks them, and is written down; rows that pass are final.  Only rows
+Each round generates outputs for the rows that are left, checks them, and is written as a table; rows that pass are final.  Only rows
 that are blocked go round again, with parameters adjusted to what blocked them, so a row is never generated twice for one
 attempt, whatever happens to executors later.  Every row keeps its number of attempts, the delays it asked for and why
 each attempt failed.
@@ -23,7 +23,7 @@ from bulwark.functions.backoff import none as no_delay
 from bulwark.functions.result import let
 from bulwark.operators import engine
 from bulwark.operators.check import Check, Scope
-from bulwark.sources.checkpoints import checkpointed
+from bulwark.sources.checkpoints import Written
 
 Step = Callable[[DataFrame], DataFrame]
 HISTORY = "array<struct<attempt:int,blocked:boolean,message:string,wait_ms:double>>"
@@ -48,39 +48,40 @@ def retried(
     pending = rows.drop(*added, "attempts", "blocked", "failed", "waited_ms", "history", "attempt")
     columns = pending.columns
     pending = pending.withColumns({n: F.lit(None).cast(t) for n, t in added.items()} | {"history": F.array().cast(HISTORY)})
-    final = []
+    tables, schema = Written(rows.sparkSession), None
     for attempt in range(max_retries + 1):
         number = F.lit(attempt)
-        # an attempt without a result, such as a failed one, leaves the last result in place
         made = generate(pending.withColumns({"attempt": number, "__last": F.col("output"), "error": F.lit(None).cast("string")}))
-        missing = F.col("error").isNotNull()
-        made = made.withColumn("output", F.when(missing, F.col("__last")).otherwise(F.col("output"))).drop("__last", "attempt")
-        judged = made.withColumn("__judged", let(engine.summary(engine.run(checks, Scope(F.coalesce("output", F.lit(""))))), lambda s: F.struct(
+        # bound in one struct, so that what generates is evaluated once; an attempt that failed leaves the last result in place
+        last = F.when(F.col("error").isNotNull(), F.col("__last")).otherwise(F.col("output"))
+        made = made.withColumn("__made", F.struct(last.alias("output"), F.col("error").alias("error"))).drop("__last", "attempt", "output", "error", "message", "suggestion")
+        judged = made.withColumn("__judged", let(engine.summary(engine.run(checks, Scope(F.coalesce("__made.output", F.lit(""))))), lambda s: F.struct(
             (s["blocked"] > 0).alias("blocked"), F.array_join(F.transform(s["blocked_results"], lambda r: F.coalesce(r["message"], F.lit("blocked"))), ", ").alias("said"), engine.retry_instruction(s).alias("suggestion"),
         )))
-        again = F.coalesce(retry_errors(F.col("error"), number), F.lit(False)) if retry_errors else F.lit(False)
+        error = F.col("__made.error")
+        again = F.coalesce(retry_errors(error, number), F.lit(False)) if retry_errors else F.lit(False)
+        missing = error.isNotNull()
         blocked = missing | F.col("__judged.blocked")
         judged = judged.withColumns({
-            "failed": missing & ~again, "blocked": blocked, "message": F.when(missing, F.concat(F.lit("Generation error: "), F.col("error"))).when(blocked, F.col("__judged.said")),
+            "output": F.col("__made.output"), "failed": missing & ~again, "blocked": blocked, "message": F.when(missing, F.concat(F.lit("Generation error: "), error)).when(blocked, F.col("__judged.said")),
             "suggestion": F.when(~missing & blocked, F.col("__judged.suggestion")),
         })
         wait = (delay(number) if attempt else F.lit(0.0)).cast("double")
         entry = F.struct(number.alias("attempt"), F.col("blocked"), F.col("message"), wait.alias("wait_ms"))
-        judged = judged.withColumn("history", F.concat("history", F.array(entry)).cast(HISTORY)).drop("__judged", "error")
-        done = checkpointed(judged)
-        goes_on = F.col("blocked") & ~F.col("failed")
-        if attempt == max_retries:
-            final.append(done)
-            break
-        final.append(done.filter(~goes_on))
-        pending = done.filter(goes_on)
+        judged = judged.withColumn("history", F.concat("history", F.array(entry)).cast(HISTORY)).drop("__judged", "__made")
+        goes_on = F.col("blocked") & ~F.col("failed") & F.lit(attempt < max_retries)
+        done = tables.write(judged.withColumn("__again", goes_on), f"round={attempt}", "__again")
+        schema = done.schema
+        if attempt:
+            tables.drop(f"round={attempt - 1}", "__again=true")  # what went round again is in this round's table
+        pending = done.filter("__again").drop("__again")
         if pending.isEmpty():
             break
         if pause:
             pause(pending.select(F.max(delay(F.lit(attempt + 1)).cast("double"))).first()[0])
         pending = adjust(pending) if adjust else pending
         pending = pending.drop("blocked", "failed")
-    out = reduce(DataFrame.unionByName, final)
+    out = reduce(DataFrame.unionByName, [tables.read(f"round={k}", schema).filter("NOT __again") for k in range(attempt + 1)])
     out = out.select(*columns, "output", F.size("history").alias("attempts"), "blocked", "failed", "message", F.aggregate(F.transform("history", lambda h: h["wait_ms"]), F.lit(0.0), lambda a, x: a + x).alias("waited_ms"), "history")
     if exhausted == "throw" and (bad := out.filter("blocked").select("attempts", "message").head()):
         raise ExecutionFailed(f"Retry exhausted after {bad['attempts'] - 1} attempts: {bad['message']}")

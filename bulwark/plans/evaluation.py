@@ -175,10 +175,10 @@ FORBIDDEN = ["the", "de", "ci", "garden"]
 
 
 def _answers(text: str) -> str:
-    out = [text]
-    for word in FORBIDDEN:
-        out.append(f"regexp_replace({out[-1]}, '{word}', '', 'gi')")
-    return f"[{', '.join(out[:4])}]"
+    out = [text, f"lower({text})"]
+    for word in FORBIDDEN[:3]:
+        out.append(f"replace({out[-1]}, '{word}', '')")
+    return f"[{out[0]}, {', '.join(out[2:])}]"
 
 
 _BAD = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(a), '{w}') THEN '{w}' END" for w in FORBIDDEN) + "], lambda x: x IS NOT NULL)"
@@ -190,10 +190,11 @@ SELECT doc_id, md5(a) AS output, CAST(k AS INTEGER) AS attempts, len(bad) > 0 AS
 def retry_until_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     def generate(df: DataFrame) -> DataFrame:
         text = F.coalesce(F.col("text"), F.lit(""))
-        answers = [text]
-        for word in FORBIDDEN:
-            answers.append(F.regexp_replace(answers[-1], f"(?i){word}", ""))
-        return df.withColumn("output", F.element_at(F.array(*answers), F.col("attempt") + 1))
+        answer, rest = F.when(F.col("attempt") == 0, text), F.lower(text)
+        for k, word in enumerate(FORBIDDEN[:3]):
+            rest = F.replace(rest, F.lit(word), F.lit(""))
+            answer = answer.when(F.col("attempt") == k + 1, rest)
+        return df.withColumn("output", answer)
 
     out = retry.retried(documents(spark, sf_dir), generate, [output_checks.blocked_content(FORBIDDEN)], max_retries=3, backoff=backoff.exponential())
     return out.select("doc_id", F.md5("output").alias("output"), "attempts", "blocked", "message", "waited_ms")

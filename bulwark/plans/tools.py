@@ -167,15 +167,14 @@ def mcp_tool_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcp.scan_tools(rows).select("event_id", "name", "risk", "safe", F.size("threats").alias("n_threats"))
 
 
-_WORDS = "SELECT w AS name, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS w FROM documents) GROUP BY w"
+_HOSTS = f"SELECT DISTINCT lower({HOST_SQL}) AS name FROM (SELECT url AS u FROM pages)"
 
 
-@query("tool_typosquats", f"WITH n AS ({_WORDS}) SELECT a.name, b.name AS known, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance, CASE WHEN levenshtein(a.name, b.name) = 1 THEN 'high' ELSE 'medium' END AS severity FROM n AS a JOIN n AS b ON a.n < 5 AND b.n >= 5 AND abs(length(a.name) - length(b.name)) <= 2 AND levenshtein(a.name, b.name) BETWEEN 1 AND 2")
+@query("tool_typosquats", f"WITH n AS ({_HOSTS}) SELECT a.name, b.name AS known, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance, CASE WHEN levenshtein(a.name, b.name) = 1 THEN 'high' ELSE 'medium' END AS severity FROM n AS a JOIN n AS b ON levenshtein(a.name, b.name) BETWEEN 1 AND 2")
 def tool_typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # words of at least five documents are taken for known names, all others for names to judge
-    words = documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0))).alias("name"))
-    names = checkpointed(words.distinct().groupBy("name").agg(F.count("*").alias("n")))
-    return near.typosquats(names.filter("n < 5").select("name"), names.filter("n >= 5").select(F.col("name").alias("known")))
+    """Hosts of tools (here, of pages) that nearly bear each other's names."""
+    hosts = checkpointed(table(spark, sf_dir, "pages").select(tools.host_of(F.col("url")).alias("name")).distinct())
+    return near.typosquats(hosts, hosts.withColumnRenamed("name", "known"))
 
 
 _TOK = "regexp_extract_all(lower(text), '[0-9a-z_]+')"
