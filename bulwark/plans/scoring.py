@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bulwark.functions.regex import Rx, quoted
 from bulwark.functions.text import sql_hits
-from bulwark.operators import input_checks, retention
+from bulwark.operators import facts, input_checks, retention
 from bulwark.operators import scoring as sc
 from bulwark.operators import sql_policy
 from bulwark.plans.base import PLANTED_SQL, documents, joined, planted, query
@@ -136,6 +136,27 @@ def retention_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("redacted").alias("redacted"), "counts.*", F.array_join("types", ",").alias("types"), retention.expires_on(F.lit("2024-01-01"), F.col("types")).alias("expires_on"))
 
 
+_ANSWERS = "SELECT doc_id AS id, lang, text || '. The garden has ' || (doc_id % 4) || ' trees. It opened in ' || (1990 + doc_id % 2) || ' or so. The gate is' || CASE WHEN doc_id % 5 = 0 THEN ' not' ELSE '' END || ' open.' AS answer FROM documents"
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("contradictions", f"""WITH a AS ({_ANSWERS}), s AS (SELECT id, lang, answer, regexp_extract_all(answer, '[^.!?]*[.!?]') AS s FROM a),
+f AS (SELECT DISTINCT id, lang, unnest(list_concat(list_transform(regexp_extract_all(answer, '[0-9]+\\.\\s+([^.!?]+[.!?])', 1), lambda x: {_TRIM.format('x')}),
+  list_transform(s, lambda x: {_TRIM.format(f"regexp_extract(x, {quoted(facts.VERB.source)})")}), list_transform(s, lambda x: {_TRIM.format(f"regexp_extract(x, {quoted(facts.DATA.source)})")}))) AS f FROM s),
+k AS (SELECT id, lang, 'number' AS kind, regexp_replace(f, '[0-9]+', 'X', 'g') AS frame, regexp_extract(f, '[0-9]+') AS value FROM f WHERE regexp_matches(f, '[0-9]')
+  UNION SELECT id, lang, 'date', regexp_replace(f, {quoted(facts.YEAR.source)}, 'YEAR', 'g'), regexp_extract(f, {quoted(facts.YEAR.source)}) FROM f WHERE regexp_matches(f, {quoted(facts.YEAR.source)})
+  UNION SELECT id, lang, 'opposite', lower({_TRIM.format("regexp_replace(regexp_replace(f, '\\bnot\\b', '', 'g'), '\\s+', ' ', 'g')")}), CAST(contains(f, 'not') AS VARCHAR) FROM f WHERE f <> ''),
+v AS (SELECT lang, kind, frame, value, count(*) AS answers, min(id) AS first_id FROM k WHERE frame <> '' GROUP BY ALL)
+SELECT v.lang, v.kind, md5(v.frame) AS frame, v.value, v.answers, v.first_id, n AS values FROM v JOIN (SELECT lang, kind, frame, count(*) AS n FROM v GROUP BY ALL HAVING count(*) > 1) AS w ON w.lang IS NOT DISTINCT FROM v.lang AND w.kind = v.kind AND w.frame = v.frame""")
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in one language that differ in a number, a year or a negation; every document ends with three facts of its own."""
+    i = F.col("doc_id")
+    more = F.concat(F.lit(". The garden has "), (i % 4).cast("string"), F.lit(" trees. It opened in "), (1990 + i % 2).cast("string"), F.lit(" or so. The gate is"), F.when(i % 5 == 0, " not").otherwise(""), F.lit(" open."))
+    answers = table(spark, sf_dir, "documents").select(i.alias("id"), "lang", F.concat("text", more).alias("answer"))
+    out = facts.conflicts(facts.stated(answers, "lang"), "lang")
+    return out.withColumn("frame", F.md5("frame"))
+
+
 _KEPT = "t"
 for _kind, _rx in input_checks.PII.items():
     _KEPT = f"regexp_replace({_KEPT}, {quoted(_rx.re2)}, '[{_kind.upper()}]', 'g')"
