@@ -54,8 +54,9 @@ def retried(
         made = generate(pending.withColumns({"attempt": number, "__last": F.col("output"), "error": F.lit(None).cast("string")}))
         # bound in one struct, so that what generates is evaluated once; an attempt that failed leaves the last result in place
         last = F.when(F.col("error").isNotNull(), F.col("__last")).otherwise(F.col("output"))
-        made = made.withColumn("__made", F.struct(last.alias("output"), F.col("error").alias("error"))).drop("__last", "attempt", "output", "error", "message", "suggestion")
-        judged = made.withColumn("__judged", let(engine.summary(engine.run(checks, Scope(F.coalesce("__made.output", F.lit(""))))), lambda s: F.struct(
+        made = made.withColumn("__made", let(F.struct(last.alias("output"), F.col("error").alias("error")), lambda m: m)).drop("__last", "attempt", "output", "error", "message", "suggestion")
+        results = engine.run(checks, Scope(F.coalesce("__made.output", F.lit(""))))
+        judged = made.withColumn("__judged", let(let(results, engine.summary), lambda s: F.struct(
             (s["blocked"] > 0).alias("blocked"), F.array_join(F.transform(s["blocked_results"], lambda r: F.coalesce(r["message"], F.lit("blocked"))), ", ").alias("said"), engine.retry_instruction(s).alias("suggestion"),
         )))
         error = F.col("__made.error")
