@@ -167,14 +167,14 @@ def mcp_tool_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcp.scan_tools(rows).select("event_id", "name", "risk", "safe", F.size("threats").alias("n_threats"))
 
 
-_HOSTS = f"SELECT DISTINCT lower({HOST_SQL}) AS name FROM (SELECT url AS u FROM pages)"
+_HOSTS = f"SELECT page_id, lower({HOST_SQL}) AS name FROM (SELECT page_id, url AS u FROM pages)"
 
 
-@query("tool_typosquats", f"WITH n AS ({_HOSTS}) SELECT a.name, b.name AS known, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance, CASE WHEN levenshtein(a.name, b.name) = 1 THEN 'high' ELSE 'medium' END AS severity FROM n AS a JOIN n AS b ON levenshtein(a.name, b.name) BETWEEN 1 AND 2")
+@query("tool_typosquats", f"WITH p AS ({_HOSTS}), n AS (SELECT DISTINCT name FROM p), t AS (SELECT a.name, b.name AS known, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance FROM n AS a JOIN n AS b ON levenshtein(a.name, b.name) BETWEEN 1 AND 2) SELECT page_id, name, known, distance, CASE WHEN distance = 1 THEN 'high' ELSE 'medium' END AS severity FROM p JOIN t USING (name)")
 def tool_typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts of tools (here, of pages) that nearly bear each other's names."""
-    hosts = checkpointed(table(spark, sf_dir, "pages").select(tools.host_of(F.col("url")).alias("name")).distinct())
-    return near.typosquats(hosts, hosts.withColumnRenamed("name", "known"))
+    """Pages whose host, taken for a tool's name, nearly bears that of another."""
+    pages = table(spark, sf_dir, "pages").select("page_id", tools.host_of(F.col("url")).alias("name"))
+    return near.typosquats(pages, checkpointed(pages.select(F.col("name").alias("known")).distinct()))
 
 
 _TOK = "regexp_extract_all(lower(text), '[0-9a-z_]+')"
