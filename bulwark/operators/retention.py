@@ -67,6 +67,15 @@ SENSITIVE = {
 STRATEGIES = {"pii": "hash", "financial": "mask", "auth": "remove", "business": "anonymize", "medical": "encrypt"}
 DAYS = {"pii": 30, "financial": 90, "auth": 1, "business": 365, "medical": 7}
 CONVERSATION_DAYS = 7
+#: What every match of a type holds: one of some words, in lower case, or a short pattern.  Either is many times faster to look for than
+#: the type's own pattern, whose word boundaries are tested at every character.
+GATES: dict[str, list[str] | str] = {
+    "email": ["@"], "phone": "[0-9]{3}", "ssn": "[0-9]{3}-[0-9]", "creditCard": "[0-9]{4}", "ipAddress": r"[0-9]\.[0-9]", "macAddress": "[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", "names": ["mr.", "mrs.", "ms.", "dr.", "prof."],
+    "address": "[0-9]", "dateOfBirth": ["dob:", "birth:", "born:"], "passport": "[A-Z][0-9]{6}", "driverLicense": "[A-Z][0-9]{6}", "bankAccount": "[0-9]{8}", "routingNumber": "[0-9]{9}", "accountNumber": ["account:", "acct:", "acc:"],
+    "amounts": ["$"], "salary": ["salary:", "income:", "pay:"], "apiKey": ["key:"], "accessToken": ["token:"], "bearerToken": ["bearer"], "password": ["password:", "passwd:", "pwd:"], "privateKey": ["private"], "sshKey": ["ssh-rsa"],
+    "employeeId": ["employee", "emp", "staff"], "customerId": ["customer", "cust", "client"], "orderNumber": ["order"], "invoiceNumber": ["invoice", "inv"], "contractNumber": ["contract"], "medicalRecord": ["medical", "mrn", "record"],
+    "healthInsurance": ["health", "insurance", "policy"], "diagnosisCode": ["icd:", "diagnosis:"],
+}
 #: What an encrypted match looks like.
 SEALED = Rx(r"ENC\(([A-Za-z0-9+/=]+)\)")
 
@@ -92,6 +101,19 @@ def _change(strategy: str, kind: str, key: bytes | None) -> Callable[[Column], C
     return changes[strategy]
 
 
+def _gated(kind: str, rx: Rx, text: Column, lower: Column) -> Column:
+    """How often a type occurs in a text."""
+    gate = GATES.get(kind) if rx == next((types[kind] for types in SENSITIVE.values() if kind in types), None) else None
+    if gate is None:
+        return rx.count(text)
+    if isinstance(gate, str):
+        return F.when(text.rlike(gate), rx.count(text)).otherwise(0)
+    some = F.lit(False)
+    for word in gate:
+        some = some | F.contains(lower, F.lit(word))
+    return F.when(some, rx.count(text)).otherwise(0)
+
+
 def redact(df: DataFrame, text: str = "text", strategies: dict[str, str] | None = None, key: bytes | None = None, categories: dict[str, dict[str, Rx]] | None = None) -> DataFrame:
     """``df`` with ``redacted``, ``types`` found (``category_type``), and ``counts`` of matches in the original by category.
 
@@ -100,7 +122,8 @@ def redact(df: DataFrame, text: str = "text", strategies: dict[str, str] | None
     strategies, categories = STRATEGIES | (strategies or {}), categories or SENSITIVE
     kinds = [(c, t, rx) for c, types in categories.items() for t, rx in types.items()]
     # a projection for each type: what the next pattern reads several times is a column, not an expression
-    out = df.drop("redacted", "types", "counts").withColumn("__n", F.array(*[rx.count(F.col(text)) for _, _, rx in kinds])).withColumn("redacted", F.col(text))
+    out = df.drop("redacted", "types", "counts").withColumn("__lower", F.lower(text))
+    out = out.withColumn("__n", F.array(*[_gated(t, rx, F.col(text), F.col("__lower")) for _, t, rx in kinds])).withColumn("redacted", F.col(text)).drop("__lower")
     for k, (c, t, rx) in enumerate(kinds):
         changed = each_match(rx, _change(strategies[c], f"{c}_{t}", key))(F.col("redacted"))
         out = out.withColumn("redacted", F.when(F.col("__n")[k] > 0, changed).otherwise(F.col("redacted")))

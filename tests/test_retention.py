@@ -83,3 +83,19 @@ def test_expiry(spark, tmp_path):
     assert {r.id for r in left.collect()} == {1, 4} and "PartitionFilters: [isnotnull(expires_on" in left._jdf.queryExecution().executedPlan().toString()
     assert rn.drop_expired(spark, path, today) == ["2024-01-02", "2024-01-12"]
     assert {r.id for r in spark.read.parquet(path).collect()} == {1, 4} and rn.drop_expired(spark, path, today) == []
+
+
+def test_gates_let_every_match_pass():
+    """Each gate holds for texts made to match its type, written by hand."""
+    made = {
+        "email": "a@b.co", "phone": "(555) 123.4567", "ssn": "123-45-6789", "creditCard": "4111.1111 1111-1111", "ipAddress": "1.2.3.4", "macAddress": "00-1b:44:11:3A:B7", "names": "Prof. Ann Lee", "address": "5 Elm St", "dateOfBirth": "BORN: 1/2/99",
+        "passport": "AB123456", "driverLicense": "Z1234567", "bankAccount": "12345678", "routingNumber": "123456789", "accountNumber": "ACCT: 1234", "amounts": "$5", "salary": "PAY: $1", "apiKey": "APIKEY: " + "a1" * 10, "accessToken": "TOKEN: " + "b2" * 10,
+        "bearerToken": "BEARER " + "c3" * 10, "password": "PWD: secret1", "privateKey": "-----begin PRIVATE key-----x-----END private KEY-----", "sshKey": "SSH-RSA AAAA me@x", "employeeId": "STAFF ID 1234", "customerId": "Client id: 12345", "orderNumber": "ORDER: 123456",
+        "invoiceNumber": "Inv: 123456", "contractNumber": "CONTRACT: AB123456", "medicalRecord": "MRN #123456", "healthInsurance": "POLICY #: 123456", "diagnosisCode": "DIAGNOSIS: A12.3",
+    }
+    types = {t: rx for kinds in rn.SENSITIVE.values() for t, rx in kinds.items()}
+    assert made.keys() == types.keys() == rn.GATES.keys()
+    for kind, text in made.items():
+        assert re.search(types[kind].source, text, re.A | (re.I if "i" in types[kind].flags else 0)), kind
+        gate = rn.GATES[kind]
+        assert re.search(gate, text) if isinstance(gate, str) else any(w in text.lower() for w in gate), kind
