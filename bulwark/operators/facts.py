@@ -18,6 +18,8 @@ from bulwark.functions.text import trim
 
 SENTENCE = "[^.!?]*[.!?]"
 VERB = Rx(r"[A-Z][^.!?]*\b(?:is|are|was|were|has|have|had)\b[^.!?]+[.!?]")
+#: What every statement holds: a verb between characters of no word.
+VERB_LIKE = "[^0-9A-Za-z_](?:is|are|was|were|has|have|had)[^0-9A-Za-z_]"
 DATA = Rx(r"\b(?:\d{4}|\d+%|\$\d+|\d+\s+(?:years?|months?|days?|hours?))\b[^.!?]*[.!?]")
 YEAR = Rx(r"\b(?:19|20)\d{2}\b")
 
@@ -32,8 +34,9 @@ def key_facts(text: Column) -> Column:
     def of(s: Column) -> Column:
         numbered = F.transform(items, trim)
         # one statement a sentence at most, from its first capital: what stands before cannot begin one
-        stated = F.transform(s, lambda x: F.regexp_extract(F.regexp_replace(x, r"\A[^A-Z]+", ""), rf"\A{VERB.java}", 0))
-        data = F.transform(s, lambda x: DATA.first(x))
+        # most sentences are settled by a test without look-around, which the patterns make at every character
+        stated = F.transform(F.filter(s, lambda x: x.rlike(VERB_LIKE)), lambda x: F.regexp_extract(F.regexp_replace(x, r"\A[^A-Z]+", ""), rf"\A{VERB.java}", 0))
+        data = F.transform(F.filter(s, lambda x: x.rlike("[0-9]")), lambda x: DATA.first(x))
         return F.array_distinct(F.filter(F.concat(numbered, F.transform(stated, trim), F.transform(data, trim)), lambda f: f.isNotNull() & (f != "")))
 
     return F.transform(F.array(sentences), of)[0]
