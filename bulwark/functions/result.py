@@ -20,6 +20,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def lowered(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """Hand the text, and the text in lower case, to ``use``; both are made once a row."""
+    return let(F.struct(text.alias("raw"), F.lower(text).alias("lower")), lambda t: use(t["raw"], t["lower"]))
+
+
 def text_of(value) -> Column:
     return value.cast("string") if isinstance(value, Column) else F.lit(None if value is None else str(value)).cast("string")
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bulwark.functions.regex import SPACE, Rx, literal
+from bulwark.functions.regex import GAP, Rx, literal
+from bulwark.functions.result import let
 
 
 def or_empty(text: Column) -> Column:
@@ -17,7 +18,7 @@ def or_empty(text: Column) -> Column:
 
 def length16(text: Column) -> Column:
     """Length in UTF-16 code units."""
-    return (F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))).cast("int")
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
 
 
 def count_bytes(text: Column) -> Column:
@@ -26,7 +27,7 @@ def count_bytes(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Pieces between white space, none empty."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{GAP}+"), lambda w: w != "")
 
 
 def count_words(text: Column) -> Column:
@@ -34,7 +35,7 @@ def count_words(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(text, rf"^{GAP}+|{GAP}+\z", "")
 
 
 def scan_text(prompt: Column, messages: Column | None = None, system: Column | None = None) -> Column:
@@ -140,9 +141,13 @@ def code_point_label(character: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Words of ``a`` that ``b`` has too, over the longer of both; 0 if one has none."""
-    x, y = words(F.lower(a)), words(F.lower(b))
-    common = F.size(F.filter(x, lambda w: F.array_contains(y, w)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(common / F.greatest(F.size(x), F.size(y)))
+
+    def shared(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        common = F.size(F.filter(x, lambda w: F.array_contains(y, w)))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(common / F.greatest(F.size(x), F.size(y)))
+
+    return let(F.struct(words(F.lower(a)).alias("x"), words(F.lower(b)).alias("y")), shared)
 
 
 def has(text_lower: Column, needle: str) -> Column:
@@ -151,14 +156,12 @@ def has(text_lower: Column, needle: str) -> Column:
 
 def hits(text_lower: Column, needles: list[str]) -> Column:
     """Those of the literals that the text has, in list order."""
-    return F.filter(F.array(*[F.when(has(text_lower, n), F.lit(n)) for n in needles]), lambda x: x.isNotNull()) if needles else F.array().cast("array<string>")
+    return let(text_lower, lambda t: F.array_compact(F.array(*[F.when(has(t, n), F.lit(n)) for n in needles]))) if needles else F.array().cast("array<string>")
 
 
 def count_hits(text_lower: Column, needles: list[str]) -> Column:
-    total = F.lit(0)
-    for n in needles:
-        total = total + has(text_lower, n).cast("int")
-    return total
+    """How many of the literals the text has; the text is made once, not for each of them."""
+    return let(text_lower, lambda t: sum((has(t, n).cast("int") for n in needles), F.lit(0)))
 
 
 def which(tests: dict[str, Column]) -> Column:

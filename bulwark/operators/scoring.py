@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.functions import text as tx
 from bulwark.functions.regex import SPACE, Rx
-from bulwark.functions.result import let
+from bulwark.functions.result import let, lowered
 
 _LANGUAGES = "french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean"
 _SECRET = "(prompt|instructions?|system.*message)"
@@ -96,33 +98,39 @@ def level(score: Column, critical: float, high: float, medium: float) -> Column:
     return F.when(score >= critical, "critical").when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
 
-def category_score(text: Column, categories: dict[str, tuple[int, list[str]]], words: list[str], per_word: int, each: bool = False) -> Column:
+def category_score(text: Column, lower: Column, categories: dict[str, tuple[int, list[str]]], words: list[str], per_word: int, each: bool = False) -> Column:
     """Weights of the categories found (``each``: of every pattern found), and so much for each word."""
-    total = tx.count_hits(F.lower(text), words) * per_word
+    total = tx.count_hits(lower, words) * per_word
     for weight, patterns in categories.values():
-        found = [Rx(p, "i").test(text) for p in patterns]
-        hits = sum((f.cast("int") for f in found), F.lit(0))
-        total = total + weight * (hits if each else F.least(hits, F.lit(1)))
+        found = [Rx(p, "i").test(text, lower) for p in patterns]
+        total = total + weight * (sum((f.cast("int") for f in found), F.lit(0)) if each else reduce(Column.__or__, found).cast("int"))
     return total
 
 
 def injection_score(text: Column) -> Column:
     """``score`` and ``risk`` of a prompt, by category, keyword and a few combinations."""
-    score = category_score(text, INJECTION, INJECTION_WORDS, 2)
-    blocks = Rx(r"```.*\n.*```", "s").test(text) | Rx(r"<script.*>.*<\/script>", "is").test(text)
-    named = sum((Rx(p, "i").test(text).cast("int") for p in INJECTION["codeInjection"][1]), F.lit(0)) > 0
-    score = score + F.when(blocks & ~named, INJECTION["codeInjection"][0]).otherwise(0)
-    score = score + F.when(F.contains(text, F.lit("```")) & F.contains(text, F.lit("system")), 5).otherwise(0)
-    score = score + F.when(F.contains(text, F.lit("<script")) | F.contains(text, F.lit("javascript:")), 8).otherwise(0)
-    return F.struct(score.alias("score"), level(score, 20, 15, 10).alias("risk"))
+
+    def scored(t: Column, lower: Column) -> Column:
+        score = category_score(t, lower, INJECTION, INJECTION_WORDS, 2)
+        blocks = Rx(r"```.*\n.*```", "s").test(t) | Rx(r"<script.*>.*<\/script>", "is").test(t, lower)
+        named = reduce(Column.__or__, [Rx(p, "i").test(t, lower) for p in INJECTION["codeInjection"][1]])
+        score = score + F.when(blocks & ~named, INJECTION["codeInjection"][0]).otherwise(0)
+        score = score + F.when(F.contains(t, F.lit("```")) & F.contains(t, F.lit("system")), 5).otherwise(0)
+        return score + F.when(F.contains(t, F.lit("<script")) | F.contains(t, F.lit("javascript:")), 8).otherwise(0)
+
+    return let(lowered(text, scored), lambda s: F.struct(s.alias("score"), level(s, 20, 15, 10).alias("risk")))
 
 
 def jailbreak_score(text: Column) -> Column:
     """``score`` and ``risk`` of a prompt: every pattern found weighs what its category does, then words and pairs of words."""
-    score = category_score(text, JAILBREAK, JAILBREAK_WORDS, 3, each=True)
-    for a, b, weight in JAILBREAK_PAIRS:
-        score = score + F.when(F.contains(text, F.lit(a)) & F.contains(text, F.lit(b)), weight).otherwise(0)
-    return let(score, lambda s: F.struct(s.alias("score"), level(s, 25, 18, 10).alias("risk")))
+
+    def scored(t: Column, lower: Column) -> Column:
+        score = category_score(t, lower, JAILBREAK, JAILBREAK_WORDS, 3, each=True)
+        for a, b, weight in JAILBREAK_PAIRS:
+            score = score + F.when(F.contains(t, F.lit(a)) & F.contains(t, F.lit(b)), weight).otherwise(0)
+        return score
+
+    return let(lowered(text, scored), lambda s: F.struct(s.alias("score"), level(s, 25, 18, 10).alias("risk")))
 
 
 def topic(text: Column) -> Column:
