@@ -33,8 +33,7 @@ def with_fallback(primary: Column, fallback: Column) -> Column:
 
 def negated(check: Column, message: str = "Negated check did not trigger") -> Column:
     """Triggered and passed exchanged."""
-    hit = ~check["triggered"]
-    return with_fields(check, triggered=hit, message=F.when(hit, F.lit(message)))
+    return let(check, lambda r: with_fields(r, triggered=~r["triggered"], message=F.when(~r["triggered"], F.lit(message))))
 
 
 def triggered_of(every: Column) -> Column:
@@ -45,19 +44,22 @@ def triggered_of(every: Column) -> Column:
 
 def parallel(*checks: Column, mode: str = "any", name: str = "parallel") -> Column:
     """``any``: the first that triggers, with all messages; ``all``: only if every one does (an empty list does)."""
-    every = results(*checks)
-    bad = triggered_of(every)
-    messages = F.array_join(F.transform(bad, lambda r: r["message"]), "; ")
-    if mode == "all":
-        return result(name, F.size(bad) == F.size(every), F.coalesce(highest(F.transform(bad, lambda r: r["severity"])), F.lit("medium")), messages)
-    return result(name, F.size(bad) > 0, F.coalesce(F.get(bad, F.lit(0))["severity"], F.lit("medium")), messages, first=F.get(bad, F.lit(0))["guardrail_name"])
+
+    def judged(bad: Column) -> Column:
+        messages = F.array_join(F.transform(bad, lambda r: r["message"]), "; ")
+        if mode == "all":
+            return result(name, F.size(bad) == len(checks), F.coalesce(highest(F.transform(bad, lambda r: r["severity"])), F.lit("medium")), messages)
+        return result(name, F.size(bad) > 0, F.coalesce(F.get(bad, F.lit(0))["severity"], F.lit("medium")), messages, first=F.get(bad, F.lit(0))["guardrail_name"])
+
+    return let(triggered_of(results(*checks)), judged)
 
 
 def pipeline(*checks: Column, short_circuit: bool = True, name: str = "pipeline") -> Column:
     """The first triggered result with its stage; without short circuit it never triggers."""
     if not short_circuit:
         return passed(name, stages=len(checks))
-    staged = results(*[with_fields(c, metadata=F.map_concat(c["metadata"], F.create_map(F.lit("stage"), F.lit(str(k)))).cast("map<string,string>")) for k, c in enumerate(checks)])
+    stage = lambda k: F.create_map(F.lit("stage"), k.cast("string"))
+    staged = F.transform(results(*checks), lambda r, k: r.withField("metadata", F.map_concat(r["metadata"], stage(k)).cast("map<string,string>")))
     return F.coalesce(F.get(F.filter(staged, lambda r: r["triggered"]), F.lit(0)), passed(name, stages=len(checks)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bulwark.functions import text as tx
 from bulwark.functions.normalize import Normalization, normalize
 from bulwark.functions.regex import Rx, literal
-from bulwark.functions.result import let, result
+from bulwark.functions.result import let, lowered, result
 from bulwark.operators.check import Check, Scope
 
 #: Personal data in prompts.
@@ -97,8 +97,7 @@ def length_limit(limit: int, method: str = "characters", severity: str = "medium
     measure = {"characters": tx.length16, "bytes": tx.count_bytes, "words": tx.count_words}[method]
 
     def build(s: Scope) -> Column:
-        n = measure(s.text)
-        return result("input-length-limit", n > limit, severity, F.concat(F.lit("Input "), n.cast("string"), F.lit(f" exceeds limit of {limit}")), "Please shorten your input", count=n, limit=limit, method=method)
+        return let(measure(s.text), lambda n: result("input-length-limit", n > limit, severity, F.concat(F.lit("Input "), n.cast("string"), F.lit(f" exceeds limit of {limit}")), "Please shorten your input", count=n, limit=limit, method=method))
 
     return Check("input-length-limit", build)
 
@@ -111,17 +110,18 @@ def first_hit(tests: list[tuple[Column, tuple[str, ...]]], names: tuple[str, ...
     return out
 
 
-def word_test(scope: Scope, word: str, boundaries: bool) -> Column:
-    return tx.word_boundary(word).test(scope.text) if boundaries else Rx(literal(word), "i").test(scope.text)
+def word_test(text: Column, lower: Column, word: str, boundaries: bool) -> Column:
+    return tx.word_boundary(word).test(text, lower) if boundaries else Rx(literal(word), "i").test(text, lower)
 
 
 def blocked_words(words: list[str], allowed: list[str] = (), boundaries: bool = True, severity: str = "high") -> Check:
     """The first blocked word, unless an allowed phrase stands in the text."""
 
     def build(s: Scope) -> Column:
-        hit = first_hit([(word_test(s, w, boundaries), (w,)) for w in words], ("word",))["word"]
+        hit = lowered(s.text, lambda t, low: first_hit([(word_test(t, low, w, boundaries), (w,)) for w in words], ("word",)))["word"]
         free = tx.count_hits(s.lower, [a.lower() for a in allowed]) > 0 if allowed else F.lit(False)
-        return result("blocked-words", hit.isNotNull() & ~free, severity, F.concat(F.lit("Blocked word detected: "), hit), word=F.when(~free, hit))
+        found = F.struct(hit.alias("hit"), free.alias("free"))
+        return let(found, lambda f: result("blocked-words", f["hit"].isNotNull() & ~f["free"], severity, F.concat(F.lit("Blocked word detected: "), f["hit"]), word=F.when(~f["free"], f["hit"])))
 
     return Check("blocked-words", build)
 
@@ -136,8 +136,8 @@ def profanity_filter(categories: dict[str, tuple[str, list[str]]] | None = None,
     lists = [(w, c, sev) for c, (sev, ws) in (PROFANITY if categories is None else categories).items() for w in ws] + [(w, "custom", "high") for w in custom]
 
     def build(s: Scope) -> Column:
-        hit = first_hit([(word_test(s, w, boundaries), (w, c, sev)) for w, c, sev in lists], ("word", "category", "severity"))
-        return result("profanity-filter", hit.isNotNull(), F.coalesce(hit["severity"], F.lit("medium")), F.concat(F.lit("Inappropriate language detected: "), hit["category"]), word=hit["word"], category=hit["category"])
+        hit = lowered(s.text, lambda t, low: first_hit([(word_test(t, low, w, boundaries), (w, c, sev)) for w, c, sev in lists], ("word", "category", "severity")))
+        return let(hit, lambda h: result("profanity-filter", h.isNotNull(), F.coalesce(h["severity"], F.lit("medium")), F.concat(F.lit("Inappropriate language detected: "), h["category"]), word=h["word"], category=h["category"]))
 
     return Check("profanity-filter", build)
 
@@ -151,11 +151,16 @@ def injection_detector(threshold: float = 0.5, normalization: bool | dict | Norm
     """Mean weight of the injection patterns that the raw or the normalized text matches."""
 
     def scored(raw: Column, lower: Column, clean: Column | None) -> Column:
+        hits = []
+        for rx, _ in INJECTIONS:
+            hits.append(rx.test(raw, lower) if clean is None else rx.test(clean, clean) | rx.test(raw, lower))
+        return F.array(*hits)
+
+    def summed(hits: Column) -> Column:
         count, total, sources = F.lit(0), F.lit(0.0), []
-        for rx, weight in INJECTIONS:
-            hit = rx.test(raw, lower) if clean is None else rx.test(clean, clean) | rx.test(raw, lower)
-            count, total = count + hit.cast("int"), total + F.when(hit, weight).otherwise(0.0)
-            sources.append(F.when(hit, F.lit(rx.source)))
+        for k, (rx, weight) in enumerate(INJECTIONS):
+            count, total = count + hits[k].cast("int"), total + F.when(hits[k], weight).otherwise(0.0)
+            sources.append(F.when(hits[k], F.lit(rx.source)))
         return F.struct(count.alias("n"), total.alias("w"), F.concat_ws("\n", *sources).alias("sources"))
 
     def judged(found: Column) -> Column:
@@ -171,9 +176,9 @@ def injection_detector(threshold: float = 0.5, normalization: bool | dict | Norm
     def build(s: Scope) -> Column:
         if normalization is False:
             both = F.struct(s.text.alias("raw"), s.lower.alias("lower"))
-            return let(let(both, lambda t: scored(t["raw"], t["lower"], None)), judged)
+            return let(let(let(both, lambda t: scored(t["raw"], t["lower"], None)), summed), judged)
         both = F.struct(s.text.alias("raw"), s.lower.alias("lower"), normalize(s.text, normalization).alias("clean"))
-        return let(let(both, lambda t: scored(t["raw"], t["lower"], t["clean"])), judged)
+        return let(let(let(both, lambda t: scored(t["raw"], t["lower"], t["clean"])), summed), judged)
 
     return Check("prompt-injection-detector", build, "critical")
 
@@ -221,9 +226,11 @@ def toxicity_detector(threshold: float = 0.7) -> Check:
     """0.3 for each toxic word that occurs anywhere."""
 
     def build(s: Scope) -> Column:
-        n = tx.count_hits(s.lower, TOXIC)
-        score = n * F.lit(0.3)
-        return result("toxicity-detector", score > threshold, F.when(score > 0.8, "critical").otherwise("high"), "Toxic content detected", confidence=score, words=n, threshold=threshold)
+        def judged(n: Column) -> Column:
+            score = n * F.lit(0.3)
+            return result("toxicity-detector", score > threshold, F.when(score > 0.8, "critical").otherwise("high"), "Toxic content detected", confidence=score, words=n, threshold=threshold)
+
+        return let(tx.count_hits(s.lower, TOXIC), judged)
 
     return Check("toxicity-detector", build, "high")
 
@@ -244,18 +251,21 @@ def math_homework(enabled: bool = False, strict: bool = False, allowed: list[str
 
 
 def code_languages(text: Column) -> Column:
-    return tx.which({name: Rx(p, "i").test(text) for name, p in LANGUAGES.items()})
+    return lowered(text, lambda t, low: tx.which({name: Rx(p, "i").test(t, low) for name, p in LANGUAGES.items()}))
 
 
 def code_limiter(allowed: list[str] | None = None, denied: list[str] | None = None, mode: str = "allow-only", severity: str = "medium") -> Check:
     """Requests for code in a language that is denied, or (``allow-only``) not allowed."""
 
     def build(s: Scope) -> Column:
-        asked = tx.count_hits(s.lower, CODE_WORDS) > 0
-        found = code_languages(s.text)
         listed = F.array(*map(F.lit, (denied if mode == "deny" else allowed) or [])).cast("array<string>")
-        blocked = F.array_intersect(found, listed) if mode == "deny" else F.array_except(found, listed)
-        return result("code-generation-limiter", asked & (F.size(blocked) > 0), severity, "Code generation not allowed", languages=F.array_join(found, ","), blocked=F.when(asked, F.array_join(blocked, ",")), mode=mode)
+
+        def judged(f: Column) -> Column:
+            asked, found = f["asked"], f["found"]
+            blocked = F.array_intersect(found, listed) if mode == "deny" else F.array_except(found, listed)
+            return result("code-generation-limiter", asked & (F.size(blocked) > 0), severity, "Code generation not allowed", languages=F.array_join(found, ","), blocked=F.when(asked, F.array_join(blocked, ",")), mode=mode)
+
+        return let(F.struct((tx.count_hits(s.lower, CODE_WORDS) > 0).alias("asked"), code_languages(s.text).alias("found")), judged)
 
     return Check("code-generation-limiter", build)
 

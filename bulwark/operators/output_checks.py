@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from bulwark.functions import text as tx
 from bulwark.functions.regex import Rx
-from bulwark.functions.result import highest, result
+from bulwark.functions.result import highest, let, lowered, result
 from bulwark.operators.check import Check, Scope
 
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -127,8 +127,7 @@ def max_length(limit: int) -> Check:
 
 def min_length(least: int) -> Check:
     def build(s: Scope) -> Column:
-        n = tx.length16(s.text)
-        return result("min-length-requirement", n < least, "medium", F.concat(F.lit("Output length "), n.cast("string"), F.lit(f" below minimum of {least}")), length=n, deficit=F.greatest(F.lit(least) - n, F.lit(0)))
+        return let(tx.length16(s.text), lambda n: result("min-length-requirement", n < least, "medium", F.concat(F.lit("Output length "), n.cast("string"), F.lit(f" below minimum of {least}")), length=n, deficit=F.greatest(F.lit(least) - n, F.lit(0))))
 
     return Check("min-length-requirement", build)
 
@@ -137,9 +136,12 @@ def sensitive_data() -> Check:
     """Seven kinds of sensitive data; as severe as the severest found."""
 
     def build(s: Scope) -> Column:
-        found = tx.which({n: rx.test(s.text) for n, (rx, _) in SENSITIVE.items()})
         severities = F.create_map(*[F.lit(x) for n, (_, sev) in SENSITIVE.items() for x in (n, sev)])
-        return result("sensitive-data-filter", F.size(found) > 0, F.coalesce(highest(F.transform(found, lambda n: severities[n])), F.lit("medium")), F.concat(F.lit("Sensitive data detected: "), F.array_join(found, ", ")), types=F.array_join(found, ", "), count=F.size(found))
+
+        def judged(found: Column) -> Column:
+            return result("sensitive-data-filter", F.size(found) > 0, F.coalesce(highest(F.transform(found, lambda n: severities[n])), F.lit("medium")), F.concat(F.lit("Sensitive data detected: "), F.array_join(found, ", ")), types=F.array_join(found, ", "), count=F.size(found))
+
+        return let(lowered(s.text, lambda t, low: tx.which({n: rx.test(t, low) for n, (rx, _) in SENSITIVE.items()})), judged)
 
     return Check("sensitive-data-filter", build, "critical")
 
@@ -256,9 +258,11 @@ def factual_accuracy(require_sources: bool = False) -> Check:
 
 def privacy_leakage() -> Check:
     def build(s: Scope) -> Column:
-        counts = {c: rx.count(s.text) for c, rx in PRIVACY.items()}
-        found = tx.which({c: n > 0 for c, n in counts.items()})
-        return result("privacy-leakage-detector", F.size(found) > 0, "critical", F.concat(F.lit("Potential privacy leakage detected: "), F.array_join(found, ", ")), categories=F.array_join(found, ", "), matches=sum(counts.values(), F.lit(0)))
+        def judged(n: Column) -> Column:
+            found = tx.which({c: n[k] > 0 for k, c in enumerate(PRIVACY)})
+            return result("privacy-leakage-detector", F.size(found) > 0, "critical", F.concat(F.lit("Potential privacy leakage detected: "), F.array_join(found, ", ")), categories=F.array_join(found, ", "), matches=sum((n[k] for k in range(len(PRIVACY))), F.lit(0)))
+
+        return let(lowered(s.text, lambda t, low: F.array(*[rx.count(t, low) for rx in PRIVACY.values()])), judged)
 
     return Check("privacy-leakage-detector", build, "critical")
 
@@ -296,18 +300,17 @@ def secret_detector() -> Check:
     """Every match of every secret format; one type for each match."""
 
     def build(s: Scope) -> Column:
-        counts = {n: rx.count(s.text) for n, rx in SECRETS.items()}
-        types = F.flatten(F.array(*[F.array_repeat(F.lit(n), c) for n, c in counts.items()]))
-        return result("secret-redaction", F.size(types) > 0, "critical", F.concat(F.lit("Output contains "), F.size(types).cast("string"), F.lit(" potential secret(s): "), F.array_join(types, ", ")), types=F.array_join(types, ", "), count=F.size(types))
+        types = lowered(s.text, lambda t, low: F.flatten(F.array(*[F.array_repeat(F.lit(n), rx.count(t, low)) for n, rx in SECRETS.items()])))
+        return let(types, lambda x: result("secret-redaction", F.size(x) > 0, "critical", F.concat(F.lit("Output contains "), F.size(x).cast("string"), F.lit(" potential secret(s): "), F.array_join(x, ", ")), types=F.array_join(x, ", "), count=F.size(x)))
 
     return Check("secret-redaction", build, "critical")
 
 
 def unsafe_content() -> Check:
     def build(s: Scope) -> Column:
-        counts = {c: sum((rx.count(s.text) for rx in rxs), F.lit(0)) for c, rxs in UNSAFE.items()}
-        issues = F.concat_ws(", ", *[F.when(n > 0, F.concat(F.lit(f"{c} ("), n.cast("string"), F.lit(")"))) for c, n in counts.items()])
-        return result("unsafe-content-detector", issues != "", "high", F.concat(F.lit("Unsafe content detected: "), issues), issues=issues)
+        counts = lowered(s.text, lambda t, low: F.array(*[sum((rx.count(t, low) for rx in rxs), F.lit(0)) for rxs in UNSAFE.values()]))
+        issues = let(counts, lambda n: F.concat_ws(", ", *[F.when(n[k] > 0, F.concat(F.lit(f"{c} ("), n[k].cast("string"), F.lit(")"))) for k, c in enumerate(UNSAFE)]))
+        return let(issues, lambda x: result("unsafe-content-detector", x != "", "high", F.concat(F.lit("Unsafe content detected: "), x), issues=x))
 
     return Check("unsafe-content-detector", build, "high")
 
