@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from bulwark.functions import text as tx
 from bulwark.functions.regex import Rx
-from bulwark.functions.result import SEVERITIES, let
+from bulwark.functions.result import SEVERITIES, let, lowered
 
 #: Kinds of regulated advice with severities.
 ADVICE = {
@@ -142,14 +142,14 @@ OPEN_LEVELS = ("warn", "error")
 LOG_LENGTH, LOG_REDACTIONS = 10_000, 50
 
 
-def matched(text: Column, patterns: list[str]) -> Column:
+def matched(text: Column, patterns: list[str], lower: Column | None = None) -> Column:
     """How many of the patterns are found."""
-    return sum((Rx(p, "i").test(text).cast("int") for p in patterns), F.lit(0))
+    return sum((Rx(p, "i").test(text, lower).cast("int") for p in patterns), F.lit(0))
 
 
 def matches(text: Column, patterns: list[str]) -> Column:
     """How often the patterns are found in all."""
-    return sum((Rx(p, "i").count(text) for p in patterns), F.lit(0))
+    return lowered(text, lambda t, low: sum((Rx(p, "i").count(t, low) for p in patterns), F.lit(0)))
 
 
 def highest(found: dict[str, Column]) -> Column:
@@ -167,7 +167,7 @@ def regulated_advice(text: Column) -> Column:
         severity = highest({f"{s}/{name}": n[k] > 0 for k, (name, (s, _)) in enumerate(ADVICE.items())})
         return F.struct(found.alias("types"), F.size(found).alias("total"), severity.alias("severity"))
 
-    return let(F.array(*[matched(text, patterns) for _, patterns in ADVICE.values()]), result)
+    return let(lowered(text, lambda t, low: F.array(*[matched(t, patterns, low) for _, patterns in ADVICE.values()])), result)
 
 
 def hierarchy_violations(text: Column) -> Column:
@@ -179,7 +179,7 @@ def hierarchy_violations(text: Column) -> Column:
         risk = sum((F.when(t, c * (SEVERITIES.index(s) + 1)).otherwise(0.0) for _, s, c, t in each), F.lit(0.0))
         return F.struct(found.alias("violations"), F.size(found).alias("total"), highest({f"{s}/{name}": t for name, s, _, t in each}).alias("severity"), risk.alias("risk"))
 
-    return let(F.array(*[matched(text, patterns) for _, _, patterns in HIERARCHY.values()]), result)
+    return let(lowered(text, lambda t, low: F.array(*[matched(t, patterns, low) for _, _, patterns in HIERARCHY.values()])), result)
 
 
 def ending(text: Column) -> Column:
@@ -219,15 +219,16 @@ def hedged(text: Column) -> Column:
     return tx.count_hits(F.lower(text), HEDGES) > 0
 
 
-def unhedged(text: Column, pattern: str) -> Column:
+def unhedged(text: Column, pattern: str, lower: Column | None = None) -> Column:
     """Matches of a claim with no hedging word in the 50 code points before, the match, and the 100 after."""
     rx = Rx(pattern, "i")
     claim, own = rx.java.removeprefix("(?i)"), re.compile(pattern).groups
     # the claim is looked for first: a look-behind tried at every place would cost 51 attempts each
-    around = rf"(?i)(?={claim})(?<=(\A(?s:.){{0,{CLAIM_BEFORE - 1}}}|(?s:.){{{CLAIM_BEFORE}}}))({claim})(?=((?s:.){{0,{CLAIM_AFTER}}}))"
-    part = [F.regexp_extract_all(text, F.lit(around), g) for g in (own + 1, own + 2, 2 * own + 3)]
-    claims = F.zip_with(F.zip_with(part[0], part[1], lambda a, b: F.concat(a, b)), part[2], lambda a, b: F.concat(a, b))
-    return F.when(rx.test(text), F.size(F.filter(claims, lambda c: ~hedged(c)))).otherwise(0)
+    before = rf"(?i)(?={claim})(?<=(\A(?s:.){{0,{CLAIM_BEFORE - 1}}}|(?s:.){{{CLAIM_BEFORE}}})){claim}"
+    after = rf"(?i)(?=({claim}(?s:.){{0,{CLAIM_AFTER}}})){claim}"
+    part = [F.regexp_extract_all(text, F.lit(p), g) for p, g in ((before, own + 1), (after, 1))]
+    claims = F.zip_with(*part, lambda a, b: F.concat(a, b))
+    return F.when(rx.test(text, lower), F.size(F.filter(claims, lambda c: ~hedged(c)))).otherwise(0)
 
 
 def claims(text: Column) -> dict[str, Column]:
@@ -237,7 +238,7 @@ def claims(text: Column) -> dict[str, Column]:
 
 def claim_confidence(text: Column) -> Column:
     """``unhedged`` claims, ``score`` from 0 to 1, and ``risk``."""
-    bare = sum((unhedged(text, p) for patterns in CLAIMS.values() for p in patterns), F.lit(0))
+    bare = lowered(text, lambda t, low: sum((unhedged(t, p, low) for patterns in CLAIMS.values() for p in patterns), F.lit(0)))
 
     def result(n: Column) -> Column:
         specific = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in SPECIFIC])
