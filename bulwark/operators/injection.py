@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bulwark.functions import text as tx
 from bulwark.functions.normalize import Normalization, normalize
 from bulwark.functions.regex import Rx
-from bulwark.functions.result import let, result
+from bulwark.functions.result import let, lowered, result
 from bulwark.operators.check import Check, Scope
 
 #: Patterns of the score, with weights.
@@ -41,11 +41,14 @@ INTENTS = {"help_request": "help|assist|support", "information_request": "explai
 
 def raw_pattern_score(text: Column) -> Column:
     """Mean weight of the patterns found, at most 1."""
-    total, count, lower = F.lit(0.0), F.lit(0), F.lower(text)
-    for rx, weight in PATTERNS:
-        hit = rx.test(text, lower)
-        total, count = total + F.when(hit, weight).otherwise(0.0), count + hit.cast("int")
-    return F.when(count > 0, F.least(total / count, F.lit(1.0))).otherwise(0.0)
+
+    def scored(hits: Column) -> Column:
+        total, count = F.lit(0.0), F.lit(0)
+        for k, (_, weight) in enumerate(PATTERNS):
+            total, count = total + F.when(hits[k], weight).otherwise(0.0), count + hits[k].cast("int")
+        return F.when(count > 0, F.least(total / count, F.lit(1.0))).otherwise(0.0)
+
+    return let(lowered(text, lambda t, lower: F.array(*[rx.test(t, lower) for rx, _ in PATTERNS])), scored)
 
 
 def pattern_score(text: Column, normalization: bool | dict | Normalization = True) -> Column:
@@ -56,21 +59,21 @@ def pattern_score(text: Column, normalization: bool | dict | Normalization = Tru
 
 def coherence(text: Column) -> Column:
     """1, less 0.2 for each pair of adjacent sentences with hardly a word in common; 0 without sentences."""
-    sentences = F.filter(F.split(text, "[.!?]+"), lambda s: tx.trim(s) != "")
-    breaks = F.aggregate(
-        sentences, F.struct(F.lit(None).cast("string").alias("last"), F.lit(1.0).alias("score")),
-        lambda a, s: F.struct(s.alias("last"), F.when(a["last"].isNotNull() & (tx.overlap(a["last"], s) < 0.2), a["score"] - 0.2).otherwise(a["score"]).alias("score")),
+    # words once a sentence, not once for each neighbour
+    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: tx.words(F.lower(s))), lambda w: F.size(w) > 0)
+    few = lambda x, y: F.size(F.filter(x, lambda w: F.array_contains(y, w))) / F.greatest(F.size(x), F.size(y)) < 0.2
+    each = lambda w: F.aggregate(
+        w, F.struct(F.lit(None).cast("array<string>").alias("last"), F.lit(1.0).alias("score")),
+        lambda a, x: F.struct(x.alias("last"), F.when(a["last"].isNotNull() & few(a["last"], x), a["score"] - 0.2).otherwise(a["score"]).alias("score")),
         lambda a: F.greatest(a["score"], F.lit(0.0)),
     )
-    return F.when(F.size(sentences) == 0, 0.0).otherwise(breaks)
+    return let(sentences, lambda w: F.when(F.size(w) == 0, 0.0).otherwise(each(w)))
 
 
 def less(start: float, step: float, tests: list[Column]) -> Column:
     """``start`` less ``step`` for each test that holds, one after another, not below 0."""
-    score = F.lit(start)
-    for t in tests:
-        score = F.when(t, score - step).otherwise(score)
-    return F.greatest(score, F.lit(0.0))
+    lowers = F.filter(F.array(*tests), lambda t: t)
+    return F.aggregate(lowers, F.lit(float(start)), lambda a, _: a - step, lambda a: F.greatest(a, F.lit(0.0)))
 
 
 def flow(text: Column) -> Column:
