@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bulwark.functions.regex import SPACE, Rx, literal
-from bulwark.functions.text import trim
+from bulwark.functions.regex import GAP, SPACE, Rx, literal
+from bulwark.functions.result import let
+from bulwark.functions.text import count_hits, trim
 
 #: Invisible format characters.
 INVISIBLE = r"[\u00AD\u180E\u200B-\u200F\u2028-\u202F\u2060\uFEFF]"
@@ -40,6 +42,9 @@ PHONETICS = [
     (r"\boverryde\b", "override"), (r"\bd[i1]sregard\b", "disregard"), (r"\bpromt\b", "prompt"), (r"\brulz\b", "rules"),
 ]
 
+#: What words hold that one of those patterns matches.
+PHONETIC_SIGNS = ["ignor", "ignr", "igr", "vious", "instr", "overryde", "sregard", "promt", "rulz"]
+
 
 @dataclass(frozen=True)
 class Normalization:
@@ -73,34 +78,57 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def fold_homoglyphs(text: Column) -> Column:
-    return F.translate(text, "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
+    return let(text, lambda t: F.when(t.rlike(rf"[[^\x00-\x7f]&&[{''.join(LOOK_ALIKES)}\uff21-\uff3a\uff41-\uff5a]]"), F.translate(t, "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))).otherwise(t))
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE}]+", " ")
+    # a single blank stays as it is
+    return F.regexp_replace(text, f"[[^ -~]&&[{SPACE}]]{GAP}*| {GAP}+", " ")
 
 
 def join_letters(text: Column) -> Column:
     """Single letters set apart by white space become one word."""
-    return F.regexp_replace(text, rf"(?<![0-9A-Za-z_])([0-9A-Za-z_])[{SPACE}]+(?=[0-9A-Za-z_](?![0-9A-Za-z_]))", "$1")
+    letter = r"\w"
+    two = rf"{letter}{GAP}+{letter}(?!{letter})"
+    joined_of = lambda t: F.regexp_replace(t, rf"(?<=(?<!{letter}){letter}){GAP}+(?={letter}(?!{letter}))", "")
+    # most texts hold no two such letters, which is told without look-behind
+    return let(text, lambda t: F.when(t.rlike(rf"\W{two}") | t.rlike(rf"\A{two}"), joined_of(t)).otherwise(t))
 
 
 def decode_leet(text: Column) -> Column:
-    for pattern, letter in LEET_SEQUENCES:
-        text = F.regexp_replace(text, Rx(pattern).java, letter)
-    return F.translate(text, LEET_FROM, LEET_TO)
+    def sequences(t: Column) -> Column:
+        for pattern, letter in LEET_SEQUENCES:
+            t = F.regexp_replace(t, Rx(pattern).java, letter)
+        return t
+
+    text = replaced(text, ["|", "\\", "><"], sequences)
+    # none of the letters is itself replaced
+    for character, letter in zip(LEET_FROM, LEET_TO, strict=True):
+        text = F.replace(text, F.lit(character), F.lit(letter))
+    return text
 
 
-def repair_typos(text: Column) -> Column:
-    for wrong, right in TYPOS.items():
-        text = Rx(rf"\b{literal(wrong)}\b", "i").replace(text, right)
-    return text
+def replaced(text: Column, signs: list[str], change: Callable[[Column], Column], fold: bool = False) -> Column:
+    """The text changed, if it holds one of the signs (``fold``: in any case) without which nothing would change."""
+    return let(text, lambda t: F.when(count_hits(F.lower(t) if fold else t, signs) > 0, change(t)).otherwise(t))
 
 
-def repair_phonetics(text: Column) -> Column:
-    for pattern, right in PHONETICS:
-        text = Rx(pattern, "i").replace(text, right)
-    return text
+def repair_typos(text: Column, fold: bool = True) -> Column:
+    def change(t: Column) -> Column:
+        for wrong, right in TYPOS.items():
+            t = Rx(rf"\b{literal(wrong)}\b", "i").replace(t, right)
+        return t
+
+    return replaced(text, list(TYPOS), change, fold)
+
+
+def repair_phonetics(text: Column, fold: bool = True) -> Column:
+    def change(t: Column) -> Column:
+        for pattern, right in PHONETICS:
+            t = Rx(pattern, "i").replace(t, right)
+        return t
+
+    return replaced(text, PHONETIC_SIGNS, change, fold)
 
 
 def normalize(text: Column, options: bool | dict | Normalization | None = None) -> Column:
@@ -112,9 +140,9 @@ def normalize(text: Column, options: bool | dict | Normalization | None = None)
     if not c.enabled:
         return trim(text)
     for wanted, step in (
-        (c.unicode, nfkc), (c.fold_homoglyphs, fold_homoglyphs), (c.strip_invisible, lambda t: F.regexp_replace(t, INVISIBLE, "")),
+        (c.unicode, nfkc), (c.fold_homoglyphs, fold_homoglyphs), (c.strip_invisible, lambda t: F.regexp_replace(t, rf"[[^\x00-\x7f]&&{INVISIBLE}]", "")),
         (c.collapse_whitespace, collapse), (c.join_letters, join_letters), (c.lower, F.lower), (c.leetspeak, decode_leet),
-        (c.typos, repair_typos), (c.phonetics, repair_phonetics), (c.collapse_whitespace, collapse),
+        (c.typos, lambda t: repair_typos(t, not c.lower)), (c.phonetics, lambda t: repair_phonetics(t, not c.lower)), (c.collapse_whitespace, collapse),
     ):
         if wanted:
             text = step(text)

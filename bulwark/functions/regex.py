@@ -19,8 +19,8 @@ SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 GAP = rf"[[^!-~]&&[{SPACE}]]"
 #: Line ends that its dot leaves out.
 LINE_END = r"\n\r\u2028\u2029"
-#: ASCII word boundary; Java's own follows Unicode letters.
-BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+#: ASCII word boundary; Java's own follows Unicode letters, but its ``\w`` is of ASCII, and far quicker than a class of ranges.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 @dataclass(frozen=True)
@@ -255,9 +255,9 @@ def chained(source: str, flags: str) -> str | None:
 def boundary(before: str, after: str) -> str:
     """A word boundary; half a test where one side is known to be a word character."""
     if re.match(r"(?:[0-9A-Za-z_]|\\[dw]|\[0-9\])(?![?*])", after) or (m := re.match(r"\((?:\?:)?([^()\[\]\\?*|]\w*(?:\|[^()\[\]\\?*|][^()\[\]\\?*|]*)*)", after)) and all(a[:1].isalnum() and a[:1].isascii() for a in m[1].split("|")) and re.match(r"\)(?![?*{])", after[m.end() :]):
-        return "(?<![0-9A-Za-z_])"
+        return r"(?<!\w)"
     if re.search(r"(?:[0-9A-Za-z_]|\\d\{\d+(?:,\d+)?\})$", before) and not re.search(r"\\[a-zA-Z]$", before):
-        return "(?![0-9A-Za-z_])"
+        return r"(?!\w)"
     return BOUNDARY
 
 

@@ -19,7 +19,7 @@ from bulwark.functions.text import trim
 SENTENCE = "[^.!?]*[.!?]"
 VERB = Rx(r"[A-Z][^.!?]*\b(?:is|are|was|were|has|have|had)\b[^.!?]+[.!?]")
 #: What every statement holds: a verb between characters of no word.
-VERB_LIKE = "[^0-9A-Za-z_](?:is|are|was|were|has|have|had)[^0-9A-Za-z_]"
+VERB_LIKE = r"\W(?:is|are|was|were|has|have|had)\W"
 DATA = Rx(r"\b(?:\d{4}|\d+%|\$\d+|\d+\s+(?:years?|months?|days?|hours?))\b[^.!?]*[.!?]")
 YEAR = Rx(r"\b(?:19|20)\d{2}\b")
 
