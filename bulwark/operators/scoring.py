@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.functions import text as tx
-from bulwark.functions.regex import SPACE, Rx
+from bulwark.functions.regex import GAP, Rx
 from bulwark.functions.result import let, lowered
 
 _LANGUAGES = "french|spanish|german|italian|portuguese|dutch|russian|chinese|japanese|korean"
@@ -154,23 +154,36 @@ def quality_issues(text: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Words in common over all words, as sets."""
-    x, y = F.array_distinct(F.split(F.lower(a), f"[{SPACE}]+")), F.array_distinct(F.split(F.lower(b), f"[{SPACE}]+"))
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return let(F.struct(word_set(a).alias("x"), word_set(b).alias("y")), lambda p: set_similarity(p["x"], p["y"]))
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), f"{GAP}+"))
+
+
+def set_similarity(x: Column, y: Column) -> Column:
+    """Elements in common over all elements, of arrays without repeats."""
+    return let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
 
 
 def inconsistent_pairs(answers: DataFrame, seconds: int = 3600, prompts_above: float = 0.8, answers_below: float = 0.3) -> DataFrame:
     """Pairs of ``id, topic, micros, prompt, answer`` close in time on one topic: like prompts with unlike answers.
 
     An interval join made an equi-join on topic and time bucket: a row meets the rows of its own bucket and the one before.
+    Texts are cut into words once a row, before the join, and pairs without like prompts are dropped before answers are looked at.
     """
     width = seconds * 1_000_000
-    rows = answers.withColumn("bucket", F.floor(F.col("micros") / width))
+    rows = answers.select("id", "topic", "micros", word_set(F.col("prompt")).alias("prompt"), word_set(F.col("answer")).alias("answer")).withColumn("bucket", F.floor(F.col("micros") / width))
     late = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     early = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
     near = (F.col("topic") == F.col("b_topic")) & (F.col("bucket") == F.col("b_bucket"))
     order = (F.col("micros") <= F.col("b_micros")) & (F.col("b_micros") - F.col("micros") <= width) & ((F.col("micros") < F.col("b_micros")) | (F.col("id") < F.col("b_id")))
-    pairs = early.join(late, near & order).withColumn("prompt_similarity", similarity(F.col("prompt"), F.col("b_prompt"))).withColumn("answer_similarity", similarity(F.col("answer"), F.col("b_answer")))
-    return pairs.filter((F.col("prompt_similarity") > prompts_above) & (F.col("answer_similarity") < answers_below)).select(F.col("id").alias("a"), F.col("b_id").alias("b"), "topic", "prompt_similarity", "answer_similarity")
+    common = lambda c: F.size(F.array_intersect(c, f"b_{c}"))
+    share = lambda c: F.col(f"{c}_common") / (F.size(c) + F.size(f"b_{c}") - F.col(f"{c}_common"))
+    pairs = early.join(late, near & order)
+    for c, kept in (("prompt", F.col("prompt_similarity") > prompts_above), ("answer", F.col("answer_similarity") < answers_below)):
+        pairs = pairs.withColumn(f"{c}_common", common(c)).withColumn(f"{c}_similarity", share(c)).filter(kept)
+    return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b"), "topic", "prompt_similarity", "answer_similarity")
 
 
 def url_issues(url: Column, allowed: list[str], extensions: list[str] = ("exe", "bat", "sh", "dll"), ports: list[int] = (80, 443)) -> Column:

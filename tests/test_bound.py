@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bulwark.functions import normalize as nz
 from bulwark.functions.regex import Rx, chained, needed, plain
-from bulwark.operators import compose, defense, input_checks, mcp, output_checks
+from bulwark.operators import compose, defense, input_checks, leak, mcp, output_checks
 from bulwark.operators import policies as po
 from bulwark.operators import scoring as sc
 from bulwark.operators.check import Scope
@@ -97,3 +97,18 @@ def test_normalization_against_single_steps(spark):
         return re.sub(r"\s+", " ", t).strip()
 
     assert got == [plainly(t) for t in rows]
+
+
+def test_phrases_that_no_prompt_has_are_not_shuffled(spark):
+    said = spark.createDataFrame([(1, "one two three four five"), (1, "one two three four"), (2, "six seven eight nine")], "id int, text string")
+    asked = spark.createDataFrame([(7, "one two three four"), (8, "no such words here")], "id int, text string")
+    out = leak.leak_join(said, asked, 4, 0.2)
+    assert [tuple(r) for r in out.collect()] == [(1, 7, 1, 1.0)]
+    assert "LeftSemi" in plan(out)
+
+
+def test_pairs_compare_words_made_before_the_join(spark):
+    rows = [(1, "a", 0, "How is A", "up two"), (2, "a", 5_000_000, "how  is a", "down three"), (3, "a", 700_000_000, "how is a", "x y"), (4, "b", 6_000_000, "how is a", "z")]
+    out = sc.inconsistent_pairs(spark.createDataFrame(rows, "id int, topic string, micros long, prompt string, answer string"), 600)
+    assert [(r.a, r.b, r.prompt_similarity, r.answer_similarity) for r in out.collect()] == [(1, 2, 1.0, 0.0)]
+    assert "split(" not in plan(out).split("Join", 1)[0]
