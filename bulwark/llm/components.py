@@ -5,7 +5,8 @@ reach), in memory bounded by the partition.  A node that has several parents, fr
 parents under its smallest one; a node whose parent has a parent moves up to it.  Rounds of both, with the partitions' forests in
 between, end once every node has one parent and no parent has one.  A node has at most as many parents as there are
 partitions, and a parent of many nodes is met in a join of two plain shuffles, which Spark splits.  Rounds are written to the checkpoint
-folder.
+folder, in no more files than the edges' forests had partitions: where Hadoop has no native library, an executor starts
+processes for every file (``chmod``), which count with part of its memory until they run their command.
 """
 
 from __future__ import annotations
@@ -46,18 +47,22 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInPandas(_forest, "node long, parent long")
 
 
-def components(edges: DataFrame, partition_edges: int = PARTITION_EDGES) -> DataFrame:
+def components(edges: DataFrame, partition_edges: int = PARTITION_EDGES, written: bool = False) -> DataFrame:
     """``node, root`` for every node of the undirected ``edges`` (``u, v``); the root is a component's smallest node.
 
     An edge from a node to itself and repeated edges are harmless.  The longest path that is left shrinks by half a round at least.
+    Edges that are ``written`` (checkpoints, or a union of such) are read twice as they are, others are written first.
     """
     spark = edges.sparkSession
-    edges = checkpointed(edges.select("u", "v").filter("u <> v"))
+    edges = edges.select("u", "v").filter("u <> v")
+    if not written:
+        edges = checkpointed(edges)
     parts = edges.rdd.getNumPartitions()
     few = max(1, -(-edges.count() // partition_edges))
     pairs = forest(edges.coalesce(few) if few < parts else edges)
     while True:
-        under = checkpointed(pairs.groupBy("node").agg(F.min("parent").alias("parent"), F.collect_set("parent").alias("parents")))
+        under = pairs.groupBy("node").agg(F.min("parent").alias("parent"), F.collect_set("parent").alias("parents"))
+        under = checkpointed(under.coalesce(few))
         above = under.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
         up = under.join(above, "parent", "left")
         left = up.agg(F.count_if(F.col("top").isNotNull() | (F.size("parents") > 1))).first()[0]

@@ -248,7 +248,7 @@ def labelled(lists: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         lists = lists.withColumn("comp", F.col("sig"))
     else:
-        roots = components(links)
+        roots = components(links, written=True)
         lists = lists.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
     mixed = checkpointed(lists.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h"))
     return checkpointed(lists.join(mixed, "h", "left_semi"))
@@ -345,7 +345,7 @@ def grouped_rows(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     rest = checkpointed(island_links(mixed, sets))
     del mixed, lists, sets
     release(spark)
-    roots = components(rest if links is None else links.union(rest))
+    roots = components(rest if links is None else links.union(rest), written=True)
     joined = reps.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = checkpointed(joined.groupBy("root").agg(F.min("rep").alias("component")))
     names = joined.join(least, "root").select("sig", "root", "component")

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import glob
 import random
 
 import pytest
 
+from bulwark.llm.common import checkpointed
 from bulwark.llm.components import components
 
 
@@ -34,3 +36,13 @@ def test_path_and_star(spark):
     star = spark.range(5000, 25000).selectExpr("id u", "if(id % 2 = 0, 4500, 90000) v").union(spark.createDataFrame([(4500, 90000)], "u long, v long"))
     got = components(path.union(star).repartition(13), 100).groupBy("root").count().collect()
     assert sorted((r.root, r["count"]) for r in got) == [(0, 3001), (4500, 20002)]
+
+
+def test_few_files(spark):
+    """Edges that are written are not written again, and a round of few edges is one file."""
+    edges = checkpointed(spark.range(400).selectExpr("id u", "id + 1 v").repartition(9))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*/part-*"))
+    got = components(edges, written=True).groupBy("root").count().collect()
+    assert [(r.root, r["count"]) for r in got] == [(0, 401)]
+    assert len({*glob.glob(f"{folder}/*/part-*")} - before) == 1
