@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -166,23 +168,67 @@ def set_similarity(x: Column, y: Column) -> Column:
     return let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
 
 
+#: So many of the commonest words are put last where pairs are looked for by rare words.
+COMMONEST = 256
+#: Sets up to this size are compared word by word, as ``array_intersect`` builds a hash set for each pair.
+FEW = 4
+
+
+def word_codes(words: DataFrame) -> tuple[Callable[[Column], Column], list[int]]:
+    """A hash that tells all words of ``word`` apart, and the codes of the commonest, rarest of them first.
+
+    A seed under which two words share a code is given up for the next, so equal codes are equal words.
+    """
+    counts = words.groupBy("word").count()
+    for seed in itertools.count():
+        code = lambda w: F.xxhash64(F.lit(seed), w)  # noqa: B023, E731
+        codes = counts.groupBy(code(F.col("word")).alias("code")).agg(F.count("*").alias("words"), F.sum("count").alias("rows"))
+        top = codes.orderBy(F.desc(F.col("words") > 1), F.desc("rows"), "code").limit(COMMONEST).collect()
+        if not top or top[0]["words"] == 1:
+            return code, [r["code"] for r in reversed(top)]
+
+
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is evaluated once a row: no later filter or column inlines what a generator made."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def common_words(a: Column, b: Column) -> Column:
+    """How many elements two arrays of codes without repeats share."""
+    one_by_one = reduce(lambda n, i: n + F.when(F.array_contains(b, F.get(a, F.lit(i))), 1).otherwise(0), range(FEW), F.lit(0))
+    return F.when(F.size(a) <= FEW, one_by_one).otherwise(F.size(F.array_intersect(a, b)))
+
+
 def inconsistent_pairs(answers: DataFrame, seconds: int = 3600, prompts_above: float = 0.8, answers_below: float = 0.3) -> DataFrame:
     """Pairs of ``id, topic, micros, prompt, answer`` close in time on one topic: like prompts with unlike answers.
 
-    An interval join made an equi-join on topic and time bucket: a row meets the rows of its own bucket and the one before.
-    Texts are cut into words once a row, before the join, and pairs without like prompts are dropped before answers are looked at.
+    An interval join made an equi-join on topic, time bucket and a rare word of the prompt: a row meets the rows of its own bucket and the one
+    before. Of ``n`` words more than a share ``t`` must be common, so two like prompts have their first common word, in any one order of all words,
+    among the first ``n - floor(t * n)`` of each; rare words come first. Texts are made codes of words once a row, before the join, and what a pair
+    has in common is counted once a pair, prompts first.
     """
     width = seconds * 1_000_000
-    rows = answers.select("id", "topic", "micros", word_set(F.col("prompt")).alias("prompt"), word_set(F.col("answer")).alias("answer")).withColumn("bucket", F.floor(F.col("micros") / width))
+    sets = answers.select("id", "topic", "micros", word_set(F.col("prompt")).alias("prompt"), word_set(F.col("answer")).alias("answer"))
+    code, common = word_codes(sets.select(F.explode(F.concat("prompt", "answer")).alias("word")))
+    last = F.array(*map(F.lit, common)).cast("array<bigint>")
+    ordered = F.transform(F.array_sort(F.transform("prompt", lambda w: F.struct(F.array_position(last, code(w)).alias("place"), code(w).alias("code")))), lambda x: x["code"])
+    first = lambda c: F.slice(c, 1, (F.size(c) - F.floor(F.size(c) * prompts_above - 1e-9)).cast("int"))
+    meets = F.explode(F.array(F.lit(0).cast("bigint")) if prompts_above < 0 else first("prompt")).alias("key")
+
+    rows = sets.select("id", "topic", "micros", ordered.alias("prompt"), F.transform("answer", code).alias("answer"), F.floor(F.col("micros") / width).alias("bucket")).select("*", meets)
     late = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
     early = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    near = (F.col("topic") == F.col("b_topic")) & (F.col("bucket") == F.col("b_bucket"))
+    near = (F.col("topic") == F.col("b_topic")) & (F.col("bucket") == F.col("b_bucket")) & (F.col("key") == F.col("b_key"))
     order = (F.col("micros") <= F.col("b_micros")) & (F.col("b_micros") - F.col("micros") <= width) & ((F.col("micros") < F.col("b_micros")) | (F.col("id") < F.col("b_id")))
-    common = lambda c: F.size(F.array_intersect(c, f"b_{c}"))
     share = lambda c: F.col(f"{c}_common") / (F.size(c) + F.size(f"b_{c}") - F.col(f"{c}_common"))
-    pairs = early.join(late, near & order)
-    for c, kept in (("prompt", F.col("prompt_similarity") > prompts_above), ("answer", F.col("answer_similarity") < answers_below)):
-        pairs = pairs.withColumn(f"{c}_common", common(c)).withColumn(f"{c}_similarity", share(c)).filter(kept)
+    # merged, never broadcast: a few rows make many pairs, and a small table's scan is a single task
+    pairs = early.join(late.hint("merge"), near & order)
+    same = F.when(F.col("prompt") == F.col("b_prompt"), F.size("prompt")).otherwise(common_words(F.col("prompt"), F.col("b_prompt")))
+    pairs = bound(pairs, "prompt_common", same).withColumn("prompt_similarity", share("prompt")).filter(F.col("prompt_similarity") > prompts_above)
+    if prompts_above >= 0:  # a pair that meets at several words counts at the first
+        single = (F.size(first("prompt")) == 1) | (F.size(first("b_prompt")) == 1)
+        pairs = pairs.filter(single | (F.col("key") == F.get(F.array_intersect(first("prompt"), first("b_prompt")), F.lit(0))))
+    pairs = bound(pairs, "answer_common", common_words(F.col("answer"), F.col("b_answer"))).withColumn("answer_similarity", share("answer")).filter(F.col("answer_similarity") < answers_below)
     return pairs.select(F.col("id").alias("a"), F.col("b_id").alias("b"), "topic", "prompt_similarity", "answer_similarity")
 
 

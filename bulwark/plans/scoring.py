@@ -66,7 +66,8 @@ def response_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit("value "), F.round("value").cast("bigint").cast("string"), F.lit(" k"), (F.col("event_id") % 7).cast("string"))
     rows = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("topic"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.concat(F.lit("status of user "), (F.col("user_id") % 3).cast("string")).alias("prompt"), answer.alias("answer"))
     out = sc.inconsistent_pairs(rows, 600)
-    return out.select("a", "b", "topic", F.round("prompt_similarity", 9).alias("prompt_similarity"), F.round("answer_similarity", 9).alias("answer_similarity"))
+    ninth = lambda c: (F.floor(F.col(c) * 1e9 + 0.5) / 1e9).alias(c)  # noqa: E731  round() makes decimal text of each value
+    return out.select("a", "b", "topic", ninth("prompt_similarity"), ninth("answer_similarity"))
 
 
 @query("browsing_policy", f"SELECT page_id, {joined('list_filter(x, lambda i: i IS NOT NULL)')} AS issues FROM (SELECT page_id, [CASE WHEN h = '' THEN 'invalid' END, CASE WHEN NOT (h = 'example.com' OR ends_with(h, '.example.com')) THEN 'domain' END] AS x FROM (SELECT page_id, lower({HOST_SQL}) AS h FROM (SELECT page_id, url AS u FROM pages)))")

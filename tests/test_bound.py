@@ -112,3 +112,42 @@ def test_pairs_compare_words_made_before_the_join(spark):
     out = sc.inconsistent_pairs(spark.createDataFrame(rows, "id int, topic string, micros long, prompt string, answer string"), 600)
     assert [(r.a, r.b, r.prompt_similarity, r.answer_similarity) for r in out.collect()] == [(1, 2, 1.0, 0.0)]
     assert "split(" not in plan(out).split("Join", 1)[0]
+
+
+@pytest.mark.parametrize(("above", "below"), [(0.8, 0.3), (0.5, 0.6), (0.0, 1.1), (-1.0, 0.4)])
+def test_pairs_against_brute_force(spark, above, below):
+    """Prompts that meet at several words count once, those that share none only where that is enough; nulls never."""
+    rng = random.Random(3)
+    words = lambda n, of: " ".join(rng.choice("ABcdefghijklmnop"[:of]) for _ in range(n))
+    rows = [(k, rng.choice("xy"), rng.randint(-3, 40) * 150_000_000 + rng.randint(0, 1) * 7, words(rng.randint(1, 9), rng.choice([3, 16])), words(rng.randint(1, 9), 16)) for k in range(220)]
+    rows += [(300, "x", 0, None, "a"), (301, "x", 0, "a", None), (302, None, 0, "a", "b"), (303, "x", None, "a", "b"), (304, "x", 0, "", ""), (305, "x", 600_000_000, "", "a")]
+    want = set()
+    for i, t, m, p, a in rows:
+        for j, u, n, q, b in rows:
+            if None not in (t, m, p, a, n, q, b) and t == u and m <= n <= m + 600_000_000 and (m < n or i < j):
+                (x, y), (v, w) = (set(p.lower().split(" ")), set(q.lower().split(" "))), (set(a.lower().split(" ")), set(b.lower().split(" ")))
+                s, r = len(x & y) / len(x | y), len(v & w) / len(v | w)
+                if s > above and r < below:
+                    want.add((i, j, t, s, r))
+    got = [tuple(r) for r in sc.inconsistent_pairs(spark.createDataFrame(rows, "id int, topic string, micros long, prompt string, answer string"), 600, above, below).collect()]
+    assert len(got) == len(want) > 5 and set(got) == want
+
+
+def test_prompts_of_one_template_do_not_all_meet(spark):
+    """All in one window: 18 million pairs of word sets were compared, in one task."""
+    template = F.concat(F.lit("please tell me how far it is from "), *[x for k in range(4) for x in (F.lit(f" w{k}x"), F.col("id").cast("string"))])
+    rows = spark.range(6000).select("id", F.lit("a").alias("topic"), F.col("id").alias("micros"), template.alias("prompt"), F.col("id").cast("string").alias("answer"))
+    twin = rows.filter("id = 7").withColumn("id", F.lit(9000).cast("bigint")).withColumn("answer", F.lit("else"))
+    start = time.time()
+    assert [(r.a, r.b, r.prompt_similarity) for r in sc.inconsistent_pairs(rows.union(twin), 600).collect()] == [(7, 9000, 1.0)]
+    assert time.time() - start < 15
+
+
+def test_codes_of_words_have_no_collisions(spark, monkeypatch):
+    made = []
+    weak = lambda seed, w: made.append(seed) or (F.length(w).cast("bigint") if len(made) == 1 else F.hash(w).cast("bigint"))
+    monkeypatch.setattr(sc.F, "xxhash64", weak)
+    words = spark.createDataFrame([("ab",), ("cd",), ("ab",), ("e",)], "word string")
+    code, common = sc.word_codes(words)
+    codes = {r.word: r.c for r in words.select("word", code(F.col("word")).alias("c")).collect()}
+    assert len(made) == 3 and len(set(codes.values())) == 3 and common[-1] == codes["ab"]
